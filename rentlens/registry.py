@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame
 
-from rentlens.plans import overview, profiles
+from rentlens.plans import (
+    actions, churn, genres, overview, profiles, recommend, regions, risk, segments,
+)
 
-PLANS: dict[str, Callable] = {
+Plan = Callable[..., DataFrame]
+
+PLANS: dict[str, Plan] = {
     "monthly_trend": overview.monthly_trend,
     "peak_month": overview.peak_month,
     "rental_fact": overview.rental_fact,
@@ -22,5 +27,56 @@ PLANS: dict[str, Callable] = {
     "dayofweek_chart": overview.dayofweek_chart,
     "snapshot_kpis": overview.snapshot_kpis,
     "customer_profiles": profiles.profiles,
-    "customer_profiles_noisy": lambda ws: profiles.profiles(ws, noise="hash"),
+    "customer_profiles_noisy": partial(profiles.profiles, noise="hash"),
+    "segment_overview": segments.segment_overview,
+    "tier_breakdown": segments.tier_breakdown,
+    "tier_breakdown_filtered": partial(
+        segments.tier_breakdown, segments=["Champions", "Loyal"], high_risk=True,
+        countries=["NATION_1", "NATION_2", "NATION_3"],
+    ),
+    "segment_recency": segments.segment_recency,
+    "segment_value": segments.segment_value,
+    **{
+        f"customer_table_{order}": partial(segments.customer_table, order=order)
+        for order in segments.TABLE_ORDERS
+    },
+    "customer_search": partial(segments.customer_search, name="building customer#0000000.1"),
+    "customer_by_id": partial(segments.customer_search, customer_id="42"),
+    "return_split": segments.return_split,
+    "risk_split": risk.risk_split,
+    "risk_by_segment": risk.risk_by_segment,
+    "top_risk": risk.top_risk,
+    "customer_timeline": genres.customer_timeline,
+    "genre_preferences": genres.genre_preferences,
+    "genre_spend": genres.genre_spend,
+    "genre_transitions": genres.genre_transitions,
+    "next_genre": genres.next_genre,
+    "next_genre_preference": partial(genres.next_genre, rank_mode="preference"),
+    "next_genre_films": recommend.next_genre_films,
+    "film_recommendations": recommend.film_recommendations,
+    "film_recommendations_preference": partial(
+        recommend.film_recommendations, rank_mode="preference"
+    ),
+    "genre_cooccurrence": genres.cooccurrence_matrix,
+    "top_bundles": genres.top_bundles,
+    "country_summary": regions.country_summary,
+    "country_genre_share": regions.country_genre_share,
+    "country_genre_pivot": regions.country_genre_pivot,
+    "country_top_genre": regions.country_top_genre,
+    **{
+        f"{name}{suffix}": partial(plan, variant=variant)
+        for variant, suffix in (("observed", ""), ("intended", "_intended"))
+        for name, plan in {
+            "churn_scores": churn.churn_score_list,
+            "churn_bands": churn.churn_bands,
+            "churn_by_segment": churn.churn_by_segment,
+            "churn_revenue_by_country": churn.churn_revenue_by_country,
+            "top_churn": churn.top_churn,
+            "revenue_at_risk": churn.revenue_at_risk,
+        }.items()
+    },
+    "customer_actions": actions.customer_actions,
+    "segment_actions": actions.segment_actions,
+    "next_genre_actions": actions.next_genre_actions,
+    "churn_actions": actions.churn_actions,
 }
