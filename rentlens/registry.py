@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame
 
 from rentlens.plans import (
-    actions, churn, genres, overview, profiles, recommend, regions, risk, segments,
+    actions, churn, genres, models, overview, profiles, recommend, regions, risk, segments,
 )
 
 Plan = Callable[..., DataFrame]
@@ -79,4 +79,13 @@ PLANS: dict[str, Plan] = {
     "segment_actions": actions.segment_actions,
     "next_genre_actions": actions.next_genre_actions,
     "churn_actions": actions.churn_actions,
+    "risk_model_metrics": models.model_metrics,
+    "risk_feature_importance": models.feature_importance,
+    "confusion_matrix": models.confusion_matrix,
+    "classification_report": models.classification_report,
+    "best_model": models.best_model,
+    "risk_scores": models.risk_scores,
+    "risk_contributions": models.risk_contributions,
+    "top_drivers": models.top_drivers,
+    "risk_actions": models.risk_actions,
 }
