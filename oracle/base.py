@@ -150,7 +150,7 @@ RELATIONS = {
               FROM transition) t ON l.last_category = t.category AND t.pos <= 8
         LEFT JOIN liking k ON k.customer_id = l.customer_id AND k.category = t.next_category""",
     "predicted": """
-        SELECT *, raw / total AS adjusted_prob,
+        SELECT *, round_even(raw / total, 12) AS adjusted_prob,
                row_number() OVER (PARTITION BY customer_id
                    ORDER BY round_even(raw / total, 12) DESC, next_category) AS position
         FROM (SELECT *, sum(raw) OVER (PARTITION BY customer_id) AS total FROM candidate)""",

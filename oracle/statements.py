@@ -151,7 +151,7 @@ def churn_statements(churn: str, suffix: str) -> dict[str, str]:
             FROM {values("label", labels.CHURN_ORDER)} LEFT JOIN churn c ON c.churn_risk_label = v.label
             GROUP BY v.position, v.label""",
         "churn_by_segment": f"""
-            SELECT rfm_segment, {r("avg(churn_score)", "avg_churn_score")} FROM churn GROUP BY 1""",
+            SELECT rfm_segment, {r("sum(churn_score::DECIMAL(18,3))::DOUBLE / count(churn_score)", "avg_churn_score")} FROM churn GROUP BY 1""",
         "churn_revenue_by_country": f"""
             SELECT country, {money} AS revenue_at_risk FROM churn WHERE {high}
             GROUP BY country ORDER BY revenue_at_risk DESC, country LIMIT 15""",
@@ -316,7 +316,7 @@ STATEMENTS: dict[str, str] = {
     "country_summary": statement(f"""
         SELECT country, count(*) AS customers,
                {r("sum(total_spending::DECIMAL(18,2))::DOUBLE / count(*)", "avg_spending")},
-               {r("avg(late_return_rate)", "avg_late")},
+               {r("sum(late_return_rate::DECIMAL(18,4))::DOUBLE / count(*)", "avg_late")},
                count(*) FILTER (WHERE is_high_risk) AS high_risk
         FROM profile WHERE country IS NOT NULL GROUP BY country"""),
     "country_genre_share": statement(SHARES),

@@ -27,6 +27,15 @@ def tidy(df: DataFrame, places: int = 6) -> DataFrame:
     )
 
 
+def fixed_avg(column: str, places: int) -> Column:
+    """Mean of a column that has a fixed number of places.
+
+    Sums decimals, so the result does not depend on the order of rows.
+    """
+    exact = F.sum(F.col(column).cast(f"decimal(18,{places})")).cast("double")
+    return exact / F.count(column)
+
+
 def elapsed_us(start: str, end: str) -> Column:
     """Whole microseconds between two timestamps, NULL if either is."""
     return F.timestamp_diff("MICROSECOND", F.col(start), F.col(end))

@@ -5,7 +5,7 @@ payment. ``weighted_rentals`` carries the same information with payments
 folded into a row weight, so a rental with many payments stays one row and
 the payment side is pre-aggregated before it meets the rentals.
 
-No join here carries a broadcast hint. Catalyst broadcasts a side only when
+No join carries a broadcast hint. Catalyst broadcasts a side only when
 its size statistics (or, under AQE, its measured size) are below the session's
 threshold, and splits skewed partitions of the larger side otherwise.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rentlens.functions.scalar import DAY_US, day_of_week, day_type, elapsed_us, month_key
 from rentlens.sources.relations import Relations
@@ -68,20 +69,38 @@ def customer_places(rel: Relations) -> DataFrame:
 
 
 def payment_totals(rel: Relations) -> DataFrame:
-    return rel.payment.groupBy("rental_id").agg(
-        F.count(F.lit(1)).alias("n_payments"),
-        F.count("amount").alias("n_paid"),
-        F.sum("amount").cast("decimal(18,2)").alias("amount"),
+    """Payments per rental, in whole cents: exact sums without big decimals."""
+    kind = rel.payment.schema["amount"].dataType
+    if isinstance(kind, T.DecimalType) and kind.scale > 2:
+        raise ValueError(f"payment.amount has more than two decimals: {kind.simpleString()}")
+    cents = (F.col("amount").cast("decimal(16,2)") * 100).cast("long")
+    return (
+        rel.payment.select("rental_id", cents.alias("cents"))
+        .groupBy("rental_id")
+        .agg(
+            F.count(F.lit(1)).alias("n_payments"),
+            F.count("cents").alias("n_paid"),
+            F.sum("cents").alias("cents"),
+        )
     )
 
 
+def dollars(cents: Column) -> Column:
+    return cents.cast("double") / F.lit(100.0)
+
+
 def weighted_rentals(rel: Relations) -> DataFrame:
-    """Rentals with ``n_rows``, the number of joined rows each stands for."""
-    return rel.rental.join(payment_totals(rel), "rental_id", "left").select(
+    """Rentals with ``n_rows``, the number of joined rows each stands for.
+
+    Both sides grow with the data, so the join is asked to sort and merge:
+    it spills, splits under skew, and never builds a hash table of payments.
+    """
+    payments = payment_totals(rel).hint("merge")
+    return rel.rental.join(payments, "rental_id", "left").select(
         *rel.rental.columns,
         F.coalesce("n_payments", F.lit(1)).alias("n_rows"),
         F.coalesce("n_paid", F.lit(0)).alias("n_paid"),
-        "amount",
+        "cents",
     )
 
 
@@ -116,7 +135,7 @@ def rental_fact(rel: Relations) -> DataFrame:
         F.col("length").alias("film_length_min"), "rating", "category",
     )
     rows = (
-        rel.rental.join(rel.payment, "rental_id", "left")
+        rel.rental.join(rel.payment.hint("merge"), "rental_id", "left")
         .join(rel.inventory, "inventory_id")
         .join(films, "film_id")
         .join(customer_places(rel), "customer_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions import labels
-from rentlens.functions.scalar import clip, named_rows, rint_to
+from rentlens.functions.scalar import clip, fixed_avg, named_rows, rint_to
 from rentlens.plans.profiles import profiles
 
 COUNTRIES_SHOWN, CUSTOMERS_SHOWN = 15, 10
@@ -75,7 +75,7 @@ def churn_bands(ws, variant: str = "observed") -> DataFrame:
 def churn_by_segment(ws, variant: str = "observed") -> DataFrame:
     return (
         churn_scores(ws, variant).groupBy("rfm_segment")
-        .agg(F.avg("churn_score").alias("avg_churn_score"))
+        .agg(fixed_avg("churn_score", 3).alias("avg_churn_score"))
         .orderBy(F.desc("avg_churn_score"), "rfm_segment")
     )
 

@@ -31,7 +31,7 @@ def customer_timeline(ws) -> DataFrame:
         .groupBy("customer_id", month_key(F.col("rental_date")).alias("rental_month"))
         .agg(
             F.sum("n_rows").alias("rentals"),
-            F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("spending"),
+            fact.dollars(F.coalesce(F.sum("cents"), F.lit(0))).alias("spending"),
             F.sum(fact.late_rows()).alias("late"),
         )
     )
@@ -44,7 +44,7 @@ def genre_preferences(ws) -> DataFrame:
 def genre_spend(ws) -> DataFrame:
     return ws.customer_genre.select(
         "customer_id", "category",
-        F.coalesce(F.col("amount"), F.lit(0)).cast("double").alias("amount"),
+        fact.dollars(F.coalesce("cents", F.lit(0))).alias("amount"),
     )
 
 
@@ -126,12 +126,11 @@ def next_genre_candidates(ws, rank_mode: str = "observed") -> DataFrame:
             .join(follow, "last_category")
             .withColumn("raw", F.col("prob") + boost)
             .drop("genres")
-            .withColumn("adjusted_prob", F.col("raw") / F.sum("raw").over(own))
+            # Rounded, as the order of the summands must not decide a tie.
+            .withColumn("adjusted_prob", rint_to(F.col("raw") / F.sum("raw").over(own), 12))
             .withColumn(
                 "position",
-                F.row_number().over(
-                    own.orderBy(rint_to(F.col("adjusted_prob"), 12).desc(), "next_category")
-                ),
+                F.row_number().over(own.orderBy(F.desc("adjusted_prob"), "next_category")),
             )
         )
 

@@ -44,7 +44,7 @@ def value_lists(ws) -> DataFrame:
 
 def snapshot_kpis(ws) -> DataFrame:
     totals = ws.customer_genre.agg(
-        F.sum("amount").cast("double").alias("total_revenue"),
+        fact.dollars(F.sum("cents")).alias("total_revenue"),
         F.sum("rentals").alias("total_rentals"),
         F.sum("late").alias("late_returns"),
         F.sum("returned").alias("returned_rentals"),
@@ -71,7 +71,7 @@ def monthly_trend(ws) -> DataFrame:
         .agg(
             F.sum("n_rows").alias("rentals"),
             F.count_distinct("customer_id").alias("unique_customers"),
-            F.sum("amount").cast("double").alias("revenue"),
+            fact.dollars(F.sum("cents")).alias("revenue"),
             F.sum(fact.late_rows()).alias("late_returns"),
         )
         .orderBy("month")
@@ -95,8 +95,8 @@ def category_stats(ws) -> DataFrame:
         .agg(
             F.sum("n_rows").alias("rentals"),
             F.count_distinct("customer_id").alias("unique_customers"),
-            F.sum("amount").cast("double").alias("revenue"),
-            F.try_divide(F.sum("amount").cast("double"), F.sum("n_paid")).alias("avg_payment"),
+            fact.dollars(F.sum("cents")).alias("revenue"),
+            F.try_divide(fact.dollars(F.sum("cents")), F.sum("n_paid")).alias("avg_payment"),
             F.sum(fact.late_rows()).alias("late_count"),
             (F.sum(fact.overdue_us() * F.col("n_rows")) / F.sum("n_rows") / F.lit(float(DAY_US)))
             .alias("avg_overdue_days"),
@@ -126,7 +126,7 @@ def dayofweek_stats(ws) -> DataFrame:
             F.date_format(when, "EEE").alias("day_label"),
             day_type(when).alias("day_type"),
         )
-        .agg(F.sum("n_rows").alias("rentals"), F.sum("amount").cast("double").alias("revenue"))
+        .agg(F.sum("n_rows").alias("rentals"), fact.dollars(F.sum("cents")).alias("revenue"))
         .orderBy("dow_num")
     )
 

@@ -39,7 +39,7 @@ def customer_genre_measures(ws) -> DataFrame:
         .groupBy("customer_id", "category")
         .agg(
             F.sum(n).alias("rentals"),
-            F.sum("amount").cast("decimal(18,2)").alias("amount"),
+            F.sum("cents").alias("cents"),
             F.sum(fact.late_rows()).alias("late"),
             F.sum(F.when(F.col("return_date").isNotNull(), n).otherwise(0)).alias("returned"),
             F.sum(fact.overdue_us() * n).alias("overdue_us"),
@@ -55,7 +55,7 @@ def profile_measures(ws) -> DataFrame:
     """Everything in the profile that does not depend on other customers."""
     totals = ws.customer_genre.groupBy("customer_id").agg(
         F.sum("rentals").alias("total_rentals"),
-        F.coalesce(F.sum("amount"), F.lit(0)).cast("double").alias("total_spending"),
+        fact.dollars(F.coalesce(F.sum("cents"), F.lit(0))).alias("total_spending"),
         F.max("last_date").alias("last_rental_date"),
         F.min("first_date").alias("first_rental_date"),
         F.sum("late").alias("late_return_count"),

@@ -5,20 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.functions.scalar import rint_to
+from rentlens.functions.scalar import fixed_avg, rint_to
 from rentlens.plans.profiles import profiles
 
 
 def country_summary(ws) -> DataFrame:
-    n = F.count(F.lit(1))
     return (
         profiles(ws).where(F.col("country").isNotNull()).groupBy("country")
         .agg(
-            n.alias("customers"),
-            (F.sum(F.col("total_spending").cast("decimal(18,2)")).cast("double") / n).alias(
-                "avg_spending"
-            ),
-            F.avg("late_return_rate").alias("avg_late"),
+            F.count(F.lit(1)).alias("customers"),
+            fixed_avg("total_spending", 2).alias("avg_spending"),
+            fixed_avg("late_return_rate", 4).alias("avg_late"),
             F.count(F.when(F.col("is_high_risk"), 1)).alias("high_risk"),
         )
         .orderBy(F.desc("customers"), "country")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions import labels
-from rentlens.functions.scalar import named_rows
+from rentlens.functions.scalar import fixed_avg, named_rows
 from rentlens.plans.profiles import profiles
 
 # The offered orders of the customer table.
@@ -83,11 +83,10 @@ def segment_recency(ws) -> DataFrame:
 
 
 def segment_value(ws) -> DataFrame:
-    spent = F.sum(F.col("total_spending").cast("decimal(18,2)")).cast("double")
     return (
         profiles(ws).groupBy("rfm_segment")
         .agg(
-            (spent / F.count(F.lit(1))).alias("avg_spending"),
+            fixed_avg("total_spending", 2).alias("avg_spending"),
             F.count(F.lit(1)).alias("customers"),
         )
         .orderBy(F.desc("avg_spending"), "rfm_segment")
