@@ -62,13 +62,17 @@ def _rented(ws) -> DataFrame:
     )
 
 
-def _offers(ws, wanted: DataFrame, order: str) -> DataFrame:
-    """Look up films by (category, position in ``order``)."""
-    films = film_positions(ws).select(
-        "category", F.col(order).alias("place"), "film_id", "title", "rating",
-        "rental_duration", "rental_rate",
+def _offers(ws, wanted: DataFrame) -> DataFrame:
+    """Look up films by category and position in the order of the risk class."""
+    orders = F.array(
+        F.struct(F.lit(True).alias("is_high_risk"), F.col("cautious").alias("place")),
+        F.struct(F.lit(False).alias("is_high_risk"), F.col("standard").alias("place")),
     )
-    return wanted.join(films, ["category", "place"])
+    films = film_positions(ws).select(
+        "category", "film_id", "title", "rating", "rental_duration", "rental_rate",
+        F.explode(orders).alias("order"),
+    ).select("*", "order.*").drop("order")
+    return wanted.join(films, ["category", "is_high_risk", "place"])
 
 
 def next_genre_films(ws) -> DataFrame:
@@ -89,11 +93,11 @@ def next_genre_films(ws) -> DataFrame:
         )
         .select(
             "customer_id", "category", (F.col("k") + 1).alias("position"),
-            (F.col("k") + 1 + F.col("skipped")).cast("int").alias("place"),
+            (F.col("k") + 1 + F.col("skipped")).alias("place"),
+            F.lit(False).alias("is_high_risk"),
         )
-        .withColumn("place", F.col("place").cast("long"))
     )
-    return _offers(ws, wanted, "standard").select(
+    return _offers(ws, wanted).select(
         "customer_id", "category", "position", "film_id", "title", "rating",
         "rental_duration", "rental_rate",
     )
@@ -127,56 +131,68 @@ def film_recommendations(ws, rank_mode: str = "observed") -> DataFrame:
     else:
         raise ValueError(f"rank_mode must be 'observed' or 'preference', not {rank_mode!r}")
 
+    def offer(size: Column, taken: Column) -> Column:
+        return F.least(size - taken, F.lit(FILMS_PER_GENRE)).cast("int")
+
+    # One row per customer with an entry per genre; if the own genres do not
+    # fill the list, the genres never rented follow, alphabetically. Each has
+    # at least one film, so as many as the list is long are always enough.
     sizes = category_sizes(ws)
-    known = ranked.join(sizes, "category").select(
-        *keys, "genre_rank", "taken",
-        F.least(F.col("size") - F.col("n_taken"), F.lit(FILMS_PER_GENRE)).alias("offer"),
-    )
-    # Customers whose own genres do not fill the list get the categories they
-    # never rented, alphabetically. Each category has at least one film, so
-    # as many categories as the list is long are always enough.
-    every = sizes.agg(F.sort_array(F.collect_list("category")).alias("names")).scalar()
+    catalogue = sizes.agg(
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.struct("category", offer(F.col("size"), F.lit(0)))))
+        )
+    ).scalar()
     nothing = F.array(*[F.lit(0).cast("long")] * FILMS_PER_GENRE)
-    short = (
-        known.groupBy("customer_id", "is_high_risk")
-        .agg(F.sum("offer").alias("offered"), F.collect_list("category").alias("mine"))
-        .where(F.col("offered") < FILMS_PER_CUSTOMER)
+    entry = F.struct(
+        F.col("genre_rank").alias("genre_rank"), "category",
+        offer(F.col("size"), F.col("n_taken")).alias("offer"), "taken",
+    )
+    others = F.slice(
+        F.array_except(F.map_keys("catalogue"), F.transform("own", lambda e: e["category"])),
+        1, FILMS_PER_CUSTOMER,
+    )
+    fill = F.transform(
+        others,
+        lambda c: F.struct(
+            F.lit(UNRANKED).alias("genre_rank"), c.alias("category"),
+            F.element_at("catalogue", c).alias("offer"), nothing.alias("taken"),
+        ),
+    )
+    offered = F.aggregate("own", F.lit(0), lambda total, e: total + e["offer"])
+    genres = (
+        ranked.join(sizes, "category")
+        .groupBy("customer_id", "is_high_risk").agg(F.collect_list(entry).alias("own"))
+        .withColumn("catalogue", catalogue)
         .select(
             "customer_id", "is_high_risk",
             F.explode(
-                F.slice(F.array_except(every, F.col("mine")), 1, FILMS_PER_CUSTOMER)
-            ).alias("category"),
-        )
-        .join(sizes, "category")
-        .select(
-            *keys, F.lit(UNRANKED).alias("genre_rank"), nothing.alias("taken"),
-            F.least("size", F.lit(FILMS_PER_GENRE)).alias("offer"),
+                F.when(offered < FILMS_PER_CUSTOMER, F.concat("own", fill)).otherwise(F.col("own"))
+            ).alias("entry"),
         )
+        .select("customer_id", "is_high_risk", "entry.*")
     )
-    order = own.orderBy("genre_rank", "category")
     before = F.coalesce(
-        F.sum("offer").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
+        F.sum("offer").over(
+            own.orderBy("genre_rank", "category").rowsBetween(Window.unboundedPreceding, -1)
+        ),
+        F.lit(0),
+    ).cast("int")
+    room = F.least(F.col("offer"), F.lit(FILMS_PER_CUSTOMER) - F.col("before"))
     wanted = (
-        known.unionByName(short)
-        .withColumn("before", before)
-        .withColumn("offer", F.least(F.col("offer"), F.lit(FILMS_PER_CUSTOMER) - F.col("before")))
-        .where(F.col("offer") > 0)
+        genres.withColumn("before", before)
+        .where(room > 0)
         .select(
             *keys, "genre_rank", "before",
-            F.posexplode(F.slice("taken", F.lit(1), F.col("offer").cast("int"))).alias(
-                "k", "skipped"
-            ),
+            F.posexplode(F.slice("taken", F.lit(1), room)).alias("k", "skipped"),
         )
         .select(
             *keys, "genre_rank",
-            (F.col("before") + F.col("k") + 1).cast("int").alias("position"),
+            (F.col("before") + F.col("k") + 1).alias("position"),
             (F.col("k") + 1 + F.col("skipped")).alias("place"),
         )
     )
-    offers = _offers(ws, wanted.where("is_high_risk"), "cautious").unionByName(
-        _offers(ws, wanted.where("NOT is_high_risk"), "standard")
-    )
+    offers = _offers(ws, wanted)
     note = (
         F.when(
             F.col("is_high_risk") & (F.col("rental_duration") <= SHORT_PERIOD), labels.NOTE_SHORT
