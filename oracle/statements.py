@@ -196,18 +196,21 @@ def segment_cards() -> str:
     return " UNION ALL ".join(rows)
 
 
+FACT = f"""
+    SELECT rental_id, rental_date, return_date, day_of_week_num, day_of_week, day_type,
+           rental_month, customer_id, full_name, email, active, city, country, film_id, title,
+           allowed_days, rental_rate, film_length_min, rating, category,
+           amount::DOUBLE AS amount, {r("rental_duration_actual", "rental_duration_actual")},
+           {r("overdue_us / 86400000000.0::DOUBLE", "days_overdue")}, is_late_return
+    FROM fact"""
+
 STATEMENTS: dict[str, str] = {
     "monthly_trend": statement(f"{MONTHLY} ORDER BY 1"),
     "peak_month": statement(
         f"SELECT month, rentals FROM ({MONTHLY}) ORDER BY rentals DESC, month LIMIT 1"
     ),
-    "rental_fact": statement(f"""
-        SELECT rental_id, rental_date, return_date, day_of_week_num, day_of_week, day_type,
-               rental_month, customer_id, full_name, email, active, city, country, film_id, title,
-               allowed_days, rental_rate, film_length_min, rating, category,
-               amount::DOUBLE AS amount, {r("rental_duration_actual", "rental_duration_actual")},
-               {r("overdue_us / 86400000000.0::DOUBLE", "days_overdue")}, is_late_return
-        FROM fact"""),
+    "rental_fact": statement(FACT),
+    "customer_rentals": statement(f"{FACT} WHERE customer_id = 42"),
     "film_catalogue": statement("""
         SELECT film_id, title, description, release_year, rental_duration, rental_rate, length,
                rating, replacement_cost, category FROM film ORDER BY film_id"""),

@@ -130,7 +130,7 @@ def next_genre_actions(ws) -> DataFrame:
         ]
     )
     named = top_next_genre(ws).join(
-        ws.profile_base.select("customer_id", "full_name"), "customer_id"
+        ws.places.select("customer_id", "full_name"), "customer_id"
     )
     return _cards(named, ["customer_id"], cards)
 

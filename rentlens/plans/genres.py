@@ -82,12 +82,14 @@ def genre_lists(ws, rank_mode: str = "observed") -> DataFrame:
 def last_rentals(ws) -> DataFrame:
     """The latest fact row of each customer.
 
-    The profile knows each customer's last date, so matching on (customer,
-    date) leaves about one row per customer to compare; a customer with very
-    many rentals is spread over its dates.
+    Each customer's last date is known from the reduced table, so matching on
+    (customer, date) leaves about one row per customer to compare; a customer
+    with very many rentals is spread over its dates.
     """
     rel = ws.relations
-    last_dates = ws.profile_base.select("customer_id", F.col("last_rental_date").alias("rental_date"))
+    last_dates = ws.customer_genre.groupBy("customer_id").agg(
+        F.max("last_date").alias("rental_date")
+    )
     films = fact.copy_terms(rel).join(rel.film.select("film_id", "title"), "film_id")
     return (
         rel.rental.select("customer_id", "rental_date", "rental_id", "inventory_id")
@@ -204,7 +206,7 @@ def _category_pairs(ws, keep) -> DataFrame:
 def top_bundles(ws) -> DataFrame:
     """The most shared category pairs; pairs nobody shares take part as 0."""
     pairs = _category_pairs(ws, lambda a, b: a < b)
-    everyone = F.lit(float(max(ws.extent.customers, 1)))
+    everyone = F.lit(float(max(ws.size.customers, 1)))
     return (
         pairs.join(genre_cooccurrence(ws), ["genre_a", "genre_b"], "left")
         .select("genre_a", "genre_b", F.coalesce("customers", F.lit(0)).alias("customers"))

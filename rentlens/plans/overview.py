@@ -14,6 +14,11 @@ def rental_fact(ws) -> DataFrame:
     return fact.rental_fact(ws.relations)
 
 
+def customer_rentals(ws, customer_id: int) -> DataFrame:
+    """One customer's fact rows; the filter reaches the customer and rental scans."""
+    return rental_fact(ws).where(F.col("customer_id") == customer_id)
+
+
 def film_catalogue(ws) -> DataFrame:
     return fact.film_catalogue(ws.relations).orderBy("film_id", "category")
 
@@ -27,8 +32,8 @@ def dataset_counts(ws) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("films"))
     )
     return films.select(
-        F.lit(ws.extent.customers).cast("long").alias("customers"), "films",
-        F.lit(ws.extent.rows).cast("long").alias("rentals"),
+        F.lit(ws.size.customers).cast("long").alias("customers"), "films",
+        F.lit(ws.size.rows).cast("long").alias("rentals"),
     )
 
 
@@ -36,7 +41,7 @@ def value_lists(ws) -> DataFrame:
     """All categories and all countries that occur, for use as filter values."""
     genres = ws.customer_genre.select(F.lit("category").alias("kind"), F.col("category").alias("value"))
     places = (
-        ws.profile_base.where(F.col("country").isNotNull())
+        ws.customer_genre.where(F.col("country").isNotNull())
         .select(F.lit("country").alias("kind"), F.col("country").alias("value"))
     )
     return genres.unionByName(places).distinct().orderBy("kind", "value")
@@ -49,8 +54,11 @@ def snapshot_kpis(ws) -> DataFrame:
         F.sum("late").alias("late_returns"),
         F.sum("returned").alias("returned_rentals"),
     )
-    active = ws.profile_base.agg(F.sum("active").alias("active_customers")).scalar()
-    customers = F.lit(ws.extent.customers).cast("long")
+    active = (
+        ws.places.join(ws.customer_genre, "customer_id", "left_semi")
+        .agg(F.sum("active").alias("active_customers")).scalar()
+    )
+    customers = F.lit(ws.size.customers).cast("long")
     return totals.select(
         customers.alias("total_customers"), "total_revenue", "total_rentals",
         (F.col("total_revenue") / customers).alias("revenue_per_customer"),

@@ -47,7 +47,7 @@ def segment_overview(ws) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col("total_spending").cast("decimal(18,2)")).cast("double").alias("spent"),
     )
-    everyone = F.lit(float(max(ws.extent.customers, 1)))
+    everyone = F.lit(float(max(ws.size.customers, 1)))
     return (
         named_rows(ws.spark, "rfm_segment", labels.SEGMENT_ORDER)
         .join(stats, "rfm_segment", "left")

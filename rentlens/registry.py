@@ -17,6 +17,7 @@ PLANS: dict[str, Plan] = {
     "monthly_trend": overview.monthly_trend,
     "peak_month": overview.peak_month,
     "rental_fact": overview.rental_fact,
+    "customer_rentals": partial(overview.customer_rentals, customer_id=42),
     "film_catalogue": overview.film_catalogue,
     "dataset_counts": overview.dataset_counts,
     "value_lists": overview.value_lists,

@@ -22,11 +22,17 @@ from rentlens.sources import Relations, from_star
 
 
 @dataclass(frozen=True)
-class Extent:
-    """Scalars over all customers: one row, read once."""
+class Size:
+    """Customers and fact rows."""
 
     customers: int
     rows: int
+
+
+@dataclass(frozen=True)
+class Extent:
+    """Scalars over all profiles: one row, read once."""
+
     today: str
     date_type: str
     max_rentals: int
@@ -73,11 +79,15 @@ class Workspace:
     def heavy_customers(self) -> DataFrame | None:
         """Customers above the row limit, or None.
 
-        At most total rows / heavy_rows ids, whatever the data.
+        At most total rows / heavy_rows ids, whatever the data. Counted on the
+        reduced table if it is there, else on one column of the rentals.
         """
+        if "customer_genre" in self._kept:
+            rows, weight = self.customer_genre, F.sum("rentals")
+        else:
+            rows, weight = self.relations.rental, F.count(F.lit(1))
         found = (
-            self.customer_genre.groupBy("customer_id")
-            .agg(F.sum("rentals").alias("n"))
+            rows.groupBy("customer_id").agg(weight.alias("n"))
             .where(F.col("n") > self.heavy_rows)
             .select("customer_id")
         )
@@ -90,13 +100,19 @@ class Workspace:
 
         return self.keep("profile_base", lambda: profile_measures(self))
 
+    @cached_property
+    def size(self) -> Size:
+        row = self.customer_genre.agg(
+            F.count_distinct("customer_id").alias("customers"),
+            F.coalesce(F.sum("rentals"), F.lit(0)).alias("rows"),
+        ).first()
+        return Size(**row.asDict())
+
     @cached_property
     def extent(self) -> Extent:
         base = self.profile_base
         last = F.col("last_rental_date")
         row = base.agg(
-            F.count(F.lit(1)).alias("customers"),
-            F.coalesce(F.sum("total_rentals"), F.lit(0)).alias("rows"),
             F.max(last).cast("string").alias("today"),
             F.max("total_rentals").alias("max_rentals"),
             F.timestamp_diff("DAY", F.min(last), F.max(last)).alias("max_days_since"),

@@ -73,7 +73,7 @@ def test_transitions(ws):
 
 
 def test_parts_add_up(ws):
-    n = ws.extent.customers
+    n = ws.size.customers
     assert sum(r["customers"] for r in segments.segment_overview(ws).collect()) == n
     assert sum(r["customers"] for r in segments.tier_breakdown(ws).collect()) == n
     assert len(segments.segment_overview(ws).collect()) == len(labels.SEGMENT_ORDER)
@@ -195,4 +195,4 @@ def test_parquet_round_trip(spark, tmp_path):
     again = Workspace(spark, from_parquet(spark, str(tmp_path)))
     again.relations.register_views()
     assert spark.sql("SELECT count(*) AS n FROM rental").first()["n"] == rel.rental.count()
-    assert again.extent.customers == 4
+    assert again.size.customers == 4
