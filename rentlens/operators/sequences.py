@@ -17,13 +17,20 @@ from rentlens.functions.scalar import whole_days
 ORDER = ["rental_date", "rental_id", "category"]
 
 
-def _split(rows: DataFrame, heavy: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
-    if heavy is None:
-        return rows, None
-    return (
-        rows.join(heavy, "customer_id", "left_anti"),
-        rows.join(heavy, "customer_id", "left_semi"),
-    )
+def _split(
+    rows: DataFrame, heavy: DataFrame | None, customers: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary and of heavy customers, limited to ``customers``.
+
+    Heavy customers leave first, so that no later join or window by customer
+    meets a key that holds a large part of the rows.
+    """
+    ordinary = rows if heavy is None else rows.join(heavy, "customer_id", "left_anti")
+    if customers is not None:
+        ordinary = ordinary.join(customers, "customer_id", "left_semi")
+        if heavy is not None:
+            heavy = heavy.join(customers, "customer_id", "left_semi")
+    return ordinary, None if heavy is None else rows.join(heavy, "customer_id", "left_semi")
 
 
 def rental_gaps(rows: DataFrame, heavy: DataFrame | None) -> DataFrame:
@@ -53,7 +60,10 @@ def rental_gaps(rows: DataFrame, heavy: DataFrame | None) -> DataFrame:
 
 
 def category_steps(
-    rows: DataFrame, heavy: DataFrame | None, slice_unit: str = "hour"
+    rows: DataFrame,
+    heavy: DataFrame | None,
+    customers: DataFrame | None = None,
+    slice_unit: str = "hour",
 ) -> DataFrame:
     """Counts of (category, next_category) over consecutive fact rows.
 
@@ -61,7 +71,9 @@ def category_steps(
     row standing for n joined rows contributes n - 1 steps to its own category
     besides the step to the following row.
     """
-    ordinary, large = _split(rows.select("customer_id", *ORDER, "n_rows"), heavy)
+    ordinary, large = _split(
+        rows.select("customer_id", *ORDER, "n_rows"), heavy, customers
+    )
     following = F.lead("category").over(Window.partitionBy("customer_id").orderBy(*ORDER))
     steps = ordinary.select("category", following.alias("next_category"), "n_rows")
     if large is not None:

@@ -16,13 +16,14 @@ BUNDLES_SHOWN = 5
 
 
 def _dated_genres(ws) -> DataFrame:
-    """Weighted rentals of customers with a complete address, with category."""
+    """Weighted rentals with category."""
     rel = ws.relations
-    return (
-        fact.weighted_rentals(rel)
-        .join(fact.copy_terms(rel), "inventory_id")
-        .join(ws.places.select("customer_id"), "customer_id", "left_semi")
-    )
+    return fact.weighted_rentals(rel).join(fact.copy_terms(rel), "inventory_id")
+
+
+def _placed(ws) -> DataFrame:
+    """Ids of the customers with a complete address."""
+    return ws.places.select("customer_id")
 
 
 def customer_timeline(ws) -> DataFrame:
@@ -34,6 +35,7 @@ def customer_timeline(ws) -> DataFrame:
             fact.dollars(F.coalesce(F.sum("cents"), F.lit(0))).alias("spending"),
             F.sum(fact.late_rows()).alias("late"),
         )
+        .join(_placed(ws), "customer_id", "left_semi")
     )
 
 
@@ -52,7 +54,7 @@ def transitions(ws) -> DataFrame:
     """Category pairs with count and share; at most categories squared rows."""
 
     def build() -> DataFrame:
-        steps = category_steps(_dated_genres(ws), ws.heavy_customers)
+        steps = category_steps(_dated_genres(ws), ws.heavy_customers, _placed(ws))
         share = F.col("count") / F.sum("count").over(Window.partitionBy("category"))
         return steps.withColumn("prob", share)
 

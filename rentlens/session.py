@@ -37,10 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local master gets a temporary folder of its own; on a cluster a
     machine-local folder would be lost with the machine, so that is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _local_dirs:

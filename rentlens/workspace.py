@@ -60,7 +60,8 @@ class Workspace:
         if name not in self._kept:
             path = f"{self._folder}/{name}"
             df = build()
-            df.write.parquet(path)
+            # Own folder: what a failed attempt left behind may go.
+            df.write.mode("overwrite").parquet(path)
             self._kept[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._kept[name]
 

@@ -94,7 +94,9 @@ def test_steps(spark, history, unit):
     heavy = spark.createDataFrame([(1,)], "customer_id long") if unit else None
     got = {
         (r["category"], r["next_category"]): r["count"]
-        for r in category_steps(_frame(spark, history), heavy, unit or "hour").collect()
+        for r in category_steps(
+            _frame(spark, history), heavy, slice_unit=unit or "hour"
+        ).collect()
     }
     want = {}
     for customer in {r[0] for r in history}:
