@@ -211,6 +211,10 @@ STATEMENTS: dict[str, str] = {
     ),
     "rental_fact": statement(FACT),
     "customer_rentals": statement(f"{FACT} WHERE customer_id = 42"),
+    "rentals_per_city": statement("""
+        SELECT p.city, count(*) AS rentals, count(DISTINCT r.customer_id) AS customers
+        FROM rental r JOIN person p ON r.customer_id = p.customer_id
+        WHERE p.country = 'NATION_7' GROUP BY p.city"""),
     "film_catalogue": statement("""
         SELECT film_id, title, description, release_year, rental_duration, rental_rate, length,
                rating, replacement_cost, category FROM film ORDER BY film_id"""),

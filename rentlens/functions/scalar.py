@@ -37,13 +37,19 @@ def fixed_avg(column: str, places: int) -> Column:
 
 
 def elapsed_us(start: str, end: str) -> Column:
-    """Whole microseconds between two timestamps, NULL if either is."""
-    return F.timestamp_diff("MICROSECOND", F.col(start), F.col(end))
+    """Whole microseconds between two timestamps, NULL if either is.
+
+    Subtraction compares wall-clock times. ``timestamp_diff`` would convert
+    timestamps without a zone to the session's zone first, and so count an
+    hour more or less across a clock change.
+    """
+    seconds = (F.col(end) - F.col(start)).cast("interval second").cast("decimal(18,6)")
+    return (seconds * 1_000_000).cast("long")
 
 
 def whole_days(start: Column, end: Column) -> Column:
-    """Complete 24-hour periods, not calendar days."""
-    return F.timestamp_diff("DAY", start, end)
+    """Complete 24-hour periods of wall-clock time, not calendar days."""
+    return F.extract(F.lit("DAY"), end - start).cast("long")
 
 
 def month_number(col: Column) -> Column:

@@ -19,6 +19,22 @@ def customer_rentals(ws, customer_id: int) -> DataFrame:
     return rental_fact(ws).where(F.col("customer_id") == customer_id)
 
 
+def rentals_per_city(ws, country: str) -> DataFrame:
+    """Rentals and renting customers per city of a country, stated in SQL."""
+    return ws.query(
+        """
+        SELECT ci.city, count(*) AS rentals, count(DISTINCT r.customer_id) AS customers
+        FROM rental r JOIN customer c ON r.customer_id = c.customer_id
+        JOIN address a ON c.address_id = a.address_id
+        JOIN city ci ON a.city_id = ci.city_id
+        JOIN country co ON ci.country_id = co.country_id
+        WHERE co.country = :country
+        GROUP BY ci.city
+        """,
+        {"country": country},
+    )
+
+
 def film_catalogue(ws) -> DataFrame:
     return fact.film_catalogue(ws.relations).orderBy("film_id", "category")
 

@@ -18,6 +18,7 @@ PLANS: dict[str, Plan] = {
     "peak_month": overview.peak_month,
     "rental_fact": overview.rental_fact,
     "customer_rentals": partial(overview.customer_rentals, customer_id=42),
+    "rentals_per_city": partial(overview.rentals_per_city, country="NATION_7"),
     "film_catalogue": overview.film_catalogue,
     "dataset_counts": overview.dataset_counts,
     "value_lists": overview.value_lists,

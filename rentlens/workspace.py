@@ -16,6 +16,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rentlens.functions.scalar import whole_days
 from rentlens.operators import fact
 from rentlens.session import shared_dir
 from rentlens.sources import Relations, from_star
@@ -55,6 +56,11 @@ class Workspace:
         self._kept: dict[str, DataFrame] = {}
         self.memo: dict = {}
 
+    def query(self, sql: str, params: dict | list | None = None) -> DataFrame:
+        """SQL over the ten relations by name, with bound parameters."""
+        self.relations.register_views()
+        return self.spark.sql(sql, args=params)
+
     def keep(self, name: str, build) -> DataFrame:
         """The table ``name``, built and written on first use."""
         if name not in self._kept:
@@ -116,7 +122,7 @@ class Workspace:
         row = base.agg(
             F.max(last).cast("string").alias("today"),
             F.max("total_rentals").alias("max_rentals"),
-            F.timestamp_diff("DAY", F.min(last), F.max(last)).alias("max_days_since"),
+            whole_days(F.min(last), F.max(last)).alias("max_days_since"),
         ).first()
         return Extent(date_type=base.schema["last_rental_date"].dataType.simpleString(), **row.asDict())
 

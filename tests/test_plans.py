@@ -63,3 +63,20 @@ def test_results_hold_without_any_automatic_broadcast(spark, name):
         assert differences(df, duck(ROOT).execute(contract.oracle_sql()[name])) == []
     finally:
         spark.conf.set(threshold, before)
+
+
+@pytest.mark.parametrize(
+    "name", ["dayofweek_stats", "monthly_trend", "customer_profiles", "genre_transitions"]
+)
+def test_results_do_not_depend_on_the_session_time_zone(spark, name):
+    from rentlens.functions.scalar import tidy
+
+    zone = "spark.sql.session.timeZone"
+    before = spark.conf.get(zone)
+    spark.conf.set(zone, "America/New_York")
+    try:
+        ws = Workspace(spark, from_star(spark, ROOT), heavy_rows=40)
+        df = tidy(PLANS[name](ws))
+        assert differences(df, duck(ROOT).execute(contract.oracle_sql()[name])) == []
+    finally:
+        spark.conf.set(zone, before)
