@@ -58,7 +58,12 @@ FROM b
 
 REPEATS = """
 WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM b, LATERAL (SELECT unnest(range(length(h) // 2 - 49)) AS i)),
+c AS (
+  SELECT doc_id, j, substr(h, 1000 * j + 1, 1098) AS part
+  FROM b, LATERAL (SELECT unnest(range(length(h) // 1000 + 1)) AS j)),
+w AS (
+  SELECT doc_id, 500 * j + k AS i, substr(part, 2 * k + 1, 100) AS s
+  FROM c, LATERAL (SELECT unnest(range(least(500, length(part) // 2 - 49))) AS k)),
 f AS (SELECT doc_id, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
 g AS (SELECT doc_id, i, i > coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, -1) AS fresh FROM f),
 k AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g),
