@@ -31,7 +31,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.llm.bytewords import mix, powers, prefix_sums, slices, texts
-from rentlens.llm.common import scratch, stored
 from rentlens.llm.run_index import RunIndex
 
 LENGTH, ANCHOR = 50, 16
@@ -39,9 +38,9 @@ WIDTH = LENGTH - ANCHOR + 1
 #: Longer passages (of one repeated pattern) are parted.
 MOST_STRINGS = 64
 TEXT_BYTES = 1 << 19
-FLUSH_PASSAGES = 1 << 20
+FLUSH_ANCHORS, FLUSH_PASSAGES = 1 << 20, 1 << 18
 #: Passages of one anchor group are indexed together with others up to this many bytes.
-INDEX_BYTES = 4 << 20
+INDEX_BYTES = 1 << 20
 DEALT = "part int, kind int, docs binary, counts binary, low binary, high binary, places binary"
 PASSAGES = "part int, kind int, docs binary, starts binary, counts binary, anchors binary, bytes binary"
 
@@ -83,13 +82,13 @@ def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
 
 def shared_by_documents(anchors: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each entry's anchor is of two documents or more; and one entry for each such anchor."""
-    order = np.lexsort((docs, anchors))
+    order = np.argsort(anchors)
     a, d = anchors[order], docs[order]
     heads = np.ones(len(a), bool)
     heads[1:] = a[1:] != a[:-1]
     at = np.flatnonzero(heads)
     ends = np.append(at[1:], len(a)) - 1
-    many = d[at] != d[ends] if len(at) else np.zeros(0, bool)
+    many = np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at) if len(at) else np.zeros(0, bool)
     out = np.zeros(len(a), bool)
     out[order] = np.repeat(many, ends - at + 1)
     return out, order[at[many]]
@@ -105,6 +104,15 @@ def unflat(docs: bytes, counts: bytes) -> np.ndarray:
     return np.repeat(np.frombuffer(docs, "<i8"), np.frombuffer(counts, "<u4"))
 
 
+def packed(data: bytes) -> bytes:
+    """Compressed, behind its length."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def rows(schema: str, found: list[tuple]) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
     named = [x.split(" ") for x in schema.split(", ")]
@@ -125,7 +133,7 @@ def anchor_dealer(parts: int):
             for k in np.flatnonzero(np.diff(bounds)).tolist():
                 own = at[order[bounds[k] : bounds[k + 1]]]
                 a = anchors[own] >> np.uint64(24)
-                where = flat(docs[own]) + (a.astype("<u4").tobytes(), (a >> np.uint64(32)).astype("u1").tobytes(), narrow(places[own])) if kind == 0 else (b"", b"", a.astype("<u4").tobytes(), (a >> np.uint64(32)).astype("u1").tobytes(), b"")
+                where = flat(docs[own]) + (a.astype("<u4").tobytes(), (a >> np.uint64(32)).astype("u1").tobytes(), packed(narrow(places[own]))) if kind == 0 else (b"", b"", a.astype("<u4").tobytes(), (a >> np.uint64(32)).astype("u1").tobytes(), b"")
                 out.append((k, kind, *where))
         return rows(DEALT, out)
 
@@ -141,7 +149,7 @@ def anchor_dealer(parts: int):
                 held[1].append(np.arange(len(text)) - np.searchsorted(text, text))
                 held[2].append(anchors)
                 size += len(text)
-            if size >= FLUSH_PASSAGES:
+            if size >= FLUSH_ANCHORS:
                 yield flush(*map(np.concatenate, held))
                 held, size = ([], [], []), 0
         if size:
@@ -166,7 +174,8 @@ def marked_places(table: pa.Table) -> pa.Table:
             known.append(a)
         else:
             docs.append(unflat(r["docs"], r["counts"]))
-            places.append(np.frombuffer(r["places"], "<u2" if len(r["places"]) == 2 * len(a) else "<u4").astype(np.uint32))
+            found = unpacked(r["places"])
+            places.append(np.frombuffer(found, "<u2" if len(found) == 2 * len(a) else "<u4").astype(np.uint32))
             anchors.append(a)
     docs_, places_, anchors_ = joined(docs, np.int64), joined(places, np.uint32), joined(anchors, np.uint64)
     shared, _ = shared_by_documents(anchors_, docs_)
@@ -178,10 +187,10 @@ def marked_places(table: pa.Table) -> pa.Table:
 
 def by_document(docs: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.Table:
     order = np.argsort(docs, kind="stable")
-    docs = docs[order]
+    docs, columns = docs[order], [x[order].astype("<u4") for x in columns]
     heads = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
     bounds = np.append(heads, len(docs)).tolist()
-    parts = [[x[order][a:b].astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for x in columns]
+    parts = [[x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for x in columns]
     return pa.Table.from_arrays([pa.array(docs[heads], pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], ["doc_id", *names])
 
 
@@ -198,7 +207,7 @@ def passage_dealer(parts: int):
         out = []
         for part, own in by_part.items():
             d, s, t, a = zip(*own, strict=True)
-            out.append((part, 0, np.array(d, "<i8").tobytes(), np.array(s, "<u4").tobytes(), np.array([len(x) for x in t], "<u1").tobytes(), (np.array(a, np.uint64) >> np.uint64(32)).astype("<u4").tobytes(), b"".join(t)))
+            out.append((part, 0, np.array(d, "<i8").tobytes(), np.array(s, "<u4").tobytes(), np.array([len(x) for x in t], "<u1").tobytes(), (np.array(a, np.uint64) >> np.uint64(32)).astype("<u4").tobytes(), packed(b"".join(t))))
         if whole:
             d, s, e = zip(*whole, strict=True)
             out.append((whole[0][0] % parts, 1, np.array(d, "<i8").tobytes(), np.array(s, "<u4").tobytes(), np.array(e, "<u4").tobytes(), b"", b""))
@@ -241,9 +250,9 @@ def marked_ranges(table: pa.Table) -> pa.Table:
             starts.append(s)
             ends.append(np.frombuffer(r["counts"], "<u4").astype(np.int64))
             continue
-        at = 0
+        at, text = 0, unpacked(r["bytes"])
         for doc, start, n, anchor in zip(d.tolist(), s.tolist(), np.frombuffer(r["counts"], "<u1").tolist(), np.frombuffer(r["anchors"], "<u4").tolist(), strict=True):
-            first.setdefault((anchor, r["bytes"][at : at + n]), []).append((doc, start))
+            first.setdefault((anchor, text[at : at + n]), []).append((doc, start))
             at += n
     whole, groups = [], {}
     for (anchor, text), owners in first.items():
@@ -310,17 +319,15 @@ def cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut(docs: DataFrame) -> DataFrame:
     """doc_id, n_removed, n_spans, kept_sha256 and kept (bytes) of every document that loses a byte."""
     spark = docs.sparkSession
-    folder = scratch(spark, "repeats")
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     dealt = docs.mapInArrow(anchor_dealer(parts), DEALT)
     places = dealt.groupBy("part").applyInArrow(marked_places, "doc_id long, places binary")
     places = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    marked = stored(docs.join(places, "doc_id"), f"{folder}/marked")
-    dealt = marked.mapInArrow(passage_dealer(parts), PASSAGES)
+    dealt = docs.join(places, "doc_id").mapInArrow(passage_dealer(parts), PASSAGES)
     ranges = dealt.groupBy("part").applyInArrow(marked_ranges, "doc_id long, starts binary, ends binary")
     ranges = ranges.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
-    return marked.select("doc_id", "text").join(ranges, "doc_id").mapInArrow(cutter, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return docs.join(ranges, "doc_id").mapInArrow(cutter, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def repeats_removed(docs: DataFrame) -> DataFrame:
