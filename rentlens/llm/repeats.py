@@ -162,8 +162,8 @@ def narrow(places: np.ndarray) -> bytes:
     return places.astype("<u2" if places.max(initial=0) < 1 << 16 else "<u4").tobytes()
 
 
-def marked_places(table: pa.Table) -> pa.Table:
-    """Of one part's entries, those whose anchor more than one document has, as (doc_id, places)."""
+def marked_places(table: pa.Table, parts: int) -> pa.Table:
+    """Of one part's entries, those whose anchor more than one document has, as (part, docs, places)."""
     docs, places, anchors, known, through = [], [], [], [], []
     for r in table.to_pylist():
         if r["kind"] == 2:
@@ -182,12 +182,26 @@ def marked_places(table: pa.Table) -> pa.Table:
     shared |= np.isin(anchors_, joined(known, np.uint64))
     through.append((docs_[shared], places_[shared]))
     docs_, places_ = joined([x for x, _ in through], np.int64), joined([x for _, x in through], np.uint32)
-    return by_document(docs_, [places_], ["places"])
+    return by_part(docs_, [places_], ["places"], parts)
 
 
-def by_document(docs: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa.Table:
+def by_part(docs: np.ndarray, columns: list[np.ndarray], names: list[str], parts: int) -> pa.Table:
+    """Entries by part of their document: few rows, however many documents."""
+    part = docs % parts
+    order = np.argsort(part, kind="stable")
+    docs, columns, bounds = docs[order], [x[order].astype("<u4") for x in columns], np.searchsorted(part[order], np.arange(parts + 1))
+    used = np.flatnonzero(np.diff(bounds))
+    cut = lambda x: pa.array([packed(x[bounds[k] : bounds[k + 1]].tobytes()) for k in used], pa.binary())
+    return pa.Table.from_arrays([pa.array(used, pa.int32()), *map(cut, [docs, *columns])], ["part", "docs", *names])
+
+
+def by_document(table: pa.Table) -> pa.Table:
+    """Of one part's rows of `by_part`, a row per document."""
+    names = table.column_names[2:]
+    joined_ = lambda name, kind: np.frombuffer(b"".join(unpacked(x) for x in table.column(name).to_pylist()), kind)
+    docs = joined_("docs", "<i8")
     order = np.argsort(docs, kind="stable")
-    docs, columns = docs[order], [x[order].astype("<u4") for x in columns]
+    docs, columns = docs[order], [joined_(n, "<u4")[order] for n in names]
     heads = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
     bounds = np.append(heads, len(docs)).tolist()
     parts = [[x[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] for x in columns]
@@ -224,7 +238,7 @@ def passage_dealer(parts: int):
                 bounds = np.searchsorted(text, np.arange(end - first + 1))
                 buffer = part.tobytes()
                 for k in range(end - first):
-                    places = np.unique(np.frombuffer(b"".join(marks[first + k]), "<u4")).astype(np.int64)
+                    places = np.unique(np.frombuffer(marks[first + k], "<u4")).astype(np.int64)
                     own = bounds[k] + places[places < bounds[k + 1] - bounds[k]]
                     begin = int(at[k])
                     for s, c, a in zip(starts[own].tolist(), counts[own].tolist(), anchors[own].tolist(), strict=True):
@@ -239,8 +253,8 @@ def passage_dealer(parts: int):
     return deal
 
 
-def marked_ranges(table: pa.Table) -> pa.Table:
-    """Of one part's passages, the byte ranges to cut as (doc_id, starts, ends)."""
+def marked_ranges(table: pa.Table, parts: int) -> pa.Table:
+    """Of one part's passages, the byte ranges to cut as (part, docs, starts, ends)."""
     docs, starts, ends = [], [], []
     first: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
     for r in table.to_pylist():
@@ -270,7 +284,7 @@ def marked_ranges(table: pa.Table) -> pa.Table:
                 block, size = [], 0
     whole += indexed(block)
     extra = np.array(whole, np.int64).reshape(-1, 3)
-    return by_document(joined([*docs, extra[:, 0]], np.int64), [joined([*starts, extra[:, 1]], np.int64), joined([*ends, extra[:, 2]], np.int64)], ["starts", "ends"])
+    return by_part(joined([*docs, extra[:, 0]], np.int64), [joined([*starts, extra[:, 1]], np.int64), joined([*ends, extra[:, 2]], np.int64)], ["starts", "ends"], parts)
 
 
 def indexed(block: list[tuple]) -> list[tuple[int, int, int]]:
@@ -304,7 +318,7 @@ def cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = texts(batch.column("text"))
         for k, (s, e) in enumerate(zip(batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True)):
             own = data[offsets[k] : offsets[k + 1]]
-            starts, ends = united(np.frombuffer(b"".join(s), "<u4").astype(np.int64), np.frombuffer(b"".join(e), "<u4").astype(np.int64))
+            starts, ends = united(np.frombuffer(s, "<u4").astype(np.int64), np.frombuffer(e, "<u4").astype(np.int64))
             keep = np.ones(len(own), bool)
             for a, b in zip(starts, ends, strict=True):
                 keep[a:b] = False
@@ -322,11 +336,11 @@ def cut(docs: DataFrame) -> DataFrame:
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     dealt = docs.mapInArrow(anchor_dealer(parts), DEALT)
-    places = dealt.groupBy("part").applyInArrow(marked_places, "doc_id long, places binary")
-    places = places.groupBy("doc_id").agg(F.collect_list("places").alias("places"))
+    places = dealt.groupBy("part").applyInArrow(lambda t: marked_places(t, parts), "part int, docs binary, places binary")
+    places = places.groupBy("part").applyInArrow(by_document, "doc_id long, places binary")
     dealt = docs.join(places, "doc_id").mapInArrow(passage_dealer(parts), PASSAGES)
-    ranges = dealt.groupBy("part").applyInArrow(marked_ranges, "doc_id long, starts binary, ends binary")
-    ranges = ranges.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
+    ranges = dealt.groupBy("part").applyInArrow(lambda t: marked_ranges(t, parts), "part int, docs binary, starts binary, ends binary")
+    ranges = ranges.groupBy("part").applyInArrow(by_document, "doc_id long, starts binary, ends binary")
     return docs.join(ranges, "doc_id").mapInArrow(cutter, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
