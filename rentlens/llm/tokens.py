@@ -37,7 +37,7 @@ END_ID = 1
 SHARD_TOKENS = 1 << 22
 BLOCK_BITS = 512
 MAGIC = b"DACIDS01"
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 PIECE_CHARS = 1 << 20
 SHARDS = "place long, seq long, path string, n_docs long, n_tokens long"
 
@@ -55,10 +55,21 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.by_words, self.known = Tokenizer.from_file(path), by_words, {"": b""}
+        special = [(x.content, k) for k, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.single_word)]
+        self.parting = special[0] if special else None
 
     def ids(self, parts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        """ids of each word: joined by a special token, whose id parts them again."""
+        if len(words) < 2 or self.parting is None or any(self.parting[0] in w for w in words):
+            return self.ids(words)
+        ids = np.array(self.tokenizer.encode(self.parting[0].join(words), add_special_tokens=False).ids, "<u4")
+        at = np.flatnonzero(ids == self.parting[1])
+        data, bounds = ids.tobytes(), [0, *(4 * at + 4).tolist(), 4 * len(ids) + 4]
+        return [data[a : b - 4] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
     def encode(self, text: str) -> bytes:
         if not self.by_words:
             return self.ids([text])[0]
@@ -76,11 +87,21 @@ class Encoder:
         except KeyError:
             if len(self.known) > CACHE_WORDS:
                 self.known = {"": b""}
-            new = list(set(words) - self.known.keys())
-            self.known.update(zip(new, self.ids(new), strict=True))
+            new = [w for w in dict.fromkeys(words) if w not in self.known]
+            self.known.update(zip(new, self.word_ids(new), strict=True))
             return b"".join(map(self.known.__getitem__, words))
 
 
+_encoders: dict[tuple[str, bool], Encoder] = {}
+
+
+def encoder_of(path: str, by_words: bool) -> Encoder:
+    """One encoder, with the words it knows, for all tasks of a Python worker."""
+    if (path, by_words) not in _encoders:
+        _encoders[path, by_words] = Encoder(path, by_words)
+    return _encoders[path, by_words]
+
+
 def shard_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> Iterator[bytes]:
     """The parts of a shard file: magic, header length, header, sections."""
     sections: list[bytes] = []
@@ -160,7 +181,7 @@ def shard_writer(folder: str, tokenizer: str, by_words: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
-        encoder, place, seq = Encoder(tokenizer, by_words), TaskContext.get().partitionId(), 0
+        encoder, place, seq = encoder_of(tokenizer, by_words), TaskContext.get().partitionId(), 0
         end_id = np.array([END_ID], "<u4").tobytes()
         doc_ids, lengths, parts, size = [], [], [], 0
 
