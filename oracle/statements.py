@@ -38,7 +38,7 @@ PROFILE = f"""
 TABLE = """
     SELECT customer_id, full_name, city, country, total_rentals, total_spending, late_return_rate,
            rfm_segment, round_even(risk_score, 6) AS risk_score, is_high_risk, spending_tier
-    FROM profile ORDER BY {order}, customer_id LIMIT 200"""
+    FROM profile ORDER BY {order}, customer_id"""
 TABLE_ORDERS = {
     "name_asc": "profile.full_name", "name_desc": "profile.full_name DESC",
     "spending_desc": "profile.total_spending DESC", "spending_asc": "profile.total_spending",
@@ -47,7 +47,7 @@ TABLE_ORDERS = {
 }
 FOUND = """
     SELECT customer_id, full_name, city, country, rfm_segment, is_high_risk FROM profile
-    WHERE {condition} ORDER BY customer_id LIMIT 10"""
+    WHERE {condition} ORDER BY customer_id"""
 NEXT_GENRE = f"""
     SELECT customer_id, last_category, last_film, last_date, position::INTEGER AS position,
            next_category, n AS count, {r("prob", "prob")}, {r("adjusted_prob", "adjusted_prob")},
@@ -272,6 +272,8 @@ STATEMENTS: dict[str, str] = {
     },
     "customer_search": statement(FOUND.format(
         condition="regexp_matches(full_name, 'building customer#0000000.1', 'i')")),
+    "customer_search_segment": statement(FOUND.format(
+        condition="regexp_matches(full_name, '(?i)^building ')")),
     "customer_by_id": statement(FOUND.format(condition="customer_id = 42")),
     "return_split": statement("""
         SELECT customer_id, total_rentals - late_return_count AS on_time, late_return_count AS late

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 
 from rentlens.registry import PLANS
 from rentlens.session import build_session
@@ -16,10 +17,18 @@ from rentlens.workspace import Workspace
 SOURCES = {"parquet": from_parquet, "star": from_star, "jdbc": from_jdbc}
 
 
-def run(workspace: Workspace, target: str, names: list[str], mode: str = "errorifexists") -> None:
-    """All analyses over one workspace, so shared tables are built once."""
+def run(
+    workspace: Workspace, target: str, names: list[str], mode: str = "errorifexists",
+    params: dict[str, dict] | None = None,
+) -> None:
+    """All analyses over one workspace, so shared tables are built once.
+
+    ``params`` has the arguments of analyses by name, such as
+    ``{"customer_search": {"name": "^smith"}}``.
+    """
     for name in names:
-        write_result(PLANS[name](workspace), f"{target}/{name}", mode=mode)
+        result = PLANS[name](workspace, **(params or {}).get(name, {}))
+        write_result(result, f"{target}/{name}", mode=mode)
 
 
 def main() -> None:
@@ -29,10 +38,17 @@ def main() -> None:
     parser.add_argument("--to", dest="target", required=True)
     parser.add_argument("--queries", nargs="+", choices=PLANS, default=["customer_profiles"])
     parser.add_argument("--mode", choices=["errorifexists", "overwrite"], default="errorifexists")
+    parser.add_argument("--params", type=json.loads, default={}, help='{"query": {"argument": value}}')
+    parser.add_argument("--option", action="append", default=[], help="key=value of the JDBC reader")
+    parser.add_argument("--partitions", type=int, default=64, help="key ranges of JDBC reads")
     given = parser.parse_args()
     spark = build_session("rentlens-job")
-    relations = SOURCES[given.source](spark, given.origin)
-    run(Workspace(spark, relations), given.target, given.queries, given.mode)
+    more = {}
+    if given.source == "jdbc":
+        more = {"options": dict(x.split("=", 1) for x in given.option), "partitions": given.partitions}
+    workspace = Workspace(spark, SOURCES[given.source](spark, given.origin, **more))
+    run(workspace, given.target, given.queries, given.mode, given.params)
+    workspace.close()
 
 
 if __name__ == "__main__":

@@ -71,8 +71,9 @@ def customer_places(rel: Relations) -> DataFrame:
 def payment_totals(rel: Relations) -> DataFrame:
     """Payments per rental, in whole cents: exact sums without big decimals."""
     kind = rel.payment.schema["amount"].dataType
-    if isinstance(kind, T.DecimalType) and kind.scale > 2:
-        raise ValueError(f"payment.amount has more than two decimals: {kind.simpleString()}")
+    whole = isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    if not whole and not (isinstance(kind, T.DecimalType) and kind.scale <= 2):
+        raise ValueError(f"payment.amount must have two decimals at most, not {kind.simpleString()}: cast it first")
     cents = (F.col("amount").cast("decimal(16,2)") * 100).cast("long")
     return (
         rel.payment.select("rental_id", cents.alias("cents"))
@@ -115,12 +116,10 @@ def is_late() -> Column:
 def overdue_us() -> Column:
     """Microseconds over the limit, 0 if in time or not returned.
 
-    A double holding whole numbers: its sums are exact (and so independent of
-    the order of rows) up to 2**53, and lose precision instead of overflowing
-    beyond that.
+    A whole decimal: its sums are exact, and so independent of the order of rows.
     """
     late_by = elapsed_us("rental_date", "return_date") - F.col("allowed_days") * F.lit(DAY_US)
-    return F.greatest(late_by, F.lit(0)).cast("double")
+    return F.greatest(late_by, F.lit(0)).cast("decimal(20,0)")
 
 
 def late_rows() -> Column:
@@ -153,6 +152,6 @@ def rental_fact(rel: Relations) -> DataFrame:
         (elapsed_us("rental_date", "return_date") / F.lit(float(DAY_US))).alias(
             "rental_duration_actual"
         ),
-        (overdue_us() / F.lit(float(DAY_US))).alias("days_overdue"),
+        (overdue_us().cast("double") / F.lit(float(DAY_US))).alias("days_overdue"),
         is_late().alias("is_late_return"),
     )

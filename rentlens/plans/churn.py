@@ -84,12 +84,14 @@ def _high(ws, variant: str) -> DataFrame:
     return churn_scores(ws, variant).where(F.col("churn_risk_label") == labels.CHURN_ORDER[0])
 
 
-def churn_revenue_by_country(ws, variant: str = "observed") -> DataFrame:
+def churn_revenue_by_country(
+    ws, variant: str = "observed", limit: int = COUNTRIES_SHOWN
+) -> DataFrame:
     """The countries with most spending by high-churn customers."""
     largest = (
         _high(ws, variant).where(F.col("country").isNotNull())
         .groupBy("country").agg(_revenue().alias("revenue_at_risk"))
-        .orderBy(F.desc("revenue_at_risk"), "country").limit(COUNTRIES_SHOWN)
+        .orderBy(F.desc("revenue_at_risk"), "country").limit(limit)
     )
     return largest.orderBy("revenue_at_risk", F.desc("country"))
 
@@ -100,10 +102,10 @@ def revenue_at_risk(ws, variant: str = "observed") -> DataFrame:
     )
 
 
-def top_churn(ws, variant: str = "observed") -> DataFrame:
+def top_churn(ws, variant: str = "observed", limit: int = CUSTOMERS_SHOWN) -> DataFrame:
     return (
         churn_scores(ws, variant)
-        .orderBy(F.desc("churn_score"), "customer_id").limit(CUSTOMERS_SHOWN)
+        .orderBy(F.desc("churn_score"), "customer_id").limit(limit)
         .select(
             "customer_id", "full_name", "city", "country", "rfm_segment",
             "days_since_last_rental", "total_rentals", "total_spending",

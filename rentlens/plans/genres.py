@@ -205,7 +205,7 @@ def _category_pairs(ws, keep) -> DataFrame:
     )
 
 
-def top_bundles(ws) -> DataFrame:
+def top_bundles(ws, limit: int = BUNDLES_SHOWN) -> DataFrame:
     """The most shared category pairs; pairs nobody shares take part as 0."""
     pairs = _category_pairs(ws, lambda a, b: a < b)
     everyone = F.lit(float(max(ws.size.customers, 1)))
@@ -214,5 +214,5 @@ def top_bundles(ws) -> DataFrame:
         .select("genre_a", "genre_b", F.coalesce("customers", F.lit(0)).alias("customers"))
         .withColumn("pct_customers", F.col("customers") / everyone * 100)
         .orderBy(F.desc("customers"), "genre_a", "genre_b")
-        .limit(BUNDLES_SHOWN)
+        .limit(limit)
     )

@@ -122,7 +122,7 @@ def category_stats(ws) -> DataFrame:
             fact.dollars(F.sum("cents")).alias("revenue"),
             F.try_divide(fact.dollars(F.sum("cents")), F.sum("n_paid")).alias("avg_payment"),
             F.sum(fact.late_rows()).alias("late_count"),
-            (F.sum(fact.overdue_us() * F.col("n_rows")) / F.sum("n_rows") / F.lit(float(DAY_US)))
+            (F.sum(fact.overdue_us() * F.col("n_rows")).cast("double") / F.sum("n_rows") / F.lit(float(DAY_US)))
             .alias("avg_overdue_days"),
         )
         .orderBy(F.desc("rentals"), "category")

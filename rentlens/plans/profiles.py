@@ -42,7 +42,7 @@ def customer_genre_measures(ws) -> DataFrame:
             F.sum("cents").alias("cents"),
             F.sum(fact.late_rows()).alias("late"),
             F.sum(F.when(F.col("return_date").isNotNull(), n).otherwise(0)).alias("returned"),
-            F.sum(fact.overdue_us() * n).alias("overdue_us"),
+            F.sum(fact.overdue_us() * n).cast("decimal(38,0)").alias("overdue_us"),
             F.sum(F.when(weekend, n).otherwise(0)).alias("weekend"),
             F.min("rental_date").alias("first_date"),
             F.max("rental_date").alias("last_date"),
@@ -59,7 +59,7 @@ def profile_measures(ws) -> DataFrame:
         F.max("last_date").alias("last_rental_date"),
         F.min("first_date").alias("first_rental_date"),
         F.sum("late").alias("late_return_count"),
-        (F.sum("overdue_us") / F.sum("rentals") / F.lit(float(DAY_US))).alias("avg_days_overdue"),
+        (F.sum("overdue_us").cast("double") / F.sum("rentals") / F.lit(float(DAY_US))).alias("avg_days_overdue"),
         F.sum("weekend").alias("weekend_rentals"),
         F.count(F.lit(1)).alias("unique_genres"),
         # Most rows first, then the alphabetically first category.

@@ -30,11 +30,11 @@ def risk_by_segment(ws) -> DataFrame:
     )
 
 
-def top_risk(ws) -> DataFrame:
+def top_risk(ws, limit: int = CUSTOMERS_SHOWN) -> DataFrame:
     """The high-risk customers with the highest scores, rounded for display."""
     return (
         profiles(ws).where("is_high_risk")
-        .orderBy(F.desc("risk_score"), "customer_id").limit(CUSTOMERS_SHOWN)
+        .orderBy(F.desc("risk_score"), "customer_id").limit(limit)
         .select(
             "customer_id", "full_name", "city", "country", "total_rentals", "late_return_count",
             rint_to(F.col("late_return_rate") * 100, 1).alias("late_return_pct"),

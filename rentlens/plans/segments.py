@@ -19,8 +19,6 @@ TABLE_ORDERS = {
     "rentals_asc": ("total_rentals", True),
     "risk_desc": ("risk_score", False),
 }
-TABLE_ROWS = 200
-SEARCH_ROWS = 10
 
 
 def filtered(
@@ -93,14 +91,18 @@ def segment_value(ws) -> DataFrame:
     )
 
 
-def customer_table(ws, order: str = "name_asc", **filters) -> DataFrame:
-    """The customer list in one of the offered orders, as far as it is shown."""
+def at_most(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
+def customer_table(
+    ws, order: str = "name_asc", limit: int | None = None, **filters
+) -> DataFrame:
+    """The customers within the filters in one of the offered orders; all unless fewer are asked for."""
     column, ascending = TABLE_ORDERS[order]
     key = F.col(column).asc() if ascending else F.col(column).desc()
     return (
-        filtered(profiles(ws), **filters)
-        .orderBy(key, "customer_id")
-        .limit(TABLE_ROWS)
+        at_most(filtered(profiles(ws), **filters).orderBy(key, "customer_id"), limit)
         .select(
             "customer_id", "full_name", "city", "country", "total_rentals", "total_spending",
             "late_return_rate", "rfm_segment", "risk_score", "is_high_risk", "spending_tier",
@@ -120,11 +122,13 @@ def _matches(name: str, customer_id: str) -> Column:
     return found
 
 
-def customer_search(ws, name: str = "", customer_id: str = "") -> DataFrame:
-    """The first matches by name pattern and id, in id order."""
+def customer_search(
+    ws, name: str = "", customer_id: str = "", limit: int | None = None
+) -> DataFrame:
+    """The matches by name pattern and id, in id order; all unless fewer are asked for."""
+    found = profiles(ws).where(_matches(name, customer_id)).orderBy("customer_id")
     return (
-        profiles(ws).where(_matches(name, customer_id))
-        .orderBy("customer_id").limit(SEARCH_ROWS)
+        at_most(found, limit)
         .select("customer_id", "full_name", "city", "country", "rfm_segment", "is_high_risk")
     )
 

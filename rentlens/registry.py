@@ -43,6 +43,7 @@ PLANS: dict[str, Plan] = {
         for order in segments.TABLE_ORDERS
     },
     "customer_search": partial(segments.customer_search, name="building customer#0000000.1"),
+    "customer_search_segment": partial(segments.customer_search, name="^building "),
     "customer_by_id": partial(segments.customer_search, customer_id="42"),
     "return_split": segments.return_split,
     "risk_split": risk.risk_split,

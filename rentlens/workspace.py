@@ -56,6 +56,12 @@ class Workspace:
         self._kept: dict[str, DataFrame] = {}
         self.memo: dict = {}
 
+    def close(self) -> None:
+        """Removes this workspace's folder; tables read from it cannot be used any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._kept.clear()
+
     def query(self, sql: str, params: dict | list | None = None) -> DataFrame:
         """SQL over the ten relations by name, with bound parameters."""
         self.relations.register_views()
