@@ -38,6 +38,17 @@ def further_pairs(members: DataFrame, labels: DataFrame, share: int) -> tuple[Da
     return left.select("id", "bucket"), pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
+def merged(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
+    """labels after new links: components of the components that these join, so work follows the new links."""
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("label").alias(f"label_{x}"))
+    ends = [F.coalesce(f"label_{x}", x).alias(x) for x in ("a", "b")]
+    joins = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(*ends)
+    changed = stored(components(joins, folder), f"{folder}/changed")
+    now = changed.select(F.col("id").alias("label"), F.col("label").alias("now"))
+    old = labels.join(now, "label", "left").select("id", F.coalesce("now", "label").alias("label"))
+    return old.unionByName(changed.join(labels, "id", "left_anti"))
+
+
 def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
     """(id, label) of every id that has a verified link, label the smallest id of its component.
 
@@ -48,15 +59,17 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
     """
     tried = stored(star_pairs(members), f"{folder}/pairs0")
     links = stored(verified(tried), f"{folder}/links0")
+    labels = stored(components(links, f"{folder}/labels0"), f"{folder}/components0")
     share, turn = 1, 0
     while True:
-        labels = stored(components(links, f"{folder}/labels{turn}"), f"{folder}/components{turn}")
         members, pairs = further_pairs(members, labels, share)
         members = stored(members, f"{folder}/members{turn}")
         pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs{turn + 1}")
         if not pairs.isEmpty():
             tried = tried.unionByName(pairs)
-            links = links.unionByName(stored(verified(pairs), f"{folder}/links{turn + 1}"))
+            links = stored(verified(pairs), f"{folder}/links{turn + 1}")
+            if not links.isEmpty():
+                labels = stored(merged(labels, links, f"{folder}/labels{turn + 1}"), f"{folder}/components{turn + 1}")
         elif members.isEmpty() or share >= members.groupBy("bucket").count().agg(F.max("count")).first()[0]:
             return labels
         share, turn = share * 4, turn + 1
