@@ -12,6 +12,8 @@ from rentlens.llm.common import stored
 
 #: Of buckets up to this size, all pairs across components are compared at once.
 SMALL_BUCKET = 8
+#: Factor by which the share of larger buckets grows from round to round.
+GROWTH = 16
 
 
 def shared(members: DataFrame) -> DataFrame:
@@ -26,16 +28,20 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return members.join(least, "bucket").where("id > a").select("a", F.col("id").alias("b")).distinct()
 
 
-def further_pairs(members: DataFrame, labels: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
-    """Members of buckets that span components, and their pairs across components with about `share` of each bucket."""
+def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, id, label, n) of the members of buckets that span components, n the bucket's size."""
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    mixed = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    left = labelled.join(mixed.select("bucket", "n"), "bucket")
+    sizes = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    return labelled.join(sizes.select("bucket", "n"), "bucket").select("bucket", "id", "label", "n")
+
+
+def further_pairs(left: DataFrame, share: int) -> DataFrame:
+    """Pairs across components of mixed buckets' members with about `share` of each bucket."""
     place = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 30)) * F.col("n")
     picked = left.where((F.col("n") <= SMALL_BUCKET) | (place < F.lit(share).cast("long") * (1 << 30)))
     picked = picked.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"))
     pairs = left.join(picked, "bucket").where("label != label2")
-    return left.select("id", "bucket"), pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def merged(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
@@ -54,7 +60,7 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
 
     verified takes pairs (a, b) and returns those that hold. First each member meets
     the smallest of its bucket. Then, in rounds, buckets that still span components are
-    compared across them with a share of their members that grows fourfold, up to all:
+    compared across them with a share of their members that grows by GROWTH, up to all:
     in the end each pair of a bucket is in one component or has been compared.
     """
     tried = stored(star_pairs(members), f"{folder}/pairs0")
@@ -62,14 +68,15 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
     labels = stored(components(links, f"{folder}/labels0"), f"{folder}/components0")
     share, turn = 1, 0
     while True:
-        members, pairs = further_pairs(members, labels, share)
-        members = stored(members, f"{folder}/members{turn}")
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs{turn + 1}")
-        if not pairs.isEmpty():
-            tried = tried.unionByName(pairs)
-            links = stored(verified(pairs), f"{folder}/links{turn + 1}")
-            if not links.isEmpty():
-                labels = stored(merged(labels, links, f"{folder}/labels{turn + 1}"), f"{folder}/components{turn + 1}")
-        elif members.isEmpty() or share >= members.groupBy("bucket").count().agg(F.max("count")).first()[0]:
+        left = stored(mixed(members, labels), f"{folder}/members{turn}")
+        most = left.agg(F.max("n")).first()[0]
+        if most is None:
+            return labels
+        pairs = stored(further_pairs(left, share).join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs{turn + 1}")
+        links = stored(verified(pairs), f"{folder}/links{turn + 1}")
+        if not links.isEmpty():
+            labels = stored(merged(labels, links, f"{folder}/labels{turn + 1}"), f"{folder}/components{turn + 1}")
+        if max(share, SMALL_BUCKET) >= most:
             return labels
-        share, turn = share * 4, turn + 1
+        members, tried = left.select("bucket", "id"), tried.unionByName(pairs)
+        share, turn = share * GROWTH, turn + 1
