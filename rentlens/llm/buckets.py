@@ -55,17 +55,27 @@ def merged(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     return old.unionByName(changed.join(labels, "id", "left_anti"))
 
 
-def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folder: str, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, label) of every id that has a verified link, label the smallest id of its component.
 
     verified takes pairs (a, b) and returns those that hold. First each member meets
     the smallest of its bucket. Then, in rounds, buckets that still span components are
     compared across them with a share of their members that grows by GROWTH, up to all:
     in the end each pair of a bucket is in one component or has been compared.
+
+    finer takes (id) and returns further members (bucket, id) such that ids with a link
+    always share one of these buckets. Where given, larger buckets that still span
+    components are replaced by them, so that a large bucket of unlike members
+    is not compared pair by pair.
     """
     tried = stored(star_pairs(members), f"{folder}/pairs0")
     links = stored(verified(tried), f"{folder}/links0")
     labels = stored(components(links, f"{folder}/labels0"), f"{folder}/components0")
+    if finer:
+        left = stored(mixed(members, labels), f"{folder}/spanning")
+        large = finer(left.where(F.col("n") > SMALL_BUCKET).select("id").distinct())
+        small = left.where(F.col("n") <= SMALL_BUCKET).select("bucket", "id")
+        members = small.unionByName(shared(stored(large, f"{folder}/finer")))
     share, turn = 1, 0
     while True:
         left = stored(mixed(members, labels), f"{folder}/members{turn}")

@@ -223,6 +223,32 @@ def verifier(table):
     return verify
 
 
+def prefixes(table):
+    """(bucket, id): features without which the others of a text weigh less than SIMILARITY of it, taken from the rarest on.
+
+    Texts that share none of them share less than SIMILARITY of the one whose
+    features end first in that order, so they cannot be near.
+    """
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = texts(batch.column("text"))
+            buckets, sizes = [], []
+            for _, _, part, at in slices(data, offsets, TEXT_BYTES):
+                own, counts, bounds = distinct(*features(part, at))
+                idf = table.value[slot_of(own)]
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                    order = a + np.lexsort((own[a:b], -idf[a:b]))
+                    before = np.cumsum(counts[order] * idf[order].astype(np.float64))
+                    n = np.searchsorted(before, (1 - SIMILARITY + 1e-5) * before[-1], "right") + 1 if b > a else 0
+                    buckets.append(own[order[:n]].view(np.int64))
+                    sizes.append(len(buckets[-1]))
+            ids = np.repeat(batch.column("doc_id").to_numpy(), sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*buckets, np.zeros(0, np.int64)])), pa.array(ids, pa.int64())], ["bucket", "id"])
+
+    return prefix
+
+
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class) of every row, and (class, id, group) of every class: id is its smallest doc_id, group that of its component."""
     spark = docs.sparkSession
@@ -242,7 +268,10 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
         return both.mapInArrow(verifier(idf), "a long, b long, score double").where(F.col("score") >= SIMILARITY).select("a", "b")
 
-    labels = linked(members, verified, folder)
+    def finer(ids: DataFrame) -> DataFrame:
+        return firsts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(prefixes(idf), "bucket long, id long")
+
+    labels = linked(members, verified, folder, finer)
     groups = classes.select("class", "id").join(labels, "id", "left").withColumn("group", F.coalesce("label", "id")).drop("label")
     return signed.select("doc_id", "class"), stored(groups, f"{folder}/groups")
 
