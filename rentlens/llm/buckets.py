@@ -29,18 +29,21 @@ def star_pairs(members: DataFrame) -> DataFrame:
 
 
 def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, id, label, n) of the members of buckets that span components, n the bucket's size."""
+    """(bucket, id, label, n, and what members have besides) of the members of buckets that span components, n the bucket's size."""
     labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     sizes = labelled.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return labelled.join(sizes.select("bucket", "n"), "bucket").select("bucket", "id", "label", "n")
+    return labelled.join(sizes.select("bucket", "n"), "bucket")
 
 
-def further_pairs(left: DataFrame, share: int) -> DataFrame:
+def further_pairs(left: DataFrame, share: int, bound: str | None) -> DataFrame:
     """Pairs across components of mixed buckets' members with about `share` of each bucket."""
     place = F.pmod(F.xxhash64("id", "bucket"), F.lit(1 << 30)) * F.col("n")
     picked = left.where((F.col("n") <= SMALL_BUCKET) | (place < F.lit(share).cast("long") * (1 << 30)))
-    picked = picked.select("bucket", F.col("id").alias("id2"), F.col("label").alias("label2"))
+    names = [c for c in left.columns if c not in ("bucket", "n")]
+    picked = picked.select("bucket", *[F.col(c).alias(f"{c}2") for c in names])
     pairs = left.join(picked, "bucket").where("label != label2")
+    if bound:
+        pairs = pairs.where(bound)
     return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
@@ -55,7 +58,7 @@ def merged(labels: DataFrame, links: DataFrame, folder: str) -> DataFrame:
     return old.unionByName(changed.join(labels, "id", "left_anti"))
 
 
-def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folder: str, finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folder: str, finer: Callable[[DataFrame], DataFrame] | None = None, bound: str | None = None) -> DataFrame:
     """(id, label) of every id that has a verified link, label the smallest id of its component.
 
     verified takes pairs (a, b) and returns those that hold. First each member meets
@@ -66,7 +69,8 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
     finer takes (id) and returns further members (bucket, id) such that ids with a link
     always share one of these buckets. Where given, larger buckets that still span
     components are replaced by them, so that a large bucket of unlike members
-    is not compared pair by pair.
+    is not compared pair by pair. They may have further columns, by which bound, a
+    condition on them and their twins ending in 2, tells what can be a link at all.
     """
     tried = stored(star_pairs(members), f"{folder}/pairs0")
     links = stored(verified(tried), f"{folder}/links0")
@@ -75,18 +79,18 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
         left = stored(mixed(members, labels), f"{folder}/spanning")
         large = finer(left.where(F.col("n") > SMALL_BUCKET).select("id").distinct())
         small = left.where(F.col("n") <= SMALL_BUCKET).select("bucket", "id")
-        members = small.unionByName(shared(stored(large, f"{folder}/finer")))
+        members = small.unionByName(shared(stored(large, f"{folder}/finer")), allowMissingColumns=True)
     share, turn = 1, 0
     while True:
         left = stored(mixed(members, labels), f"{folder}/members{turn}")
         most = left.agg(F.max("n")).first()[0]
         if most is None:
             return labels
-        pairs = stored(further_pairs(left, share).join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs{turn + 1}")
+        pairs = stored(further_pairs(left, share, bound).join(tried, ["a", "b"], "left_anti"), f"{folder}/pairs{turn + 1}")
         links = stored(verified(pairs), f"{folder}/links{turn + 1}")
         if not links.isEmpty():
             labels = stored(merged(labels, links, f"{folder}/labels{turn + 1}"), f"{folder}/components{turn + 1}")
         if max(share, SMALL_BUCKET) >= most:
             return labels
-        members, tried = left.select("bucket", "id"), tried.unionByName(pairs)
+        members, tried = left.drop("label", "n"), tried.unionByName(pairs)
         share, turn = share * GROWTH, turn + 1

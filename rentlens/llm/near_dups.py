@@ -38,6 +38,10 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 3, 10
 SAMPLES = ROWS * BANDS
+#: Room for rounding where weights only choose what is compared.
+SLACK = 1e-5
+#: Common weight c of texts of weights a and b gives c / (a + b - c), so SIMILARITY asks for this much of a + b.
+REACHABLE = f"reach is null or reach2 is null or least(reach, reach2) >= {SIMILARITY / (1 + SIMILARITY) - SLACK} * (whole + whole2)"
 IDF_SLOTS = 1 << 20
 SLOT_BLOCK = 1 << 14
 #: Draws come from tables of quantiles, looked up by bits of a hash.
@@ -224,27 +228,32 @@ def verifier(table):
 
 
 def prefixes(table):
-    """(bucket, id): features without which the others of a text weigh less than SIMILARITY of it, taken from the rarest on.
+    """(bucket, id, whole, reach): features without which the others of a text weigh less than SIMILARITY of it, taken from the rarest on.
 
     Texts that share none of them share less than SIMILARITY of the one whose
-    features end first in that order, so they cannot be near.
+    features end first in that order, so they cannot be near. whole is the text's
+    weight, reach that of the feature and all after it: texts whose first common
+    feature it is share at most the smaller reach (REACHABLE).
     """
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = texts(batch.column("text"))
-            buckets, sizes = [], []
+            buckets, sizes, reach, whole = [], [], [], []
             for _, _, part, at in slices(data, offsets, TEXT_BYTES):
                 own, counts, bounds = distinct(*features(part, at))
                 idf = table.value[slot_of(own)]
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     order = a + np.lexsort((own[a:b], -idf[a:b]))
-                    before = np.cumsum(counts[order] * idf[order].astype(np.float64))
-                    n = np.searchsorted(before, (1 - SIMILARITY + 1e-5) * before[-1], "right") + 1 if b > a else 0
+                    sums = np.concatenate([[0.0], np.cumsum(counts[order] * idf[order].astype(np.float64))])
+                    n = min(b - a, int(np.searchsorted(sums[1:], (1 - SIMILARITY + SLACK) * sums[-1], "right")) + 1)
                     buckets.append(own[order[:n]].view(np.int64))
-                    sizes.append(len(buckets[-1]))
+                    sizes.append(n)
+                    whole.append(sums[-1])
+                    reach.append(sums[-1] - sums[:n])
             ids = np.repeat(batch.column("doc_id").to_numpy(), sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*buckets, np.zeros(0, np.int64)])), pa.array(ids, pa.int64())], ["bucket", "id"])
+            columns = [np.concatenate([np.zeros(0, np.int64), *buckets]), ids, np.repeat(whole, sizes), np.concatenate([[], *reach])]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["bucket", "id", "whole", "reach"])
 
     return prefix
 
@@ -269,9 +278,9 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return both.mapInArrow(verifier(idf), "a long, b long, score double").where(F.col("score") >= SIMILARITY).select("a", "b")
 
     def finer(ids: DataFrame) -> DataFrame:
-        return firsts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(prefixes(idf), "bucket long, id long")
+        return firsts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(prefixes(idf), "bucket long, id long, whole double, reach double")
 
-    labels = linked(members, verified, folder, finer)
+    labels = linked(members, verified, folder, finer, REACHABLE)
     groups = classes.select("class", "id").join(labels, "id", "left").withColumn("group", F.coalesce("label", "id")).drop("label")
     return signed.select("doc_id", "class"), stored(groups, f"{folder}/groups")
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,31 @@ def test_near_duplicates(docs, nothing):
     assert {r.doc_id for r in kept.collect()} >= {1, 4, 6, 7, 8, 9, 10, 12, 13} and not {2, 3, 11} & {r.doc_id for r in kept.collect()}
 
 
+def test_variants_of_one_text_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 150)]
+    texts = []
+    for k in range(90):
+        words = list(base if k % 3 or not texts else texts[-1].split())
+        for at in rng.integers(0, len(words), k % 3 * 2 + 1):
+            words[at] = f"x{rng.integers(0, 1 << 40)}"
+        texts.append(" ".join(words))
+    grams = [Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in map(str.split, texts)]
+    idf = Counter(g for x in grams for g in x)
+    idf = {g: math.log(1 + len(texts) / n) for g, n in idf.items()}
+    total = [sum(n * idf[g] for g, n in x.items()) for x in grams]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            common = sum(min(n, grams[b][g]) * idf[g] for g, n in grams[a].items())
+            if common >= 0.8 * (total[a] + total[b] - common) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if x == high else x for x in group]
+    found = by_id(near_dups.duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert 10 < len(set(group)) < 80
+    assert [found[k].group_id for k in range(len(texts))] == group
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     own = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))
