@@ -101,6 +101,30 @@ def test_lines_match_brute_force(docs, nothing, spark):
     assert texts[1].text == f"{line}\nshort\n" and texts[4].text == "a line"
 
 
+def removed_by_brute_force(lines: list[str]) -> list[int]:
+    sets = [fuzzy_lines.shingle_set(x) for x in lines]
+    group = list(range(len(lines)))
+    for a in range(len(lines)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = [low if x == high else x for x in group]
+    return [k for k, g in enumerate(group) if g != k]
+
+
+def test_one_edit_in_lines_of_any_length_matches_brute_force(spark):
+    rng = np.random.default_rng(11)
+    lines = []
+    for size in (30, 38, 39, 50, 80, 150):
+        for k in range(8):
+            line = "".join(map(chr, rng.permutation(np.arange(0x4E00, 0x4E00 + 3000))[:size]))
+            at = 1 if k == 0 else size // 2 + k - 4
+            lines += [line, line[:at] + "#" + line[at + 1 :]]
+    found = by_id(fuzzy_lines.line_report(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")))[1].removed_lines
+    assert found == removed_by_brute_force(lines)
+    assert {len(lines[k]) for k in found} >= {39, 50, 80, 150} and sum(len(lines[k]) == 50 for k in found) == 8
+
+
 def test_contamination(docs, nothing, spark):
     items = spark.createDataFrame([(1, PASSAGE), (2, "Grüße AUS"), (3, None), (None, "a text without id"), (2, "zzz")], "item_id long, text string")
     found = by_id(decontaminate.contamination(docs, items))
