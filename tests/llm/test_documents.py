@@ -125,6 +125,22 @@ def test_one_edit_in_lines_of_any_length_matches_brute_force(spark):
     assert {len(lines[k]) for k in found} >= {39, 50, 80, 150} and sum(len(lines[k]) == 50 for k in found) == 8
 
 
+def test_periodic_lines_match_brute_force(spark):
+    marks = ("-", "=", "|---", ". ", "-=~", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(0x4E00, 0x4E00 + 70))))
+    lines = [(m * size)[:size] for k, m in enumerate(marks) for size in ((40, 70, 100, 3000) if k % 2 else (40, 100, 3000))]
+    found = by_id(fuzzy_lines.line_report(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")))[1].removed_lines
+    assert found == removed_by_brute_force(lines) and {1, 2, 4, 5, 6, 8, 9} <= set(found)
+
+
+def test_lines_of_similarity_share_a_scheme():
+    assert fuzzy_lines.SHORT <= fuzzy_lines.SIMILARITY * (fuzzy_lines.LONG + 1)
+    lines = ["-" * 40, "-" * 100, "ab" * 300, "".join(map(chr, range(0x4E00, 0x4E00 + 200)))]
+    codes = np.array([ord(c) for c in "".join(lines)], np.uint32)
+    ends = np.cumsum([len(x) for x in lines])
+    counts = fuzzy_lines.n_distinct(*fuzzy_lines.shingles(fuzzy_lines.code_sums(codes), ends - [len(x) for x in lines], ends))
+    assert counts.tolist() == [37, 1, 2, 197]
+
+
 def test_contamination(docs, nothing, spark):
     items = spark.createDataFrame([(1, PASSAGE), (2, "Grüße AUS"), (3, None), (None, "a text without id"), (2, "zzz")], "item_id long, text string")
     found = by_id(decontaminate.contamination(docs, items))
