@@ -2,8 +2,9 @@
 
 A text's features are its distinct 5-word shingles (words of bytes, A-Z lowered;
 a text of fewer words is one shingle), weighted by count times idf. Document
-frequencies are counted over all documents in a table of IDF_SLOTS hashed slots,
-of fixed size whatever the corpus; each idf is ln(1 + documents / slot count).
+frequencies are exact for each 64-bit shingle hash: blocks of documents deal their
+distinct hashes and counts out by hash, and what is summed there goes back to the
+blocks; each idf is ln(1 + documents / frequency). No table grows with the corpus.
 
 Consistent weighted sampling draws SAMPLES features per text such that two texts
 draw the same with the probability of their weighted Jaccard similarity. BANDS of
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from rentlens.llm.bytewords import mix, slices, texts, window_hashes, windows_inside, word_hashes, words
 from rentlens.llm.buckets import linked, shared
 from rentlens.llm.common import scratch, stored
+from rentlens.llm.repeats import packed, unpacked
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -42,8 +44,8 @@ SAMPLES = ROWS * BANDS
 SLACK = 1e-5
 #: Common weight c of texts of weights a and b gives c / (a + b - c), so SIMILARITY asks for this much of a + b.
 REACHABLE = f"reach is null or reach2 is null or least(reach, reach2) >= {SIMILARITY / (1 + SIMILARITY) - SLACK} * (whole + whole2)"
-IDF_SLOTS = 1 << 20
-SLOT_BLOCK = 1 << 14
+#: Frequencies are counted for blocks of documents of this size at once, or for one longer text.
+BLOCK_BYTES = 1 << 22
 #: Draws come from tables of quantiles, looked up by bits of a hash.
 QUANTILES = 1 << 15
 #: Texts are worked on together up to this size, so that arrays stay in the cache.
@@ -82,25 +84,51 @@ def distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return hashes[at], counts, np.searchsorted(at, bounds)
 
 
-def slot_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(IDF_SLOTS - 1)).astype(np.int64)
+def blocker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(docs, texts): a row per block of documents."""
+    for batch in batches:
+        column = batch.column("text").cast(pa.string()).fill_null("")
+        _, offsets = texts(column)
+        for first, end, _, _ in slices(offsets, offsets, BLOCK_BYTES):
+            bounds = pa.array([0, end - first], pa.int32())
+            lists = [pa.ListArray.from_arrays(bounds, x.slice(first, end - first)) for x in (batch.column("doc_id"), column)]
+            yield pa.RecordBatch.from_arrays(lists, ["docs", "texts"])
+
+
+def dealt(column: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """Of a block's texts: distinct hashes by part, in how many of them each is, the parts' bounds, and the texts' own features."""
+    data, offsets = texts(column)
+    pieces = [(part, at, *distinct(*features(part, at))) for _, _, part, at in slices(data, offsets, TEXT_BYTES)]
+    hashes, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[2] for x in pieces)]), return_counts=True)
+    part = (hashes % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return hashes[order], n[order], np.searchsorted(part[order], np.arange(parts + 1)), pieces
+
+
+def hash_dealer(parts: int):
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, column in zip(batch.column("source").to_pylist(), batch.column("texts"), strict=True):
+                hashes, n, bounds, _ = dealt(column.values, parts)
+                used = np.flatnonzero(np.diff(bounds))
+                cut = lambda f, x: pa.array([f(x[bounds[k] : bounds[k + 1]]) for k in used], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used, pa.int32()), pa.array([source] * len(used), pa.int64()), cut(lambda x: x.tobytes(), hashes), cut(lambda x: packed(narrow(x)), n)],
+                    ["part", "source", "hashes", "counts"],
+                )
 
+    return deal
 
-def count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, counts): documents by slot, over all rows of the task."""
-    counts, n = np.zeros(IDF_SLOTS, np.int64), 0
-    for batch in batches:
-        data, offsets = texts(batch.column("text"))
-        n += len(batch)
-        for _, _, part, at in slices(data, offsets, TEXT_BYTES):
-            own, _, _ = distinct(*features(part, at))
-            counts += np.bincount(slot_of(own), minlength=IDF_SLOTS)
-    if n:
-        blocks = counts.reshape(-1, SLOT_BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([*used.tolist(), -1], pa.int32()), pa.array([*(narrow(blocks[k]) for k in used), narrow(np.array([n]))], pa.binary())], ["block", "counts"]
-        )
+
+def frequencies(table: pa.Table) -> pa.Table:
+    """Of one part's hashes, each block's, in its order: documents of all blocks that have them."""
+    hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+    counts = [widened(unpacked(x), len(h)) for x, h in zip(table.column("counts").to_pylist(), hashes, strict=True)]
+    _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
+    found = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)[inverse]
+    ends = np.cumsum([len(h) for h in hashes]).tolist()
+    out = [packed(narrow(found[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return pa.Table.from_arrays([table.column("source"), table.column("part"), pa.array(out, pa.binary())], ["source", "part", "found"])
 
 
 def narrow(counts: np.ndarray) -> bytes:
@@ -115,29 +143,8 @@ def widened(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[len(data) // n]).astype(np.int64)
 
 
-def add_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of counts by block over all rows of the task."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            own = widened(counts, 1 if block < 0 else SLOT_BLOCK)
-            sums[block] = sums[block] + own if block in sums else own
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([narrow(x) for x in sums.values()], pa.binary())], ["block", "counts"])
-
-
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """idf by slot. Tasks stream their own sums; a second step adds them by block."""
-    schema = "block int, counts binary"
-    partial = docs.select("text").mapInArrow(count_slots, schema)
-    summed = partial.repartition("block").mapInArrow(add_slots, schema)
-    counts, n = np.zeros(IDF_SLOTS, np.int64), 0
-    for row in summed.toLocalIterator():
-        if row["block"] < 0:
-            n = int(widened(row["counts"], 1)[0])
-        else:
-            counts[row["block"] * SLOT_BLOCK : (row["block"] + 1) * SLOT_BLOCK] = widened(row["counts"], SLOT_BLOCK)
-    return np.log1p(n / np.maximum(counts, 1)).astype(np.float32)
+def idf(found: np.ndarray, n: int) -> np.ndarray:
+    return np.log1p(n / found).astype(np.float32)
 
 
 def draw_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -186,23 +193,41 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return keys
 
 
-def signer(table):
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf = table.value
-        for batch in batches:
-            data, offsets = texts(batch.column("text"))
-            keys, classes = [], []
-            for _, _, part, at in slices(data, offsets, TEXT_BYTES):
-                own, counts, bounds = distinct(*features(part, at))
-                found = bands(signatures(own, counts.astype(np.float32) * idf[slot_of(own)], bounds)).view(np.int64)
-                empty = np.diff(bounds) == 0
-                keys += [None if e else k for e, k in zip(empty.tolist(), found.tolist(), strict=True)]
-                classes += [hashlib.blake2b(part[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "class", "keys"])
+def signer(parts: int, n: int):
+    """(doc_id, class, keys, found) of a block's documents: class digest, bucket keys, and document frequencies of the sorted features."""
+
+    def sign(block: pa.Table, returned: pa.Table) -> pa.Table:
+        docs, classes, keys, counted = [], [], [], []
+        for row in range(len(block)):
+            docs += block.column("docs")[row].as_py()
+            hashes, _, bounds, pieces = dealt(block.column("texts")[row].values, parts)
+            all_found = np.ones(len(hashes), np.int64)
+            for k, x in zip(returned.column("part").to_pylist(), returned.column("found").to_pylist(), strict=True):
+                all_found[bounds[k] : bounds[k + 1]] = widened(unpacked(x), int(bounds[k + 1] - bounds[k]))
+            order = np.argsort(hashes)
+            hashes, all_found = hashes[order], all_found[order]
+            for part, at, own, counts, first in pieces:
+                found = all_found[np.searchsorted(hashes, own)]
+                signed = bands(signatures(own, counts.astype(np.float32) * idf(found, n), first)).view(np.int64)
+                empty = np.diff(first) == 0
+                keys += [None if e else k for e, k in zip(empty.tolist(), signed.tolist(), strict=True)]
+                classes += [hashlib.sha256(part[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
+                counted += [packed(narrow(found[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
+        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip((docs, classes, keys, counted), kinds, strict=True)], ["doc_id", "class", "keys", "found"])
 
     return sign
 
 
+def weighted(column: pa.Array, found: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct features, counts and idf of each text."""
+    data, offsets = texts(column)
+    for start, end, part, at in slices(data, offsets, TEXT_BYTES):
+        own, counts, bounds = distinct(*features(part, at))
+        for a, b, x in zip(bounds[:-1], bounds[1:], found.slice(start, end - start).to_pylist(), strict=True):
+            yield own[a:b], counts[a:b], idf(widened(unpacked(x), int(b - a)), n)
+
+
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two sorted feature lists with weights."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -211,23 +236,17 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return least / whole if whole else 0.0
 
 
-def verifier(table):
-    def weighted(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        data, offsets = texts(column)
-        for _, _, part, at in slices(data, offsets, TEXT_BYTES):
-            own, counts, bounds = distinct(*features(part, at))
-            weights = counts.astype(np.float32) * table.value[slot_of(own)]
-            yield from ((own[a:b], weights[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True))
-
+def verifier(n: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [weighted_jaccard(a, b) for a, b in zip(weighted(batch.column("text_a")), weighted(batch.column("text_b")), strict=True)]
+            sides = [((own, counts * weight) for own, counts, weight in weighted(batch.column(f"text_{x}"), batch.column(f"found_{x}"), n)) for x in ("a", "b")]
+            scores = [weighted_jaccard(a, b) for a, b in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(scores, pa.float64())], ["a", "b", "score"])
 
     return verify
 
 
-def prefixes(table):
+def prefixes(n_docs: int):
     """(bucket, id, whole, reach): features without which the others of a text weigh less than SIMILARITY of it, taken from the rarest on.
 
     Texts that share none of them share less than SIMILARITY of the one whose
@@ -238,20 +257,16 @@ def prefixes(table):
 
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts(batch.column("text"))
             buckets, sizes, reach, whole = [], [], [], []
-            for _, _, part, at in slices(data, offsets, TEXT_BYTES):
-                own, counts, bounds = distinct(*features(part, at))
-                idf = table.value[slot_of(own)]
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    order = a + np.lexsort((own[a:b], -idf[a:b]))
-                    sums = np.concatenate([[0.0], np.cumsum(counts[order] * idf[order].astype(np.float64))])
-                    n = min(b - a, int(np.searchsorted(sums[1:], (1 - SIMILARITY + SLACK) * sums[-1], "right")) + 1)
-                    buckets.append(own[order[:n]].view(np.int64))
-                    sizes.append(n)
-                    whole.append(sums[-1])
-                    reach.append(sums[-1] - sums[:n])
-            ids = np.repeat(batch.column("doc_id").to_numpy(), sizes)
+            for own, counts, weight in weighted(batch.column("text"), batch.column("found"), n_docs):
+                order = np.lexsort((own, -weight))
+                sums = np.concatenate([[0.0], np.cumsum(counts[order] * weight[order].astype(np.float64))])
+                n = min(len(own), int(np.searchsorted(sums[1:], (1 - SIMILARITY + SLACK) * sums[-1], "right")) + 1)
+                buckets.append(own[order[:n]].view(np.int64))
+                sizes.append(n)
+                whole.append(sums[-1])
+                reach.append(sums[-1] - sums[:n])
+            ids = np.repeat(batch.column("id").to_numpy(), sizes)
             columns = [np.concatenate([np.zeros(0, np.int64), *buckets]), ids, np.repeat(whole, sizes), np.concatenate([[], *reach])]
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["bucket", "id", "whole", "reach"])
 
@@ -262,23 +277,31 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, class) of every row, and (class, id, group) of every class: id is its smallest doc_id, group that of its component."""
     spark = docs.sparkSession
     folder = scratch(spark, "near")
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select("doc_id", "text")
-    idf = spark.sparkContext.broadcast(idf_table(docs))
-    signed = stored(docs.mapInArrow(signer(idf), "doc_id long, class binary, keys array<long>"), f"{folder}/signed")
-    classes = signed.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    blocks = docs.mapInArrow(blocker, "docs array<long>, texts array<string>").withColumn("source", F.monotonically_increasing_id())
+    blocks = stored(blocks, f"{folder}/blocks")
+    n = blocks.agg(F.sum(F.size("docs"))).first()[0] or 0
+    counted = blocks.mapInArrow(hash_dealer(parts), "part int, source long, hashes binary, counts binary")
+    counted = counted.groupBy("part").applyInArrow(frequencies, "source long, part int, found binary")
+    signed = blocks.groupBy("source").cogroup(counted.groupBy("source")).applyInArrow(signer(parts, n), "doc_id long, class binary, keys array<long>, found binary")
+    signed = stored(signed, f"{folder}/signed")
+    classes = signed.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("found").alias("found"))
     classes = stored(classes, f"{folder}/classes")
     members = classes.where(F.col("id").isNotNull()).select("id", F.explode("keys").alias("bucket"))
     members = stored(shared(members), f"{folder}/members")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    firsts = stored(docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), f"{folder}/texts")
+    wanted = classes.join(members.select("id").distinct(), "id").groupBy("id").agg(F.min(F.struct("class", "found")).alias("x")).select("id", "x.*")
+    digest = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    firsts = docs.select(F.col("doc_id").alias("id"), "text", digest.alias("class")).join(wanted, ["id", "class"]).select("id", "text", "found")
+    firsts = stored(firsts.dropDuplicates(["id"]), f"{folder}/texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        side = lambda x: firsts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(verifier(idf), "a long, b long, score double").where(F.col("score") >= SIMILARITY).select("a", "b")
+        side = lambda x: firsts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), F.col("found").alias(f"found_{x}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b", "found_a", "found_b")
+        return both.mapInArrow(verifier(n), "a long, b long, score double").where(F.col("score") >= SIMILARITY).select("a", "b")
 
     def finer(ids: DataFrame) -> DataFrame:
-        return firsts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id").mapInArrow(prefixes(idf), "bucket long, id long, whole double, reach double")
+        return firsts.join(ids, "id").mapInArrow(prefixes(n), "bucket long, id long, whole double, reach double")
 
     labels = linked(members, verified, folder, finer, REACHABLE)
     groups = classes.select("class", "id").join(labels, "id", "left").withColumn("group", F.coalesce("label", "id")).drop("label")

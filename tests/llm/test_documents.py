@@ -77,6 +77,16 @@ def test_variants_of_one_text_match_brute_force(spark):
     assert [found[k].group_id for k in range(len(texts))] == group
 
 
+def test_document_frequencies_are_exact():
+    """Two hashes that end in the same 20 bits, in different blocks."""
+    a, b = np.uint64(5), np.uint64(5 + (1 << 40))
+    rows = [(0, 1, [a, b], [3, 1]), (0, 2, [a], [400])]
+    cells = [(part, source, np.array(h, np.uint64).tobytes(), near_dups.packed(near_dups.narrow(np.array(n)))) for part, source, h, n in rows]
+    table = pa.table(dict(zip(("part", "source", "hashes", "counts"), map(list, zip(*cells, strict=True)), strict=True)))
+    found = near_dups.frequencies(table).column("found").to_pylist()
+    assert [near_dups.widened(near_dups.unpacked(x), n).tolist() for x, n in zip(found, (2, 1), strict=True)] == [[403, 1], [403]]
+
+
 def test_consistent_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     own = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64))
