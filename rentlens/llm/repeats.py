@@ -12,7 +12,9 @@ strings lie in passages of equal anchor.
 3. Where different passages have one anchor, they are indexed: a run-compressed
    Burrows-Wheeler transform with sampled run ends (`run_index`). Matching
    statistics of each passage are streamed through it, and strings of LENGTH
-   bytes that a smaller document has are marked.
+   bytes that a smaller document has are marked. Groups above INDEX_BYTES are dealt
+   again within the task by other grams, in the end by whole strings, so an index is
+   bounded; the task still holds all passages of its anchors.
 4. The marks of a document are united and its bytes cut.
 
 Texts are read as UTF-8; null texts are empty. Rows of equal id must have equal
@@ -41,6 +43,8 @@ TEXT_BYTES = 1 << 19
 FLUSH_ANCHORS, FLUSH_PASSAGES = 1 << 20, 1 << 18
 #: Passages of one anchor group are indexed together with others up to this many bytes.
 INDEX_BYTES = 1 << 20
+#: A larger group is dealt again by grams of these sizes in turn. In the last, equal keys are equal strings, which are merged.
+SPLITS = (ANCHOR, 24, 36, LENGTH)
 DEALT = "part int, kind int, docs binary, counts binary, low binary, high binary, places binary"
 PASSAGES = "part int, kind int, docs binary, starts binary, counts binary, anchors binary, bytes binary"
 
@@ -268,6 +272,13 @@ def marked_ranges(table: pa.Table, parts: int) -> pa.Table:
         for doc, start, n, anchor in zip(d.tolist(), s.tolist(), np.frombuffer(r["counts"], "<u1").tolist(), np.frombuffer(r["anchors"], "<u4").tolist(), strict=True):
             first.setdefault((anchor, text[at : at + n]), []).append((doc, start))
             at += n
+    whole = settled(first)
+    extra = np.array(whole, np.int64).reshape(-1, 3)
+    return by_part(joined([*docs, extra[:, 0]], np.int64), [joined([*starts, extra[:, 1]], np.int64), joined([*ends, extra[:, 2]], np.int64)], ["starts", "ends"], parts)
+
+
+def settled(first: dict[tuple[int, bytes], list[tuple[int, int]]], depth: int = 0) -> list[tuple[int, int, int]]:
+    """Ranges to cut of passages by (anchor, text). Equal ones are merged; groups above INDEX_BYTES are dealt again, so every index is bounded."""
     whole, groups = [], {}
     for (anchor, text), owners in first.items():
         least = min(owners)[0]
@@ -276,15 +287,38 @@ def marked_ranges(table: pa.Table, parts: int) -> pa.Table:
     block: list[tuple] = []
     size = 0
     for own in groups.values():
-        if len(own) > 1:
+        n_bytes = sum(len(x[0]) for x in own)
+        if len(own) > 1 and n_bytes > INDEX_BYTES and depth < len(SPLITS):
+            whole += settled(dealt_again(own, depth), depth + 1)
+        elif len(own) > 1:
             block += own
-            size += sum(len(x[0]) for x in own)
+            size += n_bytes
             if size >= INDEX_BYTES:
                 whole += indexed(block)
                 block, size = [], 0
-    whole += indexed(block)
-    extra = np.array(whole, np.int64).reshape(-1, 3)
-    return by_part(joined([*docs, extra[:, 0]], np.int64), [joined([*starts, extra[:, 1]], np.int64), joined([*ends, extra[:, 2]], np.int64)], ["starts", "ends"], parts)
+    return whole + indexed(block)
+
+
+def dealt_again(own: list[tuple], depth: int) -> dict[tuple[int, bytes], list[tuple[int, int]]]:
+    """The strings of a group's passages by the smallest of their SPLITS[depth]-byte grams in a new order; strings in a row with one stay together."""
+    gram = SPLITS[depth]
+    width = LENGTH - gram + 1
+    out: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    offsets = np.concatenate([[0], np.cumsum([len(x[0]) for x in own])])
+    joint = np.frombuffer(b"".join(x[0] for x in own), np.uint8)
+    for first, end, data, at in slices(joint, offsets, TEXT_BYTES):
+        sums = prefix_sums(data)
+        hashes = mix(mix((sums[gram:] - sums[:-gram]) * powers(len(sums), "inverse")[: len(sums) - gram]) + np.uint64(depth + 1))
+        n = len(data) - LENGTH + 1
+        least = hashes[:n].copy()
+        for k in range(1, width):
+            np.minimum(least, hashes[k : k + n], out=least)
+        for (text, doc, starts), begin in zip(own[first:end], at.tolist()):
+            keys = least[begin : begin + len(text) - LENGTH + 1]
+            bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                out.setdefault((int(keys[a]), text[a : b + LENGTH - 1]), []).extend((doc, s + a) for s in starts)
+    return out
 
 
 def indexed(block: list[tuple]) -> list[tuple[int, int, int]]:

@@ -40,6 +40,25 @@ def test_repeats_match_brute_force(docs, nothing):
     assert found[None].n_removed == 0
 
 
+def test_large_anchor_groups_match_brute_force_in_bounded_indexes(monkeypatch):
+    """A common phrase in unlike and partly equal surroundings, all under one anchor."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 4000)
+    sizes, plain = [], repeats.indexed
+    monkeypatch.setattr(repeats, "indexed", lambda block: sizes.append(sum(len(x[0]) for x in block)) or plain(block))
+    ends = [bytes(rng.integers(97, 123, 40).astype(np.uint8)) for _ in range(12)]
+    texts = [ends[rng.integers(12)][: rng.integers(20, 40)] + b" " * 16 + ends[rng.integers(12)][: rng.integers(20, 40)] for _ in range(400)]
+    found, seen, first = set(), {}, defaultdict(list)
+    for doc, text in enumerate(texts):
+        first[7, text].append((doc, 0))
+        for k in range(len(text) - 49):
+            if seen.setdefault(text[k : k + 50], doc) < doc:
+                found |= {(doc, i) for i in range(k, k + 50)}
+    assert sum(map(len, {t for _, t in first})) > 16000
+    assert {(d, i) for d, a, b in repeats.settled(dict(first)) for i in range(a, b)} == found
+    assert max(sizes) <= 2 * 4000
+
+
 def test_near_duplicates(docs, nothing):
     found = near_dups.duplicates(docs)
     rows = found.collect()
