@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -31,6 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: No more keys than this can have more than one row in as many.
+HEAVY = 1000
+
+
+def joined_by(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of keyed, which has one row per key and the key's number of rows n.
+
+    Keys with more than a HEAVY-th of all rows are HEAVY at most, whatever the data, so they
+    are broadcast and their rows stay where they are; the rest is shuffled by key.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    heavy = keyed.where(F.col("n") > max(total // HEAVY, 1))
+    light = keyed.where(F.col("n") <= max(total // HEAVY, 1)).drop("n")
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return rows.join(F.broadcast(heavy.drop("n")), key).unionByName(rest)
+
+
 _shipped: set[str] = set()
 
 

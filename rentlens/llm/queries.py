@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rentlens.llm import chat, decontaminate, fuzzy_lines, language, mixing, near_dups, quality, repeats, tokens, warc
+from rentlens.llm import chat, decontaminate, fuzzy_lines, language, lexical, mixing, near_dups, quality, repeats, segments, tokens, warc, whitening
 from rentlens.llm.common import scratch, ship, stored, table
 from rentlens.llm.statements import STATEMENTS
 
@@ -62,12 +62,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: query(ship(spark), sf_dir)
 
 
 QUERIES = {
     f.__name__: shipped(f)
-    for f in (op1_warc, op2_token_ids, op3_chat, op4_quality, op5_near_duplicates, op6_mixing, op7_repeats, op8_decontamination, op9_line_dedup, op10_language_id)
+    for f in (op1_warc, op2_token_ids, op3_chat, op4_quality, op5_near_duplicates, op6_mixing, op7_repeats, op8_decontamination, op9_line_dedup, op10_language_id, op11_lexical_search, op12_simhash, op13_whitening)
 }
 ORACLE_SQL = STATEMENTS

@@ -98,10 +98,32 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coale
 FROM docs LEFT JOIN words_hit USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+LEXICAL = rf"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, {TERMS} AS words FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, {TERMS} AS words FROM benchmark),
+q AS (SELECT i, term, count(*) AS qtf FROM (SELECT i, unnest(words) AS term FROM i) GROUP BY ALL),
+s AS (SELECT count(*) FILTER (len(words) > 0) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM d),
+t AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(words) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM t, s GROUP BY term),
+m AS (SELECT d, doc_id, 75 + (25 * len(words) * n_docs) // n_terms AS m FROM d, s),
+p AS (
+  SELECT i, d, sum(qtf * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN t USING (term) JOIN m USING (d) GROUP BY ALL),
+r AS (
+  SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank
+  FROM p JOIN m USING (d) WHERE score > 0 QUALIFY rank <= 20)
+SELECT item_id, rank, doc_id, score FROM r JOIN i USING (i)
+"""
+
 STATEMENTS = {
     "op1_warc": WARC,
     "op3_chat": CHAT,
     "op4_quality": QUALITY,
     "op7_repeats": REPEATS,
     "op8_decontamination": DECONTAMINATION,
+    "op11_lexical_search": LEXICAL,
 }
