@@ -5,6 +5,8 @@ windows, joins and exact aggregates. Only names and texts that both sides must
 spell alike come from ``rentlens.functions.labels``.
 """
 
-from oracle.statements import STATEMENTS
+from oracle import regression, statements
+
+STATEMENTS = statements.STATEMENTS | regression.STATEMENTS
 
 __all__ = ["STATEMENTS"]

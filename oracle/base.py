@@ -174,7 +174,7 @@ CHURN_OBSERVED = "1 - total_rentals::DOUBLE / max_rentals * 0.25"
 CHURN_INTENDED = "(1 - total_rentals::DOUBLE / max_rentals) * 0.25"
 
 
-def statement(select: str, noise: str = "0", churn: str = CHURN_OBSERVED) -> str:
+def statement(select: str, noise: str = NOISE_SQL, churn: str = CHURN_OBSERVED) -> str:
     """``select`` over the expressions above, keeping those it needs."""
     import re
 
@@ -196,11 +196,19 @@ def statement(select: str, noise: str = "0", churn: str = CHURN_OBSERVED) -> str
     return f"WITH {ctes}\n{select}" if ctes else select
 
 
+def text(template: str, **values: str) -> str:
+    """``template`` as a SQL expression with ``{name}`` replaced by expressions."""
+    expression = quoted(template)
+    for name, value in values.items():
+        expression = expression.replace("{" + name + "}", f"' || ({value}) || '")
+    return expression
+
+
 def values(column: str, names: list[str]) -> str:
     rows = ", ".join(f"({quoted(n)}, {i})" for i, n in enumerate(names))
     return f"(VALUES {rows}) AS v({column}, position)"
 
 
 __all__ = [
-    "CHURN_INTENDED", "CHURN_OBSERVED", "NOISE_SQL", "labels", "quoted", "r", "statement", "values",
+    "CHURN_INTENDED", "CHURN_OBSERVED", "NOISE_SQL", "labels", "quoted", "r", "statement", "text", "values",
 ]

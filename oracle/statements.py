@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracle.base import (
-    CHURN_INTENDED, CHURN_OBSERVED, NOISE_SQL, labels, quoted, r, statement, values,
+    CHURN_INTENDED, CHURN_OBSERVED, NOISE_SQL, labels, quoted, r, statement, text, values,
 )
 
 MONTHLY = """
@@ -86,14 +86,6 @@ SHARED = """
 GENRES = "(SELECT DISTINCT category FROM taste)"
 
 
-def text(template: str, **values: str) -> str:
-    """``template`` as a SQL expression with ``{name}`` replaced by expressions."""
-    expression = quoted(template)
-    for name, value in values.items():
-        expression = expression.replace("{" + name + "}", f"' || ({value}) || '")
-    return expression
-
-
 def card(tier: str, condition: str, title: str, body: str) -> str:
     return (
         f"SELECT customer_id, {quoted(tier)} AS tier, {quoted(title)} AS title, {body} AS body "
@@ -244,6 +236,7 @@ STATEMENTS: dict[str, str] = {
         FROM fact"""),
     "customer_profiles": statement(PROFILE),
     "customer_profiles_noisy": statement(PROFILE, noise=NOISE_SQL),
+    "customer_profiles_plain": statement(PROFILE, noise="0"),
     "segment_overview": statement(f"""
         SELECT v.position, v.rfm_segment, count(p.customer_id) AS customers,
                coalesce(sum(p.total_spending::DECIMAL(18,2)), 0)::DOUBLE AS revenue,

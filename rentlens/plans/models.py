@@ -7,24 +7,24 @@ describe how well a model recovers a rule; they say nothing about foresight.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, RandomForestClassifier,
-)
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rentlens.functions import labels
 from rentlens.functions.scalar import rint_to
+from rentlens.operators.logistic import Logistic, fit_logistic
 from rentlens.operators.ranking import sliced_row_number
+from rentlens.operators.ranksum import roc_areas
 from rentlens.plans.actions import filled
 from rentlens.plans.profiles import profiles
 from rentlens.session import shared_dir
@@ -36,31 +36,29 @@ HIGH_FROM = 0.5
 DEFAULT_MODEL = "Logistic Regression"
 
 
+#: Strength of the loss against the penalty of the regression.
+STRENGTH = 0.5
+#: The hold-out fit, besides the folds 0, 1, ...
+HOLD_OUT = -1
+
+
 @dataclass(frozen=True)
 class Settings:
     """Sizes of the ensembles; smaller ones are for tests only."""
 
     trees: int = 200
     rounds: int = 150
-    folds: int = FOLDS
     parallelism: int = 6
 
 
-def _logistic(rows: int, width: int, settings: Settings):
-    # An L2 penalty of strength C on summed losses, as a mean-loss penalty.
-    return LogisticRegression(
-        maxIter=1000, regParam=1.0 / (0.5 * rows), elasticNetParam=0.0, standardization=False
-    )
-
-
-def _forest(rows: int, width: int, settings: Settings):
+def _forest(width: int, settings: Settings):
     return RandomForestClassifier(
         numTrees=settings.trees, maxDepth=6, minInstancesPerNode=3, seed=MODEL_SEED,
         featureSubsetStrategy=str(max(1, math.isqrt(width))),
     )
 
 
-def _boosted(rows: int, width: int, settings: Settings):
+def _boosted(width: int, settings: Settings):
     return GBTClassifier(
         maxIter=settings.rounds, maxDepth=4, minInstancesPerNode=3, subsamplingRate=0.8,
         stepSize=0.05, seed=MODEL_SEED,
@@ -68,23 +66,60 @@ def _boosted(rows: int, width: int, settings: Settings):
 
 
 # Name -> (estimator, whether the two classes get equal total weight).
-CLASSIFIERS: dict[str, tuple[Callable, bool]] = {
-    "Logistic Regression": (_logistic, True),
+ENSEMBLES: dict[str, tuple[Callable, bool]] = {
     "Random Forest": (_forest, True),
     "Gradient Boosting": (_boosted, False),
 }
+CLASSIFIERS = [DEFAULT_MODEL, *ENSEMBLES]
+
+
+class Ensemble:
+    """A fitted Spark ML pipeline."""
+
+    def __init__(self, pipeline: PipelineModel) -> None:
+        self.pipeline = pipeline
+
+    @property
+    def weights(self) -> list[float]:
+        return [float(v) for v in self.pipeline.stages[-1].featureImportances.toArray()]
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        """rows with p, the probability of high risk, and the scaled features."""
+        made = self.pipeline.transform(rows)
+        return made.select(*rows.columns, vector_to_array("probability")[1].alias("p"), vector_to_array("scaled").alias("scaled"))
+
+
+class Regression:
+    """A fitted logistic regression: plain column expressions."""
+
+    def __init__(self, model: Logistic) -> None:
+        self.model = model
+
+    @property
+    def weights(self) -> list[float]:
+        return [abs(v) for v in self.model.coefficients[1:]]
+
+    def scored(self, rows: DataFrame) -> DataFrame:
+        return rows.select("*", self.model.probability().alias("p"), F.array(*self.model.scaled()).alias("scaled"))
 
 
 @dataclass(frozen=True)
 class Trained:
+    """The fits of one classifier: on all but the held-out rows, and on all but each fold."""
+
     name: str
     features: list[str]
-    pipeline: PipelineModel
-    importances: list[float]
-    train_size: int
-    test_size: int
-    roc_auc: float
-    fold_scores: list[dict[str, float]]
+    fits: dict[int, Ensemble | Regression]
+
+    @property
+    def model(self) -> Ensemble | Regression:
+        return self.fits[HOLD_OUT]
+
+
+def _draw(seed: int) -> Column:
+    """60 bits of md5 of the customer and the seed."""
+    digest = F.md5(F.concat(F.col("customer_id").cast("string"), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
 def training_rows(ws) -> DataFrame:
@@ -97,19 +132,19 @@ def training_rows(ws) -> DataFrame:
     """
 
     def build() -> DataFrame:
-        rows = profiles(ws, noise="hash").select(
+        rows = profiles(ws).select(
             "customer_id",
             F.col("is_high_risk").cast("int").alias("label"),
             *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in ALL_FEATURES],
         )
         for seed, name in ((SPLIT_SEED, "split_draw"), (FOLD_SEED, "fold_draw")):
-            draw = F.xxhash64("customer_id", F.lit(seed))
+            draw = _draw(seed)
             rows = sliced_row_number(
-                rows, ["label"], [F.shiftright(draw, 48)], [draw, F.col("customer_id")], name
+                rows, ["label"], [F.shiftright(draw, 44)], [draw, F.col("customer_id")], name
             )
         per_class = {
             r["label"]: r["n"]
-            for r in profiles(ws, noise="hash")
+            for r in profiles(ws)
             .groupBy(F.col("is_high_risk").cast("int").alias("label"))
             .agg(F.count(F.lit(1)).alias("n")).collect()
         }
@@ -137,135 +172,112 @@ def _test_sizes(per_class: dict[int, int]) -> dict[int, int]:
     return sizes
 
 
-def _class_sizes(rows: DataFrame) -> dict[int, int]:
-    return {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-
-
-def _fit(name: str, rows: DataFrame, sizes: dict[int, int], settings: Settings) -> PipelineModel:
-    make, balanced = CLASSIFIERS[name]
+def _fit_ensemble(name: str, rows: DataFrame, settings: Settings) -> Ensemble:
+    make, balanced = ENSEMBLES[name]
     features = labels.FEATURE_SETS[name]
-    total = sum(sizes.values())
-    estimator = make(total, len(features), settings).setFeaturesCol("scaled").setLabelCol("label")
+    estimator = make(len(features), settings).setFeaturesCol("scaled").setLabelCol("label")
     if balanced:
-        weight = F.lit(1.0)
+        sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+        total, weight = sum(sizes.values()), F.lit(1.0)
         for label, n in sizes.items():
             weight = F.when(F.col("label") == label, total / (len(sizes) * n)).otherwise(weight)
         rows = rows.withColumn("weight", weight)
         estimator = estimator.setWeightCol("weight")
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=features, outputCol="raw"),
-            StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
-            estimator,
-        ]
-    ).fit(rows)
-
-
-def _auc(predicted: DataFrame) -> float:
-    return BinaryClassificationEvaluator(labelCol="label", numBins=0).evaluate(predicted)
-
-
-def _counts(predicted: DataFrame) -> dict[tuple[int, int], int]:
-    """Rows per (label, prediction): four at most."""
-    rows = predicted.groupBy("label", F.col("prediction").cast("int").alias("p")).count().collect()
-    return {(r["label"], r["p"]): r["count"] for r in rows}
-
+    stages = [
+        VectorAssembler(inputCols=features, outputCol="raw"),
+        StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True),
+        estimator,
+    ]
+    # A copy has no training summary, which holds a session and cannot go to executors.
+    return Ensemble(Pipeline(stages=stages).fit(rows).copy())
 
-def _accuracy_f1(counts: dict[tuple[int, int], int]) -> dict[str, float]:
-    hit, miss = counts.get((1, 1), 0), counts.get((1, 0), 0)
-    false, total = counts.get((0, 1), 0), sum(counts.values())
-    return {
-        "accuracy": (hit + counts.get((0, 0), 0)) / total if total else 0.0,
-        "f1": 2 * hit / (2 * hit + miss + false) if hit else 0.0,
-    }
 
+def _parts() -> dict[int, tuple[Column, Column]]:
+    """Each fit's condition of the rows it learns from and of those it is judged on."""
+    folds = {k: (F.col("fold") != k, F.col("fold") == k) for k in range(FOLDS)}
+    return {HOLD_OUT: (~F.col("is_test"), F.col("is_test")), **folds}
 
-def train(ws, settings: Settings | None = None) -> dict[str, Trained]:
-    """All three models: hold-out fit and cross-validation, fitted once.
 
-    The fits are independent Spark jobs and run side by side. Each fold fits
-    its own scaler on the rows it trains on.
-    """
-    if "models" in ws.memo:
-        return ws.memo["models"]
-    settings = settings or Settings()
+def _fit_ensembles(ws, names: list[str], settings: Settings) -> dict[tuple[str, int], Ensemble]:
+    """The fits are independent Spark jobs and run side by side; if one fails, the others are stopped."""
     context = ws.spark.sparkContext
     if context.getCheckpointDir() is None:
         # Boosting truncates its lineage every few rounds if it has a place to.
         context.setCheckpointDir(shared_dir(ws.spark))
-    rows = training_rows(ws)
-    train_rows, test_rows = rows.where("NOT is_test"), rows.where("is_test")
-    by_class = {
-        (r["is_test"], r["fold"], r["label"]): r["count"]
-        for r in rows.groupBy("is_test", "fold", "label").count().collect()
-    }
-
-    def sizes(keep: Callable[[bool, int], bool]) -> dict[int, int]:
-        found: dict[int, int] = {}
-        for (is_test, fold, label), n in by_class.items():
-            if keep(is_test, fold):
-                found[label] = found.get(label, 0) + n
-        return found
-
-    def holdout(name: str):
-        model = _fit(name, train_rows, sizes(lambda t, f: not t), settings)
-        return model, _auc(model.transform(test_rows))
+    rows, tag = training_rows(ws), f"rentlens-fits-{uuid.uuid4().hex}"
 
-    def fold_scores(name: str, k: int):
-        model = _fit(name, rows.where(F.col("fold") != k), sizes(lambda t, f: f != k), settings)
-        predicted = model.transform(rows.where(F.col("fold") == k))
-        return {**_accuracy_f1(_counts(predicted)), "roc_auc": _auc(predicted)}
+    def fit(name: str, k: int) -> Ensemble:
+        ws.spark.addTag(tag)
+        return _fit_ensemble(name, rows.where(_parts()[k][0]), settings)
 
     # The slowest fits first, so that none is left running alone at the end.
-    names = list(reversed(CLASSIFIERS))
+    tasks = [(name, k) for name in reversed(names) for k in _parts()]
     pool = ThreadPool(settings.parallelism)
     try:
         start = inheritable_thread_target(ws.spark)
-        held = {n: pool.apply_async(start(holdout), (n,)) for n in names}
-        folds = {
-            (n, k): pool.apply_async(start(fold_scores), (n, k))
-            for n in names for k in range(settings.folds)
-        }
-        models = {}
-        for name in CLASSIFIERS:
-            pipeline, auc = held[name].get()
-            last = pipeline.stages[-1]
-            weights = (
-                [abs(float(v)) for v in last.coefficients]
-                if name == "Logistic Regression"
-                else [float(v) for v in last.featureImportances.toArray()]
-            )
-            models[name] = Trained(
-                name, labels.FEATURE_SETS[name], pipeline, weights,
-                sum(sizes(lambda t, f: not t).values()), sum(sizes(lambda t, f: t).values()), auc,
-                [folds[(name, k)].get() for k in range(settings.folds)],
-            )
+        waiting = {task: pool.apply_async(start(fit), task) for task in tasks}
+        return {task: found.get() for task, found in waiting.items()}
+    except BaseException:
+        ws.spark.interruptTag(tag)
+        raise
     finally:
-        pool.close()
-    ws.memo["models"] = models
-    return models
+        pool.terminate()
 
 
-def confusion_matrix(ws) -> DataFrame:
+def train(ws, settings: Settings | None = None, names: Iterable[str] = CLASSIFIERS) -> dict[str, Trained]:
+    """The named models: hold-out fit and cross-validation, fitted once for each setting.
+
+    Settings given here are the workspace's from then on. Each fold fits its own scaler on the rows it trains on.
+    """
+    if settings:
+        ws.memo["model_settings"] = settings
+    settings = ws.memo.setdefault("model_settings", Settings())
+    models = ws.memo.setdefault(("models", settings), {})
+    missing = [n for n in names if n not in models]
+    if DEFAULT_MODEL in missing:
+        features = labels.FEATURE_SETS[DEFAULT_MODEL]
+        fits = fit_logistic(training_rows(ws), features, {k: learn for k, (learn, _) in _parts().items()}, STRENGTH)
+        models[DEFAULT_MODEL] = Trained(DEFAULT_MODEL, features, {k: Regression(m) for k, m in fits.items()})
+    if others := [n for n in missing if n in ENSEMBLES]:
+        found = _fit_ensembles(ws, others, settings)
+        for name in others:
+            models[name] = Trained(name, labels.FEATURE_SETS[name], {k: m for (n, k), m in found.items() if n == name})
+    return {n: models[n] for n in names}
+
+
+def judged(ws, names: Iterable[str] = CLASSIFIERS) -> DataFrame:
+    """(model, fit, label, p, prediction) of every row a fit is judged on; fit -1 is the hold-out."""
+    settings, union = None, None
+    for name, trained in train(ws, None, names).items():
+        settings = ws.memo["model_settings"]
+
+        def build(trained=trained) -> DataFrame:
+            rows, found = training_rows(ws), None
+            for k, (_, held) in _parts().items():
+                part = trained.fits[k].scored(rows.where(held).select("label", *trained.features))
+                part = part.select(F.lit(trained.name).alias("model"), F.lit(k).alias("fit"), "label", "p")
+                found = part if found is None else found.unionByName(part)
+            return found.withColumn("prediction", (F.col("p") >= HIGH_FROM).cast("int"))
+
+        part = ws.keep(f"judged-{name}-{settings.trees}-{settings.rounds}".replace(" ", "_"), build)
+        union = part if union is None else union.unionByName(part)
+    return union
+
+
+def confusion_matrix(ws, names: Iterable[str] = CLASSIFIERS) -> DataFrame:
     """Hold-out rows per model, label and prediction; absent cells are 0."""
-    held_out = training_rows(ws).where("is_test")
-    counts = None
-    for model in train(ws).values():
-        cells = (
-            model.pipeline.transform(held_out)
-            .groupBy("label").pivot("prediction", [0.0, 1.0]).count()
-            .toDF("label", "predicted_low", "predicted_high")
-            .fillna(0)
-            .select(F.lit(model.name).alias("model"), "label", "predicted_low", "predicted_high")
-        )
-        counts = cells if counts is None else counts.unionByName(cells)
-    return counts.orderBy("model", "label")
+    predicted = lambda k: F.count(F.when(F.col("prediction") == k, 1))
+    return (
+        judged(ws, names).where(F.col("fit") == HOLD_OUT)
+        .groupBy("model", "label").agg(predicted(0).alias("predicted_low"), predicted(1).alias("predicted_high"))
+        .orderBy("model", "label")
+    )
 
 
-def classification_report(ws) -> DataFrame:
+def classification_report(ws, names: Iterable[str] = CLASSIFIERS) -> DataFrame:
     """Precision, recall, F1 and support per class, with the usual averages."""
     one = lambda column, label: F.sum(F.when(F.col("label") == label, F.col(column)))
-    cells = confusion_matrix(ws).groupBy("model").agg(
+    cells = confusion_matrix(ws, names).groupBy("model").agg(
         F.coalesce(one("predicted_low", 0), F.lit(0)).alias("tn"),
         F.coalesce(one("predicted_high", 0), F.lit(0)).alias("fp"),
         F.coalesce(one("predicted_low", 1), F.lit(0)).alias("fn"),
@@ -310,46 +322,34 @@ def classification_report(ws) -> DataFrame:
     return cells.select("model", F.explode(entries).alias("e")).select("model", "e.*")
 
 
-def _mean(values: list[float]) -> float:
-    return sum(values) / len(values)
-
-
-def _std(values: list[float]) -> float:
-    center = _mean(values)
-    return math.sqrt(_mean([(v - center) ** 2 for v in values]))
-
-
-def model_metrics(ws) -> DataFrame:
+def model_metrics(ws, names: Iterable[str] = CLASSIFIERS) -> DataFrame:
     """Hold-out and cross-validation scores, four places, one row per model."""
-    scored = confusion_matrix(ws).collect()
-    rows = []
-    for model in train(ws).values():
-        counts = {
-            (r["label"], p): r[column]
-            for r in scored if r["model"] == model.name
-            for p, column in ((0, "predicted_low"), (1, "predicted_high"))
-        }
-        holdout = _accuracy_f1(counts)
-        fold = {m: [f[m] for f in model.fold_scores] for m in ("accuracy", "roc_auc", "f1")}
-        rows.append(
-            (
-                model.name, len(model.features),
-                *[
-                    round(v, 4)
-                    for v in (
-                        holdout["accuracy"], model.roc_auc, holdout["f1"],
-                        _mean(fold["accuracy"]), _std(fold["accuracy"]),
-                        _mean(fold["roc_auc"]), _std(fold["roc_auc"]), _mean(fold["f1"]),
-                    )
-                ],
-                model.train_size, model.test_size,
-            )
-        )
-    return ws.spark.createDataFrame(
-        rows,
-        "model string, features int, accuracy double, roc_auc double, f1 double, "
-        "cv_acc_mean double, cv_acc_std double, cv_auc_mean double, cv_auc_std double, "
-        "cv_f1_mean double, train_size long, test_size long",
+    rows = judged(ws, names)
+    cell = lambda label, k: F.count(F.when((F.col("label") == label) & (F.col("prediction") == k), 1))
+    counts = rows.groupBy("model", "fit").agg(
+        cell(1, 1).alias("tp"), cell(0, 0).alias("tn"), F.count("*").alias("n"),
+    )
+    areas = roc_areas(rows, ["model", "fit"], "p", "label")
+    each = counts.join(areas, ["model", "fit"]).select(
+        "model", "fit", "n", "auc",
+        ((F.col("tp") + F.col("tn")) / F.col("n")).alias("accuracy"),
+        # Rows that are neither true positives nor true negatives are the errors of both kinds.
+        F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("tp") + F.col("n") - F.col("tn")), F.lit(0.0)).alias("f1"),
+    )
+    held, fold = F.col("fit") == HOLD_OUT, F.col("fit") != HOLD_OUT
+    at = lambda column: rint_to(F.max(F.when(held, F.col(column))), 4)
+    mean = lambda column: rint_to(F.avg(F.when(fold, F.col(column))), 4)
+    spread = lambda column: rint_to(F.stddev_pop(F.when(fold, F.col(column))), 4)
+    width = F.lit(0)
+    for name, features in labels.FEATURE_SETS.items():
+        width = F.when(F.col("model") == name, len(features)).otherwise(width)
+    # Every row is held out by one fold, so the folds together are all rows.
+    test_size = F.max(F.when(held, F.col("n")))
+    return each.groupBy("model").agg(
+        width.alias("features"), at("accuracy").alias("accuracy"), at("auc").alias("roc_auc"), at("f1").alias("f1"),
+        mean("accuracy").alias("cv_acc_mean"), spread("accuracy").alias("cv_acc_std"),
+        mean("auc").alias("cv_auc_mean"), spread("auc").alias("cv_auc_std"), mean("f1").alias("cv_f1_mean"),
+        (F.sum(F.when(fold, F.col("n"))) - test_size).alias("train_size"), test_size.alias("test_size"),
     )
 
 
@@ -360,11 +360,11 @@ def best_model(ws) -> DataFrame:
     )
 
 
-def feature_importance(ws) -> DataFrame:
+def feature_importance(ws, names: Iterable[str] = CLASSIFIERS) -> DataFrame:
     rows = [
         (model.name, i, labels.FEATURE_LABELS[feature], round(weight, 4))
-        for model in train(ws).values()
-        for i, (feature, weight) in enumerate(zip(model.features, model.importances, strict=True))
+        for model in train(ws, None, names).values()
+        for i, (feature, weight) in enumerate(zip(model.features, model.model.weights, strict=True))
     ]
     return ws.spark.createDataFrame(
         rows, "model string, position int, feature string, importance double"
@@ -374,7 +374,7 @@ def feature_importance(ws) -> DataFrame:
 def scoring_inputs(ws, diversity_places: int = 2) -> DataFrame:
     """Profiles as model input, with genre diversity recomputed for scoring."""
     diversity = rint_to(F.col("unique_genres") / F.col("total_rentals"), diversity_places)
-    return profiles(ws, noise="hash").select(
+    return profiles(ws).select(
         "customer_id", *[c for c in ALL_FEATURES if c != "genre_diversity"],
         diversity.alias("genre_diversity"),
     )
@@ -386,7 +386,7 @@ def score(ws, customers: DataFrame, name: str = DEFAULT_MODEL) -> DataFrame:
     ``customers`` holds customer_id and any of the feature columns; a missing
     column or value counts as 0.
     """
-    model = train(ws)[name]
+    model = train(ws, None, [name])[name]
     inputs = customers.select(
         "customer_id",
         *[
@@ -395,15 +395,13 @@ def score(ws, customers: DataFrame, name: str = DEFAULT_MODEL) -> DataFrame:
             for c in model.features
         ],
     )
-    probability = vector_to_array("probability")[1]
-    scaled = vector_to_array("scaled")
     # |scaled value| times the weight of its feature, as shares of their sum.
-    raw = F.array(*[F.abs(scaled[i]) * w for i, w in enumerate(model.importances)])
+    raw = F.array(*[F.abs(F.col("scaled")[i]) * w for i, w in enumerate(model.model.weights)])
     total = F.aggregate("raw", F.lit(0.0), lambda a, x: a + x)
     divisor = F.when(total > 0, total).otherwise(1.0)
     return (
-        model.pipeline.transform(inputs)
-        .select("customer_id", probability.alias("p"), raw.alias("raw"))
+        model.model.scored(inputs)
+        .select("customer_id", "p", raw.alias("raw"))
         .select(
             "customer_id",
             F.lit(name).alias("model"),
@@ -416,17 +414,17 @@ def score(ws, customers: DataFrame, name: str = DEFAULT_MODEL) -> DataFrame:
     )
 
 
-def _scored_by_all(ws) -> DataFrame:
+def _scored_by(ws, names: Iterable[str]) -> DataFrame:
     result = None
-    for name in CLASSIFIERS:
+    for name in train(ws, None, names):
         part = score(ws, scoring_inputs(ws), name)
         result = part if result is None else result.unionByName(part)
     return result
 
 
-def risk_scores(ws) -> DataFrame:
+def risk_scores(ws, names: Iterable[str] = CLASSIFIERS) -> DataFrame:
     """Every customer scored by every model."""
-    return _scored_by_all(ws).drop("contributions")
+    return _scored_by(ws, names).drop("contributions")
 
 
 def _unfolded(scored: DataFrame) -> DataFrame:
@@ -442,9 +440,9 @@ def _unfolded(scored: DataFrame) -> DataFrame:
     )
 
 
-def risk_contributions(ws) -> DataFrame:
+def risk_contributions(ws, names: Iterable[str] = CLASSIFIERS) -> DataFrame:
     """Per customer, model and feature: its share of the score in percent."""
-    return _unfolded(_scored_by_all(ws)).select(
+    return _unfolded(_scored_by(ws, names)).select(
         "customer_id", "model", "position", "feature", "contribution"
     )
 

@@ -117,8 +117,9 @@ def _scored(ws, noise: str) -> DataFrame:
     )
 
 
-def thresholds(ws, noise: str = "none") -> dict[tuple[str, float], float]:
+def thresholds(ws, noise: str | None = None) -> dict[tuple[str, float], float]:
     """Global cut-offs: scalars over all customers, computed once."""
+    noise = noise or ws.noise
     key = ("thresholds", noise)
     if key not in ws.memo:
         ws.memo[key] = exact_quantiles(
@@ -133,8 +134,9 @@ def thresholds(ws, noise: str = "none") -> dict[tuple[str, float], float]:
     return ws.memo[key]
 
 
-def profiles(ws, noise: str = "none") -> DataFrame:
-    """One row per customer with all profile columns."""
+def profiles(ws, noise: str | None = None) -> DataFrame:
+    """One row per customer with all profile columns; the risk score has the workspace's noise unless another is asked for."""
+    noise = noise or ws.noise
     cut = thresholds(ws, noise)
     spend = F.col("total_spending")
     tier = F.lit(labels.TIER_ORDER[-1])

@@ -30,6 +30,7 @@ PLANS: dict[str, Plan] = {
     "snapshot_kpis": overview.snapshot_kpis,
     "customer_profiles": profiles.profiles,
     "customer_profiles_noisy": partial(profiles.profiles, noise="hash"),
+    "customer_profiles_plain": partial(profiles.profiles, noise="none"),
     "segment_overview": segments.segment_overview,
     "tier_breakdown": segments.tier_breakdown,
     "tier_breakdown_filtered": partial(
@@ -87,6 +88,14 @@ PLANS: dict[str, Plan] = {
     "confusion_matrix": models.confusion_matrix,
     "classification_report": models.classification_report,
     "best_model": models.best_model,
+    **{
+        f"logistic_{name}": partial(plan, names=[models.DEFAULT_MODEL])
+        for name, plan in {
+            "metrics": models.model_metrics, "importance": models.feature_importance,
+            "confusion": models.confusion_matrix, "report": models.classification_report,
+            "scores": models.risk_scores, "contributions": models.risk_contributions,
+        }.items()
+    },
     "risk_scores": models.risk_scores,
     "risk_contributions": models.risk_contributions,
     "top_drivers": models.top_drivers,

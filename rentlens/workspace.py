@@ -46,9 +46,11 @@ class Extent:
 
 class Workspace:
     def __init__(
-        self, spark: SparkSession, relations: Relations, heavy_rows: int = 1_000_000
+        self, spark: SparkSession, relations: Relations, heavy_rows: int = 1_000_000, noise: str = "hash"
     ) -> None:
         self.spark = spark
+        #: Noise of the risk score ("hash" or "none"), the same for all that follows from it.
+        self.noise = noise
         self.relations = relations
         self.heavy_rows = heavy_rows
         self.created = time.monotonic()
