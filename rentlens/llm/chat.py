@@ -15,7 +15,11 @@ whether it counts in the loss (role `assistant`).
 
 Null texts and roles are empty; a null tree id is a tree of its own. A parent that
 does not exist makes a root. Nodes must be unique within a tree; parents in a ring
-are refused. An empty table gives no conversation. Other columns are not looked at.
+are refused. Equal scores rank by leaf, a branch without a score last. Texts of any
+length are kept whole: a conversation is one string, so a path has to fit in a task.
+Rows of conversations (`as_trees`) are numbered within theirs, repeated rows one after
+the other; rows without conv_id are one conversation. An empty table gives no
+conversation. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -61,14 +65,20 @@ def steps(nodes: DataFrame, folder: str) -> list[DataFrame]:
     return tables[:-1]
 
 
-def paths(nodes: DataFrame, tables: list[DataFrame]) -> DataFrame:
-    """(tree, leaf, node, back): every node on the way from a leaf to its root, `back` steps above the leaf."""
+def paths(nodes: DataFrame, tables: list[DataFrame], folder: str) -> DataFrame:
+    """(tree, leaf, node, back): every node on the way from a leaf to its root, `back` steps above the leaf.
+
+    What each level adds is stored and the next level reads it, so plans do not grow with the levels.
+    """
     has_child = tables[0].select("tree", F.col("above").alias("node")) if tables else nodes.select("tree", "node").limit(0)
     leaves = nodes.select("tree", "node").join(has_child.distinct(), ["tree", "node"], "left_anti")
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("back"))
+    added = [f"{folder}/way{len(tables)}"]
+    found = stored(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("back")), added[0])
     for k in reversed(range(len(tables))):
         higher = found.join(tables[k], ["tree", "node"]).select("tree", "leaf", F.col("above").alias("node"), (F.col("back") + (1 << k)).alias("back"))
-        found = found.unionByName(higher)
+        added.append(f"{folder}/way{k}")
+        higher.write.parquet(added[-1])
+        found = nodes.sparkSession.read.schema(found.schema).parquet(*added)
     return found
 
 
@@ -76,7 +86,7 @@ def conversations(nodes: DataFrame, top: int | None = None) -> DataFrame:
     """tree, leaf, branch_rank, score, n_turns, formatted and spans of each chosen branch; all unless `top` are asked for."""
     folder = scratch(nodes.sparkSession, "chat")
     nodes = stored(nodes.select("tree", "node", "parent", "role", "text", "score"), f"{folder}/nodes")
-    way = stored(paths(nodes, steps(nodes, folder)), f"{folder}/paths")
+    way = paths(nodes, steps(nodes, folder), folder)
     scores = way.join(nodes.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc_nulls_last(), "leaf"))
     chosen = scores.withColumn("branch_rank", rank)

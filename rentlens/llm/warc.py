@@ -4,8 +4,9 @@ Written are `.warc.gz` files of one gzip member per record. Each member's header
 has an `sl` extra field with its compressed and plain length, so a reader parses
 the first bytes of a record - its WARC and HTTP headers - and steps over the
 payload without inflating it, unless the payload is asked for. Files of other
-writers, with or without compression, are read too. Tasks write files of their
-own; `_files` names those of the tasks that succeeded, so retries leave no trace.
+writers are read too: plain, a gzip member per record, or all records in one member.
+Tasks write files of their own, named after their job; each job adds a list of those
+of the tasks that succeeded, so retries leave no trace, and further jobs add records.
 
 `read` pushes wanted values of record_type, uri, record_id, refers_to and
 payload_digest, and a prefix of the uri, to the reader as options, and columns as
@@ -14,6 +15,9 @@ queried twice keeps the filters of its first query.)
 
 Null payloads are empty; a null uri or id is left out and read as null; line ends
 in headers are percent-encoded. Empty tables give an archive without records.
+Repeated rows are records of their own. Payloads and headers may be of any length:
+a task holds one whole record at a time, and batches are bounded by bytes. Columns
+that the format has no place for are not written.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
+from rentlens.llm.common import HEAVY, scratch, stored
+
 SCHEMA = "record_id string, record_type string, uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest"}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,7 +52,10 @@ DATE = "2024-01-01T00:00:00Z"
 FILE_BYTES = 32 << 20
 READ_BYTES = 1 << 20
 HEAD_BYTES = 1 << 14
-BATCH_ROWS = 1000
+#: Files that name the files of a job, which follows.
+LISTS = "_files-"
+END = b"\r\n\r\n"
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 #: Smaller payloads are stored again rather than referred to.
 LEAST_REVISIT = 100
 
@@ -91,18 +100,19 @@ class Written(WriterCommitMessage):
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.path, self.job = path, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = filesystem(self.path)
         fs.create_dir(folder, recursive=True)
         names, out, size = [], None, 0
         for batch in iterator:
-            for row in batch.to_pylist():
+            for k in range(len(batch)):
+                row = batch.slice(k, 1).to_pylist()[0]
                 if out is None or size >= FILE_BYTES:
                     if out is not None:
                         out.close()
-                    names.append(f"{uuid.uuid4().hex}.warc.gz")
+                    names.append(f"{self.job}-{uuid.uuid4().hex}.warc.gz")
                     out, size = fs.open_output_stream(f"{folder}/{names[-1]}", compression=None), 0
                 data = member(record(row))
                 out.write(data)
@@ -114,13 +124,15 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, folder = filesystem(self.path)
         fs.create_dir(folder, recursive=True)
-        with fs.open_output_stream(f"{folder}/_files") as out:
+        with fs.open_output_stream(f"{folder}/{LISTS}{self.job}") as out:
             out.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
+        """Removes all files of the job, also those of tasks that failed and sent no message."""
         fs, folder = filesystem(self.path)
-        for name in (x for m in messages if m for x in m.files):
-            fs.delete_file(f"{folder}/{name}")
+        for x in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+            if x.base_name.startswith(self.job):
+                fs.delete_file(x.path)
 
 
 class Cursor:
@@ -140,54 +152,86 @@ class Cursor:
         self.at += n
 
 
-def inflate_unknown(cursor: Cursor) -> bytes:
-    """The member at the cursor, whose length is not known, and moves behind it."""
-    unpacker, out = zlib.decompressobj(31), []
-    while not unpacker.eof:
-        data = cursor.peek(READ_BYTES)
-        if not data:
-            raise ValueError("a record ends too early")
-        out.append(unpacker.decompress(data))
-        cursor.skip(len(data) - len(unpacker.unused_data))
-    return b"".join(out)
+class Inflated:
+    """The plain bytes of the gzip member at a cursor, whose length is not known, read from the start on."""
+
+    def __init__(self, cursor: Cursor) -> None:
+        self.cursor, self.unpacker, self.buffer = cursor, zlib.decompressobj(31), b""
+
+    def peek(self, n: int) -> bytes:
+        while len(self.buffer) < n and not self.unpacker.eof:
+            data = self.unpacker.unconsumed_tail or self.cursor.peek(READ_BYTES)
+            if not data:
+                raise ValueError("a record ends too early")
+            fresh = not self.unpacker.unconsumed_tail
+            self.buffer += self.unpacker.decompress(data, READ_BYTES)
+            if fresh:
+                self.cursor.skip(len(data))
+            if self.unpacker.eof:
+                self.cursor.skip(-len(self.unpacker.unused_data))
+        return self.buffer[:n]
+
+    def skip(self, n: int) -> None:
+        while n > 0 and (data := self.peek(min(n, READ_BYTES))):
+            self.buffer, n = self.buffer[len(data) :], n - len(data)
+
+
+def upto_headers(source: Cursor | Inflated) -> bytes:
+    """The first bytes of the record that begins at the source, with all its WARC headers."""
+    size = HEAD_BYTES
+    while END not in (first := source.peek(size)):
+        if len(first) < size:
+            raise ValueError("a record ends within its headers")
+        size *= 2
+    return first
+
+
+def plain_records(source: Cursor | Inflated) -> Iterator[tuple[bytes, Callable[[], bytes]]]:
+    """Records one after the other up to the end of the source, or of one record where its file has more to follow."""
+    while source.peek(1):
+        if (blank := source.peek(2)) in (b"\r\n", b"\n"):
+            source.skip(len(blank))
+            continue
+        if isinstance(source, Cursor) and source.peek(2) == b"\x1f\x8b":
+            return
+        first = upto_headers(source)
+        total = first.index(END) + 4 + int(warc_headers(first).get("content-length", 0))
+        kept: list[bytes] = []
+
+        def whole(total=total, kept=kept) -> bytes:
+            if not kept:
+                kept.append(source.peek(total))
+            return kept[0]
+
+        yield first[:total], whole
+        source.skip(total)
 
 
 def records(cursor: Cursor) -> Iterator[tuple[bytes, Callable[[], bytes]]]:
     """(first bytes, a function that gives the whole record) of each record; moving on skips what was not asked for."""
     while cursor.at < cursor.size:
         head = cursor.peek(24)
-        if head[:2] == b"\x1f\x8b":
-            if len(head) == 24 and head[3] == 4 and head[12:14] == b"sl":
-                total, _ = struct.unpack("<II", head[16:24])
-                body = 12 + struct.unpack("<H", head[10:12])[0]
-                begin = cursor.at
-                first = zlib.decompressobj(-15).decompress(cursor.peek(min(total, HEAD_BYTES))[body:], HEAD_BYTES)
-
-                def whole(begin=begin, total=total, body=body) -> bytes:
-                    cursor.at = begin
-                    data = cursor.peek(total)
-                    raw = zlib.decompress(data[body:-8], -15)
-                    if zlib.crc32(raw) != struct.unpack("<I", data[-8:-4])[0]:
-                        raise ValueError("a record is damaged")
-                    return raw
-
-                yield first, whole
-                cursor.at = begin + total
-            else:
-                raw = inflate_unknown(cursor)
-                yield raw, lambda raw=raw: raw
-        else:
-            begin, first = cursor.at, cursor.peek(HEAD_BYTES)
-            head_end = first.index(b"\r\n\r\n") + 4
-            length = int(warc_headers(first).get("content-length", 0))
-            total = head_end + length + 4
-
-            def plain(begin=begin, total=total) -> bytes:
+        if head[:2] != b"\x1f\x8b":
+            yield from plain_records(cursor)
+        elif len(head) == 24 and head[3] == 4 and head[12:14] == b"sl":
+            total, _ = struct.unpack("<II", head[16:24])
+            body = 12 + struct.unpack("<H", head[10:12])[0]
+            begin = cursor.at
+            first = zlib.decompressobj(-15).decompress(cursor.peek(min(total, HEAD_BYTES))[body:], HEAD_BYTES)
+
+            def whole(begin=begin, total=total, body=body) -> bytes:
                 cursor.at = begin
-                return cursor.peek(total)
+                data = cursor.peek(total)
+                raw = zlib.decompress(data[body:-8], -15)
+                if zlib.crc32(raw) != struct.unpack("<I", data[-8:-4])[0]:
+                    raise ValueError("a record is damaged")
+                return raw
 
-            yield first[:total], plain
+            yield first, whole
             cursor.at = begin + total
+        else:
+            inflated = Inflated(cursor)
+            yield from plain_records(inflated)
 
 
 def warc_headers(first: bytes) -> dict[str, str]:
@@ -226,9 +270,12 @@ class WarcReader(DataSourceReader):
         """Whole files, small ones together."""
         fs, folder = filesystem(self.path)
         found = [x for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.endswith((".warc", ".warc.gz"))]
-        if fs.get_file_info(f"{folder}/_files").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{folder}/_files") as listed:
-                names = set(json.loads(listed.read()))
+        lists = [x for x in fs.get_file_info(pafs.FileSelector(folder)) if x.base_name.startswith(LISTS)]
+        if lists:
+            names: set[str] = set()
+            for x in lists:
+                with fs.open_input_stream(x.path) as listed:
+                    names |= set(json.loads(listed.read()))
             found = [x for x in found if x.base_name in names]
         out, size = [], FILE_BYTES
         for x in sorted(found, key=lambda x: x.base_name):
@@ -243,6 +290,7 @@ class WarcReader(DataSourceReader):
         columns = self.schema.names
         fs, _ = filesystem(self.path)
         rows: list[dict] = []
+        held = 0
         for name in partition.names:
             with fs.open_input_file(name) as file:
                 for first, whole in records(Cursor(file)):
@@ -251,9 +299,10 @@ class WarcReader(DataSourceReader):
                     headers = warc_headers(first)
                     if self.accepts(headers):
                         rows.append(self.row(first, whole, headers, columns))
-                    if len(rows) >= BATCH_ROWS:
+                        held += len(rows[-1].get("payload") or b"")
+                    if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                         yield self.batch(rows, columns)
-                        rows = []
+                        rows, held = [], 0
         if rows:
             yield self.batch(rows, columns)
 
@@ -302,9 +351,17 @@ def page_records(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", F.col("url").alias("uri"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumns({"payload_digest": F.sha2("payload", 256), "payload_bytes": F.octet_length("payload").cast("long")})
-    firsts = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy(F.col("payload_digest").alias("digest_"))
-    firsts = firsts.agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(firsts, rows["payload_digest"] == firsts["digest_"], "left")
+    large = F.col("payload_bytes") >= LEAST_REVISIT
+    firsts = rows.where(large).groupBy(F.col("payload_digest").alias("digest_")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = stored(firsts.where("n > 1"), scratch(pages.sparkSession, "revisits"))
+    # Very common payloads are few, so their rows stay where they are; rows without a revisit are dealt evenly.
+    common = max((firsts.agg(F.sum("n")).first()[0] or 0) // HEAVY, 1)
+    hot = firsts.where(F.col("n") > common).select(F.col("digest_").alias("hot_"), F.col("first").alias("hot_first"))
+    rows = rows.join(F.broadcast(hot), rows["payload_digest"] == F.col("hot_"), "left")
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "payload_digest", F.monotonically_increasing_id()).cast("string"))
+    rows = rows.withColumn("key", F.when(large & F.col("hot_").isNull(), F.col("payload_digest")).otherwise(alone))
+    joined = rows.join(firsts.where(F.col("n") <= common).drop("n"), rows["key"] == F.col("digest_"), "left")
+    joined = joined.withColumn("first", F.coalesce("hot_first", "first"))
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         F.col("page_id").cast("string").alias("record_id"),

@@ -206,6 +206,57 @@ def test_language_held_out_accuracy(spark):
     assert len(found) > 200 and sum(r.lang == r.lang_pred for r in found) >= 0.98 * len(found)
 
 
+def plain_grams(text: str | None) -> list[str]:
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    letters = " ".join(letters.split())
+    padded = f" {letters} " if letters else ""
+    return [padded[k : k + size] for size in (1, 2, 3) for k in range(len(padded) - size + 1)]
+
+
+def plain_slot(gram: str) -> int:
+    value = 0
+    for c in gram:
+        value = (value * 0x01000193 + ord(c)) & 0xFFFFFFFF
+    return (((value * 0x9E3779B1) & 0xFFFFFFFF) ^ (len(gram) * 0x5BD1E995 & 0xFFFFFFFF)) >> 16
+
+
+@pytest.mark.parametrize("at_once", [256, 2])
+def test_language_is_bayes_with_dictionaries(spark, at_once):
+    """Five languages, in one block or three; a text without letters, one of numerals, one without n-grams known."""
+    rows = [(k, " ".join(f"{lang}{(k * 7 + i * i) % 13}{'aeiou'[(k + i) % 5]}x" for i in range(12)), lang) for lang in ("de", "en", "fr", "xx", "yy") for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts, totals = defaultdict(lambda: defaultdict(int)), {}
+    for _, text, lang in rows:
+        for gram in plain_grams(text):
+            counts[lang][plain_slot(gram)] += 1
+    for lang, c in counts.items():
+        totals[lang] = sum(c.values()) + language.SMOOTHING * language.BUCKETS
+    models = language.fit(docs, at_once)
+    assert [n for m in models for n in m.names] == sorted(counts)
+    asked = [r[1] for r in rows] + ["dex enx frx", "ß", "½ Ⅷ ² 12 _", None, "", "de" * 400]
+    frame = spark.createDataFrame([(k, t) for k, t in enumerate(asked)], "doc_id long, text string")
+    found = {r.c0: (r.lang_pred, r.score) for r in language.predicted(frame, models, ["doc_id"]).select("row.c0", "lang_pred", "score").collect()}
+    for k, text in enumerate(asked):
+        grams = plain_grams(text)
+        if not grams:
+            assert found[k] == ("und", 0.0)
+            continue
+        logs = {lang: sum(math.log((c[plain_slot(g)] + language.SMOOTHING) / totals[lang]) for g in grams) for lang, c in counts.items()}
+        best = max(sorted(logs), key=lambda x: logs[x])
+        tempered = min(1.0, language.EVIDENCE * 3 / len(grams))
+        assert found[k][0] == best and found[k][1] == pytest.approx(1 / sum(math.exp((x - logs[best]) * tempered) for x in logs.values()), abs=1e-4)
+
+
+def test_pieces_of_a_text_have_its_grams(monkeypatch):
+    text = "Σίσυφος, 12 Ärger½straße\t日本 " * 40
+    whole = [language.slots(language.normal(text), 1 << 30)]
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(language, "PIECE_CHARS", size)
+        cut = list(language.pieces(text))
+        assert len(cut) > 4 and np.array_equal(np.sort(np.concatenate(cut)), np.sort(whole[0]))
+    assert sorted(whole[0].tolist()) == sorted(map(plain_slot, plain_grams(text)))
+
+
 def test_quality(docs, nothing):
     found = by_id(quality.judged(docs))
     for doc, text in TEXTS.items():
