@@ -8,7 +8,7 @@ range of tokens lie together on each level.
 
 Documents are range-partitioned and sorted by doc_id (nulls first, equal ids by
 text); each task writes shards of bounded size and returns their names, counts
-and place. Only these few figures reach the driver, which adds up the starts.
+and place, which make a table. The driver adds up one figure per partition.
 Files of failed attempts are never named.
 
 Null texts are empty: their ids are the end id alone. Repeated rows are documents
@@ -17,8 +17,10 @@ of their own. An empty table gives no shard; other columns are not looked at.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -28,48 +30,120 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import scratch
+from rentlens.llm.common import scratch, stored
 
 END_ID = 1
 SHARD_TOKENS = 1 << 22
+#: Ids that a reading task is to get.
+TASK_TOKENS = 1 << 22
 BLOCK_BITS = 512
 MAGIC = b"DACIDS01"
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
+WORDS_AT_ONCE = 10_000
 PIECE_CHARS = 1 << 20
 SHARDS = "place long, seq long, path string, n_docs long, n_tokens long"
 
 
+#: Pairs of these, apart by white space, tell whether a tokenizer looks across it.
+PROBES = ["a", "Bc", "don't", "1", "12", "é", "\u0301", "日本", "'s", ".", "--", "x.y", "ß", "\u0345", "Σ", "_", "\u00ad"]
+#: What a tokenizer must do alike for words to share ids: case of Latin letters, and marks that close a word.
+CASES = ["ABC", "ÀÉÑ", "Straße", "xÞY", "Áb", "É.", "ÝZ"]
+LETTERS, TAILS = ["a", "bé", "Straß", "ñN"], [".", ",", "%%%", "!?", "--", "_", "...", "$&", ")", ";:", "#*|"]
+TAIL = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[!-&(-/:-@\[-`{-~]+$")
+LATIN = re.compile(r"[\x00-\xff]+")
+#: Characters that may stand between words while they are encoded together.
+MARKS = "§¶¤¦¬"
+
+
 class Encoder:
     """ids of whole texts as little-endian 32-bit integers.
 
     With `by_words`, texts are cut at spaces and line ends and the ids of each word
     are kept. That holds for tokenizers that drop white space and whose patterns
-    never cross it, such as the word-end BPE used here; others encode whole texts.
+    never cross it, such as the word-end BPE used here. Whether it does is tried on
+    pairs of PROBES; tokenizers that fail, and `by_words=False`, encode whole texts.
     """
 
     def __init__(self, path: str, by_words: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.by_words, self.known = Tokenizer.from_file(path), by_words, {"": b""}
-        special = [(x.content, k) for k, x in sorted(self.tokenizer.get_added_tokens_decoder().items()) if x.special and not (x.lstrip or x.rstrip or x.single_word)]
-        self.parting = special[0] if special else None
+        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
+        self.by_words = by_words and self.parts_at_blanks()
+        self.folds = self.by_words and self.ids(CASES) == self.ids([x.lower() for x in CASES])
+        self.tails = self.by_words and self.ids([x + y for x in LETTERS for y in TAILS]) == [x + y for x in self.ids(LETTERS) for y in self.ids(TAILS)]
+        alone = zip(MARKS, self.ids(list(MARKS)), strict=True)
+        self.mark = next(((c, int.from_bytes(x, "little")) for c, x in alone if len(x) == 4), None)
+
+    def parts_at_blanks(self) -> bool:
+        own = self.ids(PROBES)
+        pairs = [(x, y, blank) for x in range(len(PROBES)) for y in range(len(PROBES)) for blank in (" ", "\n", " \n ")]
+        found = self.ids([PROBES[x] + blank + PROBES[y] for x, y, blank in pairs])
+        return all(ids == own[x] + own[y] for ids, (x, y, _) in zip(found, pairs, strict=True))
 
     def ids(self, parts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def word_ids(self, words: list[str]) -> list[bytes]:
-        """ids of each word: joined by a special token, whose id parts them again."""
-        if len(words) < 2 or self.parting is None or any(self.parting[0] in w for w in words):
+        """ids of each word: words are encoded in one string, apart by a mark, whose id parts them again."""
+        if len(words) < 2 or self.mark is None or any(self.mark[0] in w for w in words):
+            return self.ids(words)
+        ids = np.frombuffer(self.ids([f" {self.mark[0]} ".join(words)])[0], "<u4")
+        at = np.flatnonzero(ids == self.mark[1])
+        if len(at) != len(words) - 1:  # another character became the mark
             return self.ids(words)
-        ids = np.array(self.tokenizer.encode(self.parting[0].join(words), add_special_tokens=False).ids, "<u4")
-        at = np.flatnonzero(ids == self.parting[1])
         data, bounds = ids.tobytes(), [0, *(4 * at + 4).tolist(), 4 * len(ids) + 4]
         return [data[a : b - 4] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
+    def parts(self, word: str) -> tuple[str, str]:
+        """A word as one that is shared by more words, and its tail: case and closing marks off where the tokenizer allows."""
+        tail = ""
+        if self.added and self.added.search(word):
+            return word, tail
+        if self.tails and (found := TAIL.search(word)):
+            word, tail = word[: found.start()], found[0]
+        if self.folds and LATIN.fullmatch(word):
+            word = word.lower()
+        return word, tail
+
+    def learn(self, words: set[str]) -> None:
+        """Encodes words not known, WORDS_AT_ONCE together."""
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known = {"": b""}
+        known, parted = self.known, {w: self.parts(w) for w in words}
+        new = [x for x in {x for pair in parted.values() for x in pair} if x not in known]
+        for first in range(0, len(new), WORDS_AT_ONCE):
+            part = new[first : first + WORDS_AT_ONCE]
+            known.update(zip(part, self.word_ids(part), strict=True))
+        known.update((w, known[word] + known[tail]) for w, (word, tail) in parted.items())
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """ids of texts that are not long in sum; their new words are encoded together."""
+        if not self.by_words:
+            return self.ids(texts)
+        # A full table has millions of strings, which are not to be searched for cycles at each batch.
+        paused = gc.isenabled()
+        gc.disable()
+        try:
+            return self.encode_words([text.replace("\n", " ").split(" ") for text in texts])
+        finally:
+            if paused:
+                gc.enable()
+
+    def encode_words(self, cut: list[list[str]]) -> list[bytes]:
+        found = [list(map(self.known.get, words)) for words in cut]
+        new = {w for words, ids in zip(cut, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        if new:
+            self.learn(new)
+            # Only new words are looked up again, also where learning has emptied the table.
+            found = [[self.known[w] if x is None else x for w, x in zip(words, ids, strict=True)] for words, ids in zip(cut, found, strict=True)]
+        return [b"".join(ids) for ids in found]
+
     def encode(self, text: str) -> bytes:
         if not self.by_words:
             return self.ids([text])[0]
@@ -77,19 +151,24 @@ class Encoder:
         while first < len(text):
             end = text.find(" ", first + PIECE_CHARS)
             end = len(text) if end < 0 else end
-            out.append(self.encode_words(text[first:end].replace("\n", " ").split(" ")))
+            out += self.encode_all([text[first:end]])
             first = end
         return b"".join(out)
 
-    def encode_words(self, words: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > CACHE_WORDS:
-                self.known = {"": b""}
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            self.known.update(zip(new, self.word_ids(new), strict=True))
-            return b"".join(map(self.known.__getitem__, words))
+    def encode_batch(self, texts: list[str]) -> Iterator[bytes]:
+        """ids of each text, in order; short ones are encoded up to PIECE_CHARS together."""
+        held: list[str] = []
+        size = 0
+        for text in texts:
+            if size + len(text) > PIECE_CHARS and held:
+                yield from self.encode_all(held)
+                held, size = [], 0
+            if len(text) > PIECE_CHARS:
+                yield self.encode(text)
+            else:
+                held.append(text)
+                size += len(text)
+        yield from self.encode_all(held)
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
@@ -195,9 +274,10 @@ def shard_writer(folder: str, tokenizer: str, by_words: bool):
             return pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["place", "seq", "path", "n_docs", "n_tokens"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                data = encoder.encode(text.as_py() or "") + end_id
-                doc_ids.append(doc.as_py())
+            encoded_texts = encoder.encode_batch(batch.column("text").fill_null("").to_pylist())
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded_texts, strict=True):
+                data = ids + end_id
+                doc_ids.append(doc)
                 lengths.append(len(data) // 4)
                 parts.append(data)
                 size += lengths[-1]
@@ -210,15 +290,19 @@ def shard_writer(folder: str, tokenizer: str, by_words: bool):
     return write
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, by_words: bool = True) -> list[dict]:
-    """Writes all documents in order of doc_id; the shards in order, each with the ids before it."""
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, by_words: bool = True) -> DataFrame:
+    """Writes all documents in order of doc_id; the shards' table: path, n_docs, n_tokens, place and start (the ids before it)."""
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
-    found = rows.mapInArrow(shard_writer(folder, tokenizer, by_words), SHARDS).collect()
-    out, start = [], 0
-    for r in sorted(found, key=lambda r: (r["place"], r["seq"])):
-        out.append({"path": r["path"], "start": start, "n_docs": r["n_docs"], "n_tokens": r["n_tokens"]})
-        start += r["n_tokens"]
-    return out
+    shards = stored(rows.mapInArrow(shard_writer(folder, tokenizer, by_words), SHARDS), f"{folder}-shards")
+    # A number for each partition, not for each shard, so a prefix sum on the driver is short.
+    sums, start = [], 0
+    for place, n in sorted(tuple(r) for r in shards.groupBy("place").agg(F.sum("n_tokens")).collect()):
+        sums.append((place, start))
+        start += n
+    before = docs.sparkSession.createDataFrame(sums, "place long, before long")
+    within = Window.partitionBy("place").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
+    return shards.join(before, "place").withColumn("start", start).drop("before")
 
 
 def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,14 +312,13 @@ def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def read_tokens(docs: DataFrame, shards: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in the shards."""
-    spark = docs.sparkSession
-    listed = spark.createDataFrame([(x["path"], x["start"]) for x in shards], "path string, start long")
-    listed = listed.repartition(max(1, len(shards)), "path") if len(shards) > 1 else listed
+def read_tokens(shards: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document in the shards; tasks get neighbouring shards of about TASK_TOKENS."""
+    total = shards.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] or 0
+    listed = shards.select("path", "start").repartitionByRange(max(1, total // TASK_TOKENS), "start")
     return listed.mapInArrow(read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Writes the ids of docs and reads the files back."""
-    return read_tokens(docs, write_tokens(docs, scratch(docs.sparkSession, "tokens"), tokenizer))
+    return read_tokens(write_tokens(docs, scratch(docs.sparkSession, "tokens"), tokenizer))

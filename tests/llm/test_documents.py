@@ -310,6 +310,30 @@ def test_words_and_whole_texts_encode_alike():
         assert words.encode(text) == whole.encode(text)
 
 
+def test_tokenizers_that_look_across_blanks_encode_whole_texts():
+    crossing = tokens.Encoder(vocabulary("byte_bpe_50k.json"))
+    assert tokens.Encoder(vocabulary()).by_words and not crossing.by_words
+    assert crossing.encode("a b c") == crossing.ids(["a b c"])[0] != b"".join(crossing.ids(["a", "b", "c"]))
+
+
+def test_batches_encode_as_texts_do(monkeypatch):
+    """Small tables of known words, small pieces, marks within words."""
+    whole = tokens.Encoder(vocabulary(), by_words=False)
+    asked = [BASE, "", "§ a§b ¶ x", "long " * 50 + BASE, "\n", "é don't", BASE[:90], "new1 new2 new3 a b c d e f g"] * 2
+    for name, value in (("CACHE_WORDS", 40), ("WORDS_AT_ONCE", 3), ("PIECE_CHARS", 100)):
+        monkeypatch.setattr(tokens, name, value)
+    assert list(tokens.Encoder(vocabulary()).encode_batch(asked)) == whole.ids(asked)
+
+
+def test_random_words_encode_as_texts_do():
+    random = np.random.default_rng(11)
+    letters = list("abzABZéÉßñÑÞþµÿΣσςİıŁłǅ日語½Ⅷ²19_'.,;:!?%$&#*|-()<>\u0301\u0345\u00ad §¶") + ["'s", "'LL", " ", "\n", "\t", "\r\n", "<|endoftext|>"]
+    asked = ["".join(letters[k] for k in random.integers(0, len(letters), n)) for n in random.integers(1, 40, 4000)]
+    words, whole = tokens.Encoder(vocabulary()), tokens.Encoder(vocabulary(), by_words=False)
+    assert words.folds and words.tails
+    assert list(words.encode_batch(asked)) == whole.ids(asked)
+
+
 def test_any_token_is_addressable(tmp_path):
     ids = np.random.default_rng(3).choice([3, 200, 255, 256, 40000, 70000, 1 << 24], 5000).astype(np.uint32)
     (tmp_path / "x.ids").write_bytes(b"".join(tokens.shard_bytes([7, 9], [2000, 3000], ids)))
