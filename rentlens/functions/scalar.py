@@ -47,6 +47,12 @@ def elapsed_us(start: str, end: str) -> Column:
     return (seconds * 1_000_000).cast("long")
 
 
+def wall_clock_us(column: str) -> Column:
+    """Microseconds of wall-clock time since 1970, whatever the session's zone."""
+    since = F.col(column).cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("long")
+
+
 def whole_days(start: Column, end: Column) -> Column:
     """Complete 24-hour periods of wall-clock time, not calendar days."""
     return F.extract(F.lit("DAY"), end - start).cast("long")

@@ -129,13 +129,17 @@ def late_rows() -> Column:
 
 def rental_fact(rel: Relations) -> DataFrame:
     """The full joined row set, one row per rental, category and payment."""
+    return described(rel, rel.rental.join(rel.payment.hint("merge"), "rental_id", "left"))
+
+
+def described(rel: Relations, rentals: DataFrame) -> DataFrame:
+    """Rentals joined with payments, with all columns of the fact."""
     films = film_catalogue(rel).select(
         "film_id", "title", F.col("rental_duration").alias("allowed_days"), "rental_rate",
         F.col("length").alias("film_length_min"), "rating", "category",
     )
     rows = (
-        rel.rental.join(rel.payment.hint("merge"), "rental_id", "left")
-        .join(rel.inventory, "inventory_id")
+        rentals.join(rel.inventory, "inventory_id")
         .join(films, "film_id")
         .join(customer_places(rel), "customer_id")
     )

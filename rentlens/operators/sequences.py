@@ -1,125 +1,115 @@
-"""Ordered neighbours within a customer, safe against one huge customer.
-
-An ordinary customer's rows go through a window partitioned by customer: one
-shuffle. Customers above a row limit are taken out and treated by time slice:
-a slice is a few rows' worth of work for a task, and neighbouring slices are
-stitched together from their first and last row. Both ways give the same
-answer; ``heavy`` is None when no customer is above the limit.
+"""Ordered neighbours within a customer: one sorted scan, whatever the customers' sizes.
+
+Rows are range-partitioned and sorted by customer, date, rental and category, so a
+customer with most of the rows, even at one timestamp, is spread over as many
+partitions as its rows need. Each task reads its partition once, in order, and compares
+every row with the one before. What it cannot compare is its first row: the first and
+last row of every partition (its edges) come out beside the results, and neighbouring
+edges are compared afterwards. The scan works on columns of Arrow batches in numpy, as
+a window would have to gather a customer, or a slice of one, in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from collections import Counter
+from collections.abc import Iterator
 
-from rentlens.functions.scalar import whole_days
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-ORDER = ["rental_date", "rental_id", "category"]
+from rentlens.functions.scalar import DAY_US, wall_clock_us
 
+ORDER = ["customer_id", "rental_date", "rental_id", "category"]
+GAP, STEP, FIRST, LAST = range(4)
+SCAN = (
+    "kind int, customer_id long, gap_days long, category string, next_category string, "
+    "count long, place int, at_us long"
+)
+_FIELDS = [x.split()[0] for x in SCAN.split(", ")]
+_KINDS = [{"int": pa.int32(), "long": pa.int64(), "string": pa.string()}[x.split()[1]] for x in SCAN.split(", ")]
 
-def _split(
-    rows: DataFrame, heavy: DataFrame | None, customers: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary and of heavy customers, limited to ``customers``.
-
-    Heavy customers leave first, so that no later join or window by customer
-    meets a key that holds a large part of the rows.
-    """
-    ordinary = rows if heavy is None else rows.join(heavy, "customer_id", "left_anti")
-    if customers is not None:
-        ordinary = ordinary.join(customers, "customer_id", "left_semi")
-        if heavy is not None:
-            heavy = heavy.join(customers, "customer_id", "left_semi")
-    return ordinary, None if heavy is None else rows.join(heavy, "customer_id", "left_semi")
 
+def _rows(kind: int, n: int, **columns) -> pa.RecordBatch:
+    columns["kind"] = np.full(n, kind)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[f], k) if f in columns else pa.nulls(n, k) for f, k in zip(_FIELDS, _KINDS, strict=True)],
+        _FIELDS,
+    )
 
-def rental_gaps(rows: DataFrame, heavy: DataFrame | None) -> DataFrame:
-    """Per customer the sum of whole-day gaps between consecutive rentals.
 
-    ``rows`` needs customer_id and rental_date. Rows that share a timestamp
-    are 0 days apart, so their multiplicity does not change the sum.
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Gaps per customer, steps per category pair, and the edges of one sorted partition."""
+    place = TaskContext.get().partitionId()
+    names: dict[str | None, int] = {}
+    steps: Counter[tuple[int, int]] = Counter()
+    last: tuple | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        customer, at = (batch.column(c).to_numpy() for c in ("customer_id", "at_us"))
+        extra = batch.column("n_rows").to_numpy() - 1
+        coded = batch.column("category").dictionary_encode()
+        known = np.array([names.setdefault(x, len(names)) for x in coded.dictionary.to_pylist()] + [names.setdefault(None, len(names))], np.int64)
+        code = known[coded.indices.fill_null(len(known) - 1).to_numpy()]
+        # A row that stands for n joined rows steps n - 1 times to its own category.
+        own = np.bincount(code, extra, len(names))
+        steps.update({(int(k), int(k)): int(own[k]) for k in np.flatnonzero(own)})
+        if last is None:
+            yield _rows(FIRST, 1, customer_id=customer[:1], at_us=at[:1], category=[coded[0].as_py()], place=[place])
+        else:
+            customer, at, code = (np.concatenate([[x], y]) for x, y in zip(last, (customer, at, code), strict=True))
+        last = customer[-1], at[-1], code[-1]
+        same = np.flatnonzero(customer[1:] == customer[:-1])
+        pairs, n = np.unique(code[same] * len(names) + code[same + 1], return_counts=True)
+        steps.update({(int(p) // len(names), int(p) % len(names)): int(k) for p, k in zip(pairs, n, strict=True)})
+        days = (at[same + 1] - at[same]) // DAY_US
+        same, days = same[days > 0], days[days > 0]
+        if len(same):
+            starts = np.flatnonzero(np.concatenate([[True], customer[same][1:] != customer[same][:-1]]))
+            yield _rows(GAP, len(starts), customer_id=customer[same][starts], gap_days=np.add.reduceat(days, starts))
+    if last is not None:
+        back = list(names)
+        yield _rows(STEP, len(steps), category=[back[a] for a, _ in steps], next_category=[back[b] for _, b in steps], count=list(steps.values()))
+        yield _rows(LAST, 1, customer_id=[last[0]], at_us=[last[1]], category=[back[last[2]]], place=[place])
+
+
+def neighbour_scan(rows: DataFrame) -> DataFrame:
+    """What neighbouring rows say, as rows of SCAN; store it, as two summaries read it.
+
+    ``rows`` needs customer_id, rental_date, rental_id, category and n_rows.
     """
-    ordinary, large = _split(rows.select("customer_id", "rental_date"), heavy)
-    by_customer = Window.partitionBy("customer_id")
-
-    previous = F.lag("rental_date").over(by_customer.orderBy("rental_date"))
-    steps = ordinary.select(
-        "customer_id", whole_days(previous, F.col("rental_date")).alias("gap")
-    )
-    if large is not None:
-        # Within one calendar day every gap is below 24 hours and counts 0,
-        # so the first and last rental of each day are all that matters.
-        days = large.groupBy("customer_id", F.to_date("rental_date").alias("day")).agg(
-            F.min("rental_date").alias("first"), F.max("rental_date").alias("last")
-        )
-        previous_last = F.lag("last").over(by_customer.orderBy("day"))
-        steps = steps.unionByName(
-            days.select("customer_id", whole_days(previous_last, F.col("first")).alias("gap"))
-        )
-    return steps.groupBy("customer_id").agg(F.sum("gap").alias("gap_days"))
-
-
-def category_steps(
-    rows: DataFrame,
-    heavy: DataFrame | None,
-    customers: DataFrame | None = None,
-    slice_unit: str = "hour",
-) -> DataFrame:
-    """Counts of (category, next_category) over consecutive fact rows.
-
-    ``rows`` needs customer_id, rental_date, rental_id, category and n_rows. A
-    row standing for n joined rows contributes n - 1 steps to its own category
-    besides the step to the following row.
+    ordered = rows.select(*ORDER, "n_rows").repartitionByRange(*ORDER).sortWithinPartitions(*ORDER)
+    return ordered.select("customer_id", wall_clock_us("rental_date").alias("at_us"), "category", "n_rows").mapInArrow(_scan, SCAN)
+
+
+def _stitched(scan: DataFrame) -> DataFrame:
+    """The scan with the results of neighbouring edges, two rows a partition, which the driver compares."""
+    edges = scan.where(F.col("kind").isin(FIRST, LAST)).select("place", "kind", "customer_id", "at_us", "category").collect()
+    edges.sort(key=lambda e: (e["place"], e["kind"]))
+    found = []
+    for before, after in zip(edges[1::2], edges[2::2]):
+        if before["customer_id"] == after["customer_id"]:
+            days = (after["at_us"] - before["at_us"]) // DAY_US
+            found.append((GAP, before["customer_id"], days, None, None, None))
+            found.append((STEP, None, None, before["category"], after["category"], 1))
+    names = ["kind", "customer_id", "gap_days", "category", "next_category", "count"]
+    kinds = dict(x.split() for x in SCAN.split(", "))
+    more = scan.sparkSession.createDataFrame(found, ", ".join(f"{n} {kinds[n]}" for n in names))
+    return scan.where(F.col("kind").isin(GAP, STEP)).select(*names).unionByName(more)
+
+
+def rental_gaps(scan: DataFrame) -> DataFrame:
+    """Per customer the sum of whole-day gaps between consecutive rentals, where it is above 0.
+
+    Rows that share a timestamp are 0 days apart, so their multiplicity does not change the sum.
     """
-    ordinary, large = _split(
-        rows.select("customer_id", *ORDER, "n_rows"), heavy, customers
-    )
-    following = F.lead("category").over(Window.partitionBy("customer_id").orderBy(*ORDER))
-    steps = ordinary.select("category", following.alias("next_category"), "n_rows")
-    if large is not None:
-        sliced = large.withColumn("slice", F.date_trunc(slice_unit, "rental_date"))
-        key = ["customer_id", "slice"]
-        within = sliced.select(
-            "category",
-            F.lead("category").over(Window.partitionBy(*key).orderBy(*ORDER)).alias(
-                "next_category"
-            ),
-            "n_rows",
-        )
-        place = F.struct(*ORDER)
-        edges = sliced.groupBy(*key).agg(F.min(place).alias("head"), F.max(place).alias("tail"))
-        between = edges.select(
-            F.col("tail.category").alias("category"),
-            F.lead("head.category")
-            .over(Window.partitionBy("customer_id").orderBy("slice"))
-            .alias("next_category"),
-            F.lit(1).cast("long").alias("n_rows"),
-        )
-        steps = steps.unionByName(within).unionByName(between)
-
-    # One pass over the rows; what follows works on category pairs only.
-    pairs = steps.groupBy("category", "next_category").agg(
-        F.count(F.lit(1)).alias("moves"), F.sum(F.col("n_rows") - 1).alias("repeats")
-    )
-    return (
-        pairs.select(
-            F.explode(
-                F.array(
-                    F.struct(
-                        "category",
-                        "next_category",
-                        F.when(F.col("next_category").isNotNull(), F.col("moves")).alias("n"),
-                    ),
-                    F.struct(
-                        "category",
-                        F.col("category").alias("next_category"),
-                        F.col("repeats").alias("n"),
-                    ),
-                )
-            ).alias("step")
-        )
-        .select("step.*")
-        .where("n > 0")
-        .groupBy("category", "next_category")
-        .agg(F.sum("n").alias("count"))
-    )
+    return _stitched(scan).where(F.col("kind") == GAP).groupBy("customer_id").agg(F.sum("gap_days").alias("gap_days"))
+
+
+def category_steps(scan: DataFrame) -> DataFrame:
+    """Counts of (category, next_category) over consecutive fact rows."""
+    steps = _stitched(scan).where((F.col("kind") == STEP) & F.col("next_category").isNotNull())
+    return steps.groupBy("category", "next_category").agg(F.sum("count").alias("count")).where("count > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rentlens.functions.scalar import month_key, rint_to
+from rentlens.functions.scalar import rint_to
 from rentlens.operators import fact
 from rentlens.operators.sequences import category_steps
 
@@ -15,12 +15,6 @@ FILMS_SHOWN = 6
 BUNDLES_SHOWN = 5
 
 
-def _dated_genres(ws) -> DataFrame:
-    """Weighted rentals with category."""
-    rel = ws.relations
-    return fact.weighted_rentals(rel).join(fact.copy_terms(rel), "inventory_id")
-
-
 def _placed(ws) -> DataFrame:
     """Ids of the customers with a complete address."""
     return ws.places.select("customer_id")
@@ -28,19 +22,19 @@ def _placed(ws) -> DataFrame:
 
 def customer_timeline(ws) -> DataFrame:
     return (
-        _dated_genres(ws)
-        .groupBy("customer_id", month_key(F.col("rental_date")).alias("rental_month"))
-        .agg(
-            F.sum("n_rows").alias("rentals"),
-            fact.dollars(F.coalesce(F.sum("cents"), F.lit(0))).alias("spending"),
-            F.sum(fact.late_rows()).alias("late"),
-        )
+        ws.customer_month.where("fact_rows > 0")
         .join(_placed(ws), "customer_id", "left_semi")
+        .select(
+            "customer_id", F.col("month").alias("rental_month"), F.col("fact_rows").alias("rentals"),
+            fact.dollars(F.col("fact_cents")).alias("spending"), F.col("fact_late").alias("late"),
+        )
     )
 
 
 def genre_preferences(ws) -> DataFrame:
-    return ws.customer_genre.select("customer_id", "category", F.col("rentals").alias("count"))
+    """Rentals of each customer by category, the most rented ones first."""
+    counts = ws.customer_genre.select("customer_id", "category", F.col("rentals").alias("count"))
+    return counts.orderBy("customer_id", F.desc("count"), "category")
 
 
 def genre_spend(ws) -> DataFrame:
@@ -54,7 +48,7 @@ def transitions(ws) -> DataFrame:
     """Category pairs with count and share; at most categories squared rows."""
 
     def build() -> DataFrame:
-        steps = category_steps(_dated_genres(ws), ws.heavy_customers, _placed(ws))
+        steps = category_steps(ws.ordered_steps)
         share = F.col("count") / F.sum("count").over(Window.partitionBy("category"))
         return steps.withColumn("prob", share)
 

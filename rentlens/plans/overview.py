@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.functions import labels
-from rentlens.functions.scalar import DAY_US, day_of_week, day_type, month_key, named_rows
+from rentlens.functions.scalar import DAY_US, day_of_week, day_type, named_rows
 from rentlens.operators import fact
+from rentlens.workspace import customer_bucket
 
 
 def rental_fact(ws) -> DataFrame:
@@ -15,8 +16,14 @@ def rental_fact(ws) -> DataFrame:
 
 
 def customer_rentals(ws, customer_id: int) -> DataFrame:
-    """One customer's fact rows; the filter reaches the customer and rental scans."""
-    return rental_fact(ws).where(F.col("customer_id") == customer_id)
+    """One customer's fact rows, in order of date, at the cost of that customer.
+
+    Only the folder with the customer's bucket is read, and of its files the row groups
+    that can hold the customer.
+    """
+    wanted = F.lit(customer_id).cast(ws.facts_by_customer.schema["customer_id"].dataType)
+    own = ws.facts_by_customer.where((F.col("bucket") == customer_bucket(wanted)) & (F.col("customer_id") == wanted))
+    return fact.described(ws.relations, own.drop("bucket")).orderBy("rental_date", "rental_id", "category")
 
 
 def rentals_per_city(ws, country: str) -> DataFrame:
@@ -87,16 +94,13 @@ def snapshot_kpis(ws) -> DataFrame:
 
 
 def monthly_trend(ws) -> DataFrame:
-    rel = ws.relations
     return (
-        fact.weighted_rentals(rel)
-        .join(fact.copy_allowance(rel), "inventory_id")
-        .groupBy(month_key(F.col("rental_date")).alias("month"))
+        ws.customer_month.groupBy("month")
         .agg(
-            F.sum("n_rows").alias("rentals"),
-            F.count_distinct("customer_id").alias("unique_customers"),
+            F.sum("rentals").alias("rentals"),
+            F.count("customer_id").alias("unique_customers"),
             fact.dollars(F.sum("cents")).alias("revenue"),
-            F.sum(fact.late_rows()).alias("late_returns"),
+            F.sum("late").alias("late_returns"),
         )
         .orderBy("month")
     )
@@ -111,18 +115,15 @@ def peak_month(ws) -> DataFrame:
 
 
 def category_stats(ws) -> DataFrame:
-    rel = ws.relations
     return (
-        fact.weighted_rentals(rel)
-        .join(fact.copy_terms(rel).drop("film_id"), "inventory_id")
-        .groupBy("category")
+        ws.all_customer_genre.groupBy("category")
         .agg(
-            F.sum("n_rows").alias("rentals"),
-            F.count_distinct("customer_id").alias("unique_customers"),
+            F.sum("rentals").alias("rentals"),
+            F.count("customer_id").alias("unique_customers"),
             fact.dollars(F.sum("cents")).alias("revenue"),
-            F.try_divide(fact.dollars(F.sum("cents")), F.sum("n_paid")).alias("avg_payment"),
-            F.sum(fact.late_rows()).alias("late_count"),
-            (F.sum(fact.overdue_us() * F.col("n_rows")).cast("double") / F.sum("n_rows") / F.lit(float(DAY_US)))
+            F.try_divide(fact.dollars(F.sum("cents")), F.sum("paid")).alias("avg_payment"),
+            F.sum("late").alias("late_count"),
+            (F.sum("overdue_us").cast("double") / F.sum("rentals") / F.lit(float(DAY_US)))
             .alias("avg_overdue_days"),
         )
         .orderBy(F.desc("rentals"), "category")
@@ -144,7 +145,7 @@ def category_late_rate(ws) -> DataFrame:
 def dayofweek_stats(ws) -> DataFrame:
     when = F.col("rental_date")
     return (
-        fact.weighted_rentals(ws.relations)
+        ws.weighted_rentals
         .groupBy(
             day_of_week(when).alias("dow_num"),
             F.date_format(when, "EEE").alias("day_label"),

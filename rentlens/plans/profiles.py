@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rentlens.functions import labels
 from rentlens.functions.scalar import (
-    DAY_US, clip, day_of_week, month_number, rint_to, seeded_normal, whole_days,
+    DAY_US, clip, day_of_week, month_key, month_number, rint_to, seeded_normal, whole_days,
 )
 from rentlens.operators import fact
 from rentlens.operators.quantiles import exact_quantiles
@@ -28,17 +28,19 @@ def customer_genre_measures(ws) -> DataFrame:
     """Reduce the fact to (customer, category) in one aggregation.
 
     Map-side combining makes a hot customer a handful of rows per task; names
-    and places join afterwards, at the reduced grain.
+    and places join afterwards, at the reduced grain. Every row is one customer of
+    that category, so distinct customers are counted by counting rows.
     """
     rel = ws.relations
     n = F.col("n_rows")
     weekend = day_of_week(F.col("rental_date")).isin(0, 6)
-    reduced = (
-        fact.weighted_rentals(rel)
+    return (
+        ws.weighted_rentals
         .join(fact.copy_terms(rel).drop("film_id"), "inventory_id")
         .groupBy("customer_id", "category")
         .agg(
             F.sum(n).alias("rentals"),
+            F.sum("n_paid").alias("paid"),
             F.sum("cents").alias("cents"),
             F.sum(fact.late_rows()).alias("late"),
             F.sum(F.when(F.col("return_date").isNotNull(), n).otherwise(0)).alias("returned"),
@@ -48,7 +50,27 @@ def customer_genre_measures(ws) -> DataFrame:
             F.max("rental_date").alias("last_date"),
         )
     )
-    return reduced.join(ws.places.select("customer_id", "country"), "customer_id")
+
+
+def customer_month_measures(ws) -> DataFrame:
+    """Reduce the rentals to (customer, month): every row is one customer of that month.
+
+    ``genres`` is the number of the film's categories, that is, of fact rows of a rental.
+    """
+    rel = ws.relations
+    genres = fact.copy_terms(rel).groupBy("inventory_id").agg(F.count(F.lit(1)).alias("genres"))
+    copies = fact.copy_allowance(rel).join(genres, "inventory_id", "left").fillna(0, ["genres"])
+    cents, late = F.coalesce("cents", F.lit(0)), fact.late_rows()
+    return (
+        ws.weighted_rentals.join(copies, "inventory_id")
+        .groupBy("customer_id", month_key(F.col("rental_date")).alias("month"))
+        .agg(
+            F.sum("n_rows").alias("rentals"), F.sum("cents").alias("cents"), F.sum(late).alias("late"),
+            F.sum(F.col("n_rows") * F.col("genres")).alias("fact_rows"),
+            F.sum(cents * F.col("genres")).alias("fact_cents"),
+            F.sum(late * F.col("genres")).alias("fact_late"),
+        )
+    )
 
 
 def profile_measures(ws) -> DataFrame:
@@ -65,11 +87,7 @@ def profile_measures(ws) -> DataFrame:
         # Most rows first, then the alphabetically first category.
         F.min(F.struct((-F.col("rentals")).alias("n"), "category")).alias("top"),
     )
-    rel = ws.relations
-    dated = rel.rental.join(
-        fact.copy_terms(rel).select("inventory_id"), "inventory_id", "left_semi"
-    )
-    gaps = rental_gaps(dated, ws.heavy_customers)
+    gaps = rental_gaps(ws.ordered_steps)
     n = F.col("total_rentals")
     months = F.greatest(
         month_number(F.col("last_rental_date")) - month_number(F.col("first_rental_date")),

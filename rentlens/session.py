@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def build_session(app: str = "rentlens", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,3 +49,16 @@ def shared_dir(spark: SparkSession) -> str:
     if context.applicationId not in _local_dirs:
         _local_dirs[context.applicationId] = tempfile.mkdtemp(prefix="rentlens-")
     return _local_dirs[context.applicationId]
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Gives the executors this package, once per application, for jobs that were not started with --py-files."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        with tempfile.TemporaryDirectory() as folder:
+            ignored = shutil.ignore_patterns("__pycache__")
+            shutil.copytree(Path(__file__).resolve().parent, Path(folder, "rentlens"), ignore=ignored)
+            kept = tempfile.mkdtemp(prefix="rentlens-package-")
+            context.addPyFile(shutil.make_archive(f"{kept}/rentlens", "zip", folder, "rentlens"))
+        _shipped.add(context.applicationId)
+    return spark

@@ -18,10 +18,17 @@ from pyspark.sql import functions as F
 
 from rentlens.functions.scalar import whole_days
 from rentlens.operators import fact
-from rentlens.session import shared_dir
+from rentlens.session import shared_dir, ship_package
 from rentlens.sources import Relations, from_star
 
 
+CUSTOMER_BUCKETS = 256
+
+
+def customer_bucket(customer: Column) -> Column:
+    return F.pmod(F.xxhash64(customer), F.lit(CUSTOMER_BUCKETS)).cast("int")
+
+
 @dataclass(frozen=True)
 class Size:
     """Customers and fact rows."""
@@ -46,13 +53,12 @@ class Extent:
 
 class Workspace:
     def __init__(
-        self, spark: SparkSession, relations: Relations, heavy_rows: int = 1_000_000, noise: str = "hash"
+        self, spark: SparkSession, relations: Relations, noise: str = "hash"
     ) -> None:
         self.spark = spark
         #: Noise of the risk score ("hash" or "none"), the same for all that follows from it.
         self.noise = noise
         self.relations = relations
-        self.heavy_rows = heavy_rows
         self.created = time.monotonic()
         self._folder = f"{shared_dir(spark)}/rentlens-{uuid.uuid4().hex}"
         self._kept: dict[str, DataFrame] = {}
@@ -69,13 +75,14 @@ class Workspace:
         self.relations.register_views()
         return self.spark.sql(sql, args=params)
 
-    def keep(self, name: str, build) -> DataFrame:
-        """The table ``name``, built and written on first use."""
+    def keep(self, name: str, build, folders: str | None = None) -> DataFrame:
+        """The table ``name``, built and written on first use, in a folder for each value of a column if one is named."""
         if name not in self._kept:
             path = f"{self._folder}/{name}"
             df = build()
             # Own folder: what a failed attempt left behind may go.
-            df.write.mode("overwrite").parquet(path)
+            writer = df.write.mode("overwrite")
+            (writer.partitionBy(folders) if folders else writer).parquet(path)
             self._kept[name] = self.spark.read.schema(df.schema).parquet(path)
         return self._kept[name]
 
@@ -85,28 +92,58 @@ class Workspace:
 
     @property
     def customer_genre(self) -> DataFrame:
-        """Per customer and category: the additive measures of the fact."""
+        """Per customer with a complete address and category: the additive measures of the fact, and the country."""
+        places = lambda: self.places.select("customer_id", "country")
+        return self.keep("customer_genre", lambda: self.all_customer_genre.join(places(), "customer_id"))
+
+    @property
+    def all_customer_genre(self) -> DataFrame:
+        """The same of all customers, with or without an address."""
         from rentlens.plans.profiles import customer_genre_measures
 
-        return self.keep("customer_genre", lambda: customer_genre_measures(self))
+        return self.keep("all_customer_genre", lambda: customer_genre_measures(self))
 
-    @cached_property
-    def heavy_customers(self) -> DataFrame | None:
-        """Customers above the row limit, or None.
+    @property
+    def customer_month(self) -> DataFrame:
+        """Per customer and month: the additive measures of the rentals, and those of the fact."""
+        from rentlens.plans.profiles import customer_month_measures
 
-        At most total rows / heavy_rows ids, whatever the data. Counted on the
-        reduced table if it is there, else on one column of the rentals.
+        return self.keep("customer_month", lambda: customer_month_measures(self))
+
+    @property
+    def facts_by_customer(self) -> DataFrame:
+        """Rentals with their payments, laid out so that one customer's are read alone.
+
+        A folder holds the customers of one bucket in order, so files and row groups
+        have narrow ranges of customers. Range partitions split a customer with very
+        many rows, as the order goes on by date and rental.
         """
-        if "customer_genre" in self._kept:
-            rows, weight = self.customer_genre, F.sum("rentals")
-        else:
-            rows, weight = self.relations.rental, F.count(F.lit(1))
-        found = (
-            rows.groupBy("customer_id").agg(weight.alias("n"))
-            .where(F.col("n") > self.heavy_rows)
-            .select("customer_id")
-        )
-        return None if found.isEmpty() else self.keep("heavy_customers", lambda: found)
+
+        def build() -> DataFrame:
+            rel = self.relations
+            rows = rel.rental.join(rel.payment.hint("merge"), "rental_id", "left")
+            order = ["bucket", "customer_id", "rental_date", "rental_id"]
+            rows = rows.withColumn("bucket", customer_bucket(F.col("customer_id")))
+            return rows.repartitionByRange(*order).sortWithinPartitions(*order)
+
+        return self.keep("facts_by_customer", build, folders="bucket")
+
+    @property
+    def ordered_steps(self) -> DataFrame:
+        """Gaps and category steps between consecutive rows of customers with a complete address."""
+        from rentlens.operators.sequences import neighbour_scan
+
+        def build() -> DataFrame:
+            ship_package(self.spark)
+            rows = self.weighted_rentals.join(fact.copy_terms(self.relations), "inventory_id")
+            return neighbour_scan(rows.join(self.places.select("customer_id"), "customer_id", "left_semi"))
+
+        return self.keep("ordered_steps", build)
+
+    @property
+    def weighted_rentals(self) -> DataFrame:
+        """Rentals with their payments folded in: the one place where the two meet."""
+        return self.keep("weighted_rentals", lambda: fact.weighted_rentals(self.relations))
 
     @property
     def profile_base(self) -> DataFrame:

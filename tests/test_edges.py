@@ -13,9 +13,9 @@ from rentlens.functions import labels
 from rentlens.plans import actions, churn, genres, overview, profiles, recommend, regions, segments
 
 
-@pytest.fixture(scope="module", params=[1_000_000, 2], ids=["ordinary", "all-heavy"])
-def ws(spark, request):
-    return Workspace(spark, relations(spark), heavy_rows=request.param)
+@pytest.fixture(scope="module")
+def ws(spark):
+    return Workspace(spark, relations(spark))
 
 
 def test_fact_rows(ws):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rentlens.functions.scalar import clip, rint_to, whole_days
 from rentlens.operators.quantiles import exact_quantiles
 from rentlens.operators.ranking import sliced_row_number, taken_before
-from rentlens.operators.sequences import category_steps, rental_gaps
+from rentlens.operators.sequences import FIRST, ORDER, category_steps, neighbour_scan, rental_gaps
 
 
 @pytest.mark.parametrize("width", [2, 3, 32])
@@ -75,36 +75,48 @@ def _frame(spark, history):
     ).withColumn("rental_date", at)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_gaps(spark, history, split):
-    heavy = spark.createDataFrame([(1,)], "customer_id long") if split else None
-    got = {
-        r["customer_id"]: r["gap_days"] or 0
-        for r in rental_gaps(_frame(spark, history), heavy).collect()
-    }
-    want = {}
-    for customer in {r[0] for r in history}:
-        seconds = sorted(r[2] for r in history if r[0] == customer)
-        want[customer] = sum((b - a) // 86400 for a, b in zip(seconds, seconds[1:]))
-    assert got == want
-
-
-@pytest.mark.parametrize("unit", [None, "hour", "day"])
-def test_steps(spark, history, unit):
-    heavy = spark.createDataFrame([(1,)], "customer_id long") if unit else None
-    got = {
-        (r["category"], r["next_category"]): r["count"]
-        for r in category_steps(
-            _frame(spark, history), heavy, slice_unit=unit or "hour"
-        ).collect()
-    }
-    want = {}
+@pytest.mark.parametrize("partitions", [1, 3, 200])
+def test_gaps_and_steps(spark, history, partitions):
+    """From one partition to more than there are customers: their edges meet within customer 1."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        scan = neighbour_scan(_frame(spark, history)).persist()
+        places = scan.where(F.col("kind") == FIRST).count()
+        gaps = {r["customer_id"]: r["gap_days"] for r in rental_gaps(scan).collect()}
+        steps = {(r["category"], r["next_category"]): r["count"] for r in category_steps(scan).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert places == 1 if partitions == 1 else places > partitions / 2
+    want_gaps, want_steps = {}, {}
     for customer in {r[0] for r in history}:
         rows = sorted((r[2], r[1], r[3], r[4]) for r in history if r[0] == customer)
+        want_gaps[customer] = sum((b[0] - a[0]) // 86400 for a, b in zip(rows, rows[1:]))
         expanded = [r[2] for r in rows for _ in range(r[3])]
         for pair in zip(expanded, expanded[1:]):
-            want[pair] = want.get(pair, 0) + 1
-    assert got == want
+            want_steps[pair] = want_steps.get(pair, 0) + 1
+    assert gaps == {k: v for k, v in want_gaps.items() if v} and steps == want_steps
+
+
+def test_one_customer_at_one_time_is_spread(spark):
+    """Most rows belong to one customer and one timestamp: no partition holds much more than its share."""
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("customer_id"), F.col("id").alias("rental_id"),
+        F.lit("2020-01-01 10:00:00").cast("timestamp_ntz").alias("rental_date"), F.lit("A").alias("category"), F.lit(1).cast("long").alias("n_rows"),
+    )
+    ordered = rows.repartitionByRange(8, *ORDER)
+    sizes = [r["n"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) < 2 * 20_000 / 8
+    assert [tuple(r) for r in category_steps(neighbour_scan(rows)).collect()] == [("A", "A", 17_999)]
+
+
+def test_scan_of_nothing_and_of_single_rows(spark, history):
+    frame = _frame(spark, history)
+    assert rental_gaps(neighbour_scan(frame.limit(0))).count() == 0
+    single = frame.dropDuplicates(["customer_id"]).withColumn("n_rows", F.lit(1).cast("long"))
+    assert rental_gaps(neighbour_scan(single)).count() == 0 and category_steps(neighbour_scan(single)).count() == 0
 
 
 def test_scalar_rules(spark):
