@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.llm.components import components
-from rentlens.llm.common import stored
+from rentlens.llm.common import removed, stored
 
 #: Of buckets up to this size, all pairs across components are compared at once.
 SMALL_BUCKET = 8
@@ -64,7 +64,8 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
     verified takes pairs (a, b) and returns those that hold. First each member meets
     the smallest of its bucket. Then, in rounds, buckets that still span components are
     compared across them with a share of their members that grows by GROWTH, up to all:
-    in the end each pair of a bucket is in one component or has been compared.
+    in the end each pair of a bucket is in one component or has been compared. Tables of a
+    round are removed when the next has been written.
 
     finer takes (id) and returns further members (bucket, id) such that ids with a link
     always share one of these buckets. Where given, larger buckets that still span
@@ -72,9 +73,11 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
     is not compared pair by pair. They may have further columns, by which bound, a
     condition on them and their twins ending in 2, tells what can be a link at all.
     """
+    spark = members.sparkSession
     tried = stored(star_pairs(members), f"{folder}/pairs0")
     links = stored(verified(tried), f"{folder}/links0")
     labels = stored(components(links, f"{folder}/labels0"), f"{folder}/components0")
+    removed(spark, f"{folder}/links0", f"{folder}/labels0")
     if finer:
         left = stored(mixed(members, labels), f"{folder}/spanning")
         large = finer(left.where(F.col("n") > SMALL_BUCKET).select("id").distinct())
@@ -83,6 +86,7 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
     share, turn = 1, 0
     while True:
         left = stored(mixed(members, labels), f"{folder}/members{turn}")
+        removed(spark, *([f"{folder}/members{turn - 1}"] if turn else [f"{folder}/spanning", f"{folder}/finer"]))
         most = left.agg(F.max("n")).first()[0]
         if most is None:
             return labels
@@ -90,6 +94,7 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
         links = stored(verified(pairs), f"{folder}/links{turn + 1}")
         if not links.isEmpty():
             labels = stored(merged(labels, links, f"{folder}/labels{turn + 1}"), f"{folder}/components{turn + 1}")
+        removed(spark, f"{folder}/links{turn + 1}", f"{folder}/labels{turn + 1}")
         if max(share, SMALL_BUCKET) >= most:
             return labels
         members, tried = left.drop("label", "n"), tried.unionByName(pairs)

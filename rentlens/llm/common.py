@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rentlens.session import ship_package
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared folder the cluster names; a local session without one gets a temporary folder."""
@@ -28,6 +28,13 @@ def stored(frame: DataFrame, path: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that a later table has taken the place of."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,18 +56,4 @@ def joined_by(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(heavy.drop("n")), key).unionByName(rest)
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> SparkSession:
-    """Gives the executors this package, once per application, for jobs that were not started with --py-files."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        top = Path(__file__).resolve().parents[2]
-        with tempfile.TemporaryDirectory() as folder:
-            package = Path(folder, "rentlens")
-            shutil.copytree(top / "rentlens", package, ignore=shutil.ignore_patterns("__pycache__"))
-            kept = tempfile.mkdtemp(prefix="rentlens-package-")
-            context.addPyFile(shutil.make_archive(f"{kept}/rentlens", "zip", folder, "rentlens"))
-        _shipped.add(context.applicationId)
-    return spark
+ship = ship_package

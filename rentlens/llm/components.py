@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.common import stored
+from rentlens.llm.common import removed, stored
 
 
 def are_stars(edges: DataFrame) -> bool:
@@ -23,7 +23,7 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     node's neighbours are only compared with their minimum, never collected.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{folder}/links")
-    turn = 0
+    turn, last = 0, f"{folder}/links"
     while not are_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
@@ -33,5 +33,6 @@ def components(links: DataFrame, folder: str) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v")
         small = small.unionByName(low.select("u", F.col("low").alias("v"))).distinct()
         edges = stored(small, f"{folder}/small{turn}")
-        turn += 1
+        removed(links.sparkSession, last, f"{folder}/large{turn}")
+        turn, last = turn + 1, f"{folder}/small{turn}"
     return edges.select(F.col("u").alias("id"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("label")).distinct())

@@ -33,15 +33,21 @@ SMOOTHING = 0.1
 BLOCK_LANGUAGES = 256
 #: The evidence of a text counts as of so many characters at most, so that scores of long texts stay apart.
 EVIDENCE = 40
-#: Word characters that are neither letters nor decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-NOT_LETTERS = re.compile(rf"[\W\d_{NUMERALS}]+")
+NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor decimal digits. Sets within 16 bits are looked up in one step, others not.
+_NUMERALS = [c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+NUMERALS = re.compile("[" + "".join(c for c in _NUMERALS if c <= "\uffff") + "]")
+HIGH, HIGH_NUMERALS = re.compile("[\U00010000-\U0010ffff]"), re.compile("[" + "".join(c for c in _NUMERALS if c > "\uffff") + "]")
 PIECE_CHARS = 1 << 20
 
 
 def normal(text: str | None) -> str:
     """The letters of a text, words apart by single blanks and in blanks; empty without letters."""
-    letters = NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    low = (text or "").lower()
+    if not low.isascii():
+        low = NUMERALS.sub(" ", low)
+        low = HIGH_NUMERALS.sub(" ", low) if HIGH.search(low) else low
+    letters = NOT_LETTERS.sub(" ", low).strip()
     return f" {letters} " if letters else ""
 
 

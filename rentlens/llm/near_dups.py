@@ -5,6 +5,8 @@ a text of fewer words is one shingle), weighted by count times idf. Document
 frequencies are exact for each 64-bit shingle hash: blocks of documents deal their
 distinct hashes and counts out by hash, and what is summed there goes back to the
 blocks; each idf is ln(1 + documents / frequency). No table grows with the corpus.
+Blocks are written once, bucketed by their number: counts that come back, and decisions
+on their documents, meet them there, so texts are never shuffled, but for those of pairs.
 
 Consistent weighted sampling draws SAMPLES features per text such that two texts
 draw the same with the probability of their weighted Jaccard similarity. BANDS of
@@ -18,22 +20,26 @@ propagation. Texts, links and labels stay in Spark.
 
 Null texts are empty; texts without words are never near to another, but equal
 ones are one class, as all equal texts are. Rows of equal id and text are one
-document each. An empty table gives an empty result. Other columns are not looked at.
+document each; rows of equal id and unlike texts are judged by their texts. Texts
+of any length are compared whole. An empty table gives an empty result. Other columns
+are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rentlens.llm.bytewords import mix, slices, texts, window_hashes, windows_inside, word_hashes, words
 from rentlens.llm.buckets import linked, shared
-from rentlens.llm.common import scratch, stored
+from rentlens.llm.common import joined_by, removed, scratch, stored
 from rentlens.llm.repeats import packed, unpacked
 
 SHINGLE = 5
@@ -45,7 +51,9 @@ SLACK = 1e-5
 #: Common weight c of texts of weights a and b gives c / (a + b - c), so SIMILARITY asks for this much of a + b.
 REACHABLE = f"reach is null or reach2 is null or least(reach, reach2) >= {SIMILARITY / (1 + SIMILARITY) - SLACK} * (whole + whole2)"
 #: Frequencies are counted for blocks of documents of this size at once, or for one longer text.
-BLOCK_BYTES = 1 << 22
+BLOCK_BYTES = 1 << 21
+#: Text of a bucket of blocks, and text whose hashes one group counts.
+BUCKET_BYTES, PART_BYTES = 24 << 20, 8 << 20
 #: Draws come from tables of quantiles, looked up by bits of a hash.
 QUANTILES = 1 << 15
 #: Texts are worked on together up to this size, so that arrays stay in the cache.
@@ -85,14 +93,15 @@ def distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def blocker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(docs, texts): a row per block of documents."""
+    """(docs, texts, rows): a row per block of documents."""
     for batch in batches:
         column = batch.column("text").cast(pa.string()).fill_null("")
         _, offsets = texts(column)
+        parts = (batch.column("doc_id"), column, batch.column("row"), batch.column("text").is_null())
         for first, end, _, _ in slices(offsets, offsets, BLOCK_BYTES):
             bounds = pa.array([0, end - first], pa.int32())
-            lists = [pa.ListArray.from_arrays(bounds, x.slice(first, end - first)) for x in (batch.column("doc_id"), column)]
-            yield pa.RecordBatch.from_arrays(lists, ["docs", "texts"])
+            lists = [pa.ListArray.from_arrays(bounds, x.slice(first, end - first)) for x in parts]
+            yield pa.RecordBatch.from_arrays(lists, ["docs", "texts", "rows", "nulls"])
 
 
 def dealt(column: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
@@ -194,16 +203,18 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def signer(parts: int, n: int):
-    """(doc_id, class, keys, found) of a block's documents: class digest, bucket keys, and document frequencies of the sorted features."""
+    """(source, row, doc_id, class, keys, found) of a block's documents: class digest, bucket keys, and document frequencies of the sorted features."""
 
     def sign(block: pa.Table, returned: pa.Table) -> pa.Table:
-        docs, classes, keys, counted = [], [], [], []
-        for row in range(len(block)):
-            docs += block.column("docs")[row].as_py()
-            hashes, _, bounds, pieces = dealt(block.column("texts")[row].values, parts)
+        docs, sources, rows, classes, keys, counted = [], [], [], [], [], []
+        for source, own_docs, column in zip(block.column("source").to_pylist(), block.column("docs"), block.column("texts"), strict=True):
+            docs += own_docs.as_py()
+            sources += [source] * len(own_docs)
+            rows += range(len(own_docs))
+            hashes, _, bounds, pieces = dealt(column.values, parts)
             all_found = np.ones(len(hashes), np.int64)
-            for k, x in zip(returned.column("part").to_pylist(), returned.column("found").to_pylist(), strict=True):
-                all_found[bounds[k] : bounds[k + 1]] = widened(unpacked(x), int(bounds[k + 1] - bounds[k]))
+            for k, x in zip(returned.column("part").to_pylist(), returned.column("found"), strict=True):
+                all_found[bounds[k] : bounds[k + 1]] = widened(unpacked(x.as_py()), int(bounds[k + 1] - bounds[k]))
             order = np.argsort(hashes)
             hashes, all_found = hashes[order], all_found[order]
             for part, at, own, counts, first in pieces:
@@ -213,12 +224,28 @@ def signer(parts: int, n: int):
                 keys += [None if e else k for e, k in zip(empty.tolist(), signed.tolist(), strict=True)]
                 classes += [hashlib.sha256(part[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
                 counted += [packed(narrow(found[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in zip((docs, classes, keys, counted), kinds, strict=True)], ["doc_id", "class", "keys", "found"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+        columns = zip((sources, rows, docs, classes, keys, counted), kinds, strict=True)
+        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in columns], ["source", "row", "doc_id", "class", "keys", "found"])
 
     return sign
 
 
+def take_texts(block: pa.Table, wanted: pa.Table) -> pa.Table:
+    """(id, text, found) of the wanted documents of a block."""
+    at = wanted.column("row")
+    text = block.column("texts")[0].values if len(block) else pa.array([], pa.string())
+    return pa.Table.from_arrays([wanted.column("id"), text.take(at.combine_chunks()), wanted.column("found")], ["id", "text", "found"])
+
+
+def take_rows(block: pa.Table, wanted: pa.Table) -> pa.Table:
+    """(text, row) of the wanted documents of a block, null texts null again."""
+    at = wanted.column("row").combine_chunks()
+    one = lambda c: block.column(c)[0].values.take(at)
+    text = pc.if_else(one("nulls"), pa.scalar(None, pa.string()), one("texts"))
+    return pa.Table.from_arrays([text, one("rows")], ["text", "row"])
+
+
 def weighted(column: pa.Array, found: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Distinct features, counts and idf of each text."""
     data, offsets = texts(column)
@@ -273,27 +300,48 @@ def prefixes(n_docs: int):
     return prefix
 
 
-def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, class) of every row, and (class, id, group) of every class: id is its smallest doc_id, group that of its component."""
-    spark = docs.sparkSession
-    folder = scratch(spark, "near")
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select("doc_id", "text")
-    blocks = docs.mapInArrow(blocker, "docs array<long>, texts array<string>").withColumn("source", F.monotonically_increasing_id())
-    blocks = stored(blocks, f"{folder}/blocks")
-    n = blocks.agg(F.sum(F.size("docs"))).first()[0] or 0
-    counted = blocks.mapInArrow(hash_dealer(parts), "part int, source long, hashes binary, counts binary")
+class Blocks:
+    """Documents in blocks, written bucketed by `source`, the block's number."""
+
+    def __init__(self, docs: DataFrame, folder: str) -> None:
+        self.spark, self.path, self.name = docs.sparkSession, f"{folder}/blocks", f"near_blocks_{uuid.uuid4().hex}"
+        row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"])
+        docs = docs.select("doc_id", "text", row.alias("row"))
+        size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+        self.n, self.parts = size["n"], 1 + size["bytes"] // PART_BYTES
+        schema = f"docs array<long>, texts array<string>, rows array<{docs.schema['row'].dataType.simpleString()}>, nulls array<boolean>"
+        frame = docs.mapInArrow(blocker, schema).withColumn("source", F.monotonically_increasing_id())
+        writer = frame.write.format("parquet").bucketBy(1 + size["bytes"] // BUCKET_BYTES, "source")
+        writer.option("path", self.path).saveAsTable(self.name)
+
+    def frame(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def met(self, other: DataFrame, function, schema: str, columns: list[str]) -> DataFrame:
+        """What function makes of each block and the rows of other that have its source; blocks stay where they are."""
+        return self.frame().select("source", *columns).groupBy("source").cogroup(other.groupBy("source")).applyInArrow(function, schema)
+
+    def remove(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        removed(self.spark, self.path)
+
+
+def grouped(docs: DataFrame, blocks: Blocks, folder: str) -> DataFrame:
+    """(source, row, doc_id, class_id, group_id) of every document: smallest doc_id of its class, and of its component."""
+    n, parts = blocks.n, blocks.parts
+    counted = blocks.frame().select("source", "texts").mapInArrow(hash_dealer(parts), "part int, source long, hashes binary, counts binary")
     counted = counted.groupBy("part").applyInArrow(frequencies, "source long, part int, found binary")
-    signed = blocks.groupBy("source").cogroup(counted.groupBy("source")).applyInArrow(signer(parts, n), "doc_id long, class binary, keys array<long>, found binary")
+    signed = blocks.met(counted, signer(parts, n), "source long, row int, doc_id long, class binary, keys array<long>, found binary", ["docs", "texts"])
     signed = stored(signed, f"{folder}/signed")
-    classes = signed.groupBy("class").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("found").alias("found"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "row", "keys", "found")).alias("first")
+    classes = signed.groupBy("class").agg(first, F.count("*").alias("n"))
+    classes = classes.select("class", "n", "first.*").withColumn("id", F.monotonically_increasing_id())
     classes = stored(classes, f"{folder}/classes")
-    members = classes.where(F.col("id").isNotNull()).select("id", F.explode("keys").alias("bucket"))
-    members = stored(shared(members), f"{folder}/members")
-    wanted = classes.join(members.select("id").distinct(), "id").groupBy("id").agg(F.min(F.struct("class", "found")).alias("x")).select("id", "x.*")
-    digest = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    firsts = docs.select(F.col("doc_id").alias("id"), "text", digest.alias("class")).join(wanted, ["id", "class"]).select("id", "text", "found")
-    firsts = stored(firsts.dropDuplicates(["id"]), f"{folder}/texts")
+    places = stored(signed.select("source", "row", "doc_id", "class"), f"{folder}/places")
+    removed(docs.sparkSession, f"{folder}/signed")
+    members = stored(shared(classes.select("id", F.explode("keys").alias("bucket"))), f"{folder}/members")
+    wanted = classes.join(members.select("id").distinct(), "id").select("source", "row", "id", "found")
+    firsts = stored(blocks.met(wanted, take_texts, "id long, text string, found binary", ["texts"]), f"{folder}/texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda x: firsts.select(F.col("id").alias(x), F.col("text").alias(f"text_{x}"), F.col("found").alias(f"found_{x}"))
@@ -304,21 +352,36 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return firsts.join(ids, "id").mapInArrow(prefixes(n), "bucket long, id long, whole double, reach double")
 
     labels = linked(members, verified, folder, finer, REACHABLE)
-    groups = classes.select("class", "id").join(labels, "id", "left").withColumn("group", F.coalesce("label", "id")).drop("label")
-    return signed.select("doc_id", "class"), stored(groups, f"{folder}/groups")
+    labelled = classes.select("class", "n", "id", F.col("doc_id").alias("class_id")).join(labels, "id", "left")
+    labelled = stored(labelled.withColumn("label", F.coalesce("label", "id")).drop("id"), f"{folder}/labelled")
+    groups = labelled.groupBy("label").agg(F.min("class_id").alias("group_id"))
+    found = stored(labelled.join(groups, "label").drop("label"), f"{folder}/groups")
+    removed(docs.sparkSession, *(f"{folder}/{x}" for x in ("texts", "members", "classes", "labelled")))
+    return joined_by(places, found, "class").drop("class")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
     """A row per document: its class (smallest doc_id of equal texts), group (smallest doc_id of its component), and whether it is the one kept."""
-    rows, groups = grouped(docs)
-    found = rows.join(groups, "class").select("doc_id", F.col("id").alias("class_id"), F.col("group").alias("group_id"))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id")))
+    folder = scratch(docs.sparkSession, "near")
+    blocks = Blocks(docs.select("doc_id", "text"), folder)
+    found = grouped(docs, blocks, folder).select("doc_id", "class_id", "group_id")
+    found = stored(found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("group_id"))), f"{folder}/found")
+    blocks.remove()
+    return found
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The documents kept, one of each group, with all their columns; of repeated rows one stays, of those without id all."""
-    kept = duplicates(docs).where("kept").select("doc_id").distinct()
-    names = docs.columns
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"))
-    kept = kept.select(F.col("doc_id").alias("_id"))
-    return packed.join(kept, packed["_id"].eqNullSafe(kept["_id"]), "left_semi").select(*[F.col("_row").getField(c).alias(c) for c in names])
+    folder = scratch(docs.sparkSession, "near")
+    blocks = Blocks(docs, folder)
+    found = grouped(docs, blocks, folder).where(F.col("doc_id").eqNullSafe(F.col("group_id")))
+    # Of rows with the id that stays, the first; without id there is nothing to tell rows by.
+    same = F.when(F.col("doc_id").isNull(), F.struct("source", "row"))
+    first = F.min(F.struct("source", "row")).alias("first")
+    kept = found.groupBy("group_id", same.alias("same")).agg(first).select("first.*")
+    row = blocks.frame().schema["rows"].dataType.elementType.simpleString()
+    rows = blocks.met(kept, take_rows, f"text string, row {row}", ["texts", "rows", "nulls"])
+    place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    rows = stored(rows.select(*[F.col("text") if c == "text" else F.col("row").getField(place[c]).alias(c) for c in docs.columns]), f"{folder}/kept")
+    blocks.remove()
+    return rows

@@ -71,6 +71,29 @@ def test_near_duplicates(docs, nothing):
     assert {r.doc_id for r in kept.collect()} >= {1, 4, 6, 7, 8, 9, 10, 12, 13} and not {2, 3, 11} & {r.doc_id for r in kept.collect()}
 
 
+def test_texts_are_shuffled_for_pairs_only(spark, tmp_path):
+    """Blocks meet the counts in their buckets: the one exchange of a meeting is that of the counts."""
+    docs = spark.createDataFrame([(k, f"a text {k}", "x", k) for k in range(50)], "doc_id long, text string, texts string, source long")
+    blocks = near_dups.Blocks(docs, str(tmp_path / "near"))
+    wanted = spark.createDataFrame([(r.source, k, k, b"") for r in blocks.frame().select("source").collect() for k in range(2)], "source long, row int, id long, found binary")
+    met = blocks.met(wanted, near_dups.take_texts, "id long, text string, found binary", ["texts"])
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and met.count() == wanted.count()
+    blocks.remove()
+    assert not (tmp_path / "near" / "blocks").exists()
+
+
+def test_equal_ids_with_unlike_texts(spark):
+    """Each text is judged for itself: the unlike text of an id does not go with its near copy."""
+    other = " ".join(f"o{k}" for k in range(80))
+    rows = [(1, BASE), (2, BASE + " end"), (2, other), (3, other), (None, BASE), (None, "x"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.class_id, r.group_id, r.kept) for r in near_dups.duplicates(docs).collect()}
+    assert found == {(1, 1, 1, True), (2, 2, 1, False), (2, 2, 2, True), (3, 2, 2, False), (None, 1, 1, False), (None, None, None, True), (4, 4, 4, True)}
+    kept = {tuple(r) for r in near_dups.deduplicated(docs).collect()}
+    assert kept == {(1, BASE), (2, other), (None, "x"), (4, None)}
+
+
 def test_variants_of_one_text_match_brute_force(spark):
     rng = np.random.default_rng(5)
     base = [f"w{k}" for k in rng.integers(0, 5000, 150)]
@@ -248,7 +271,7 @@ def test_language_is_bayes_with_dictionaries(spark, at_once):
 
 
 def test_pieces_of_a_text_have_its_grams(monkeypatch):
-    text = "Σίσυφος, 12 Ärger½straße\t日本 " * 40
+    text = "Σίσυφος, 12 Ärger½straße\t日本𐄇x𝟙 " * 40
     whole = [language.slots(language.normal(text), 1 << 30)]
     for size in (1, 2, 7, 64):
         monkeypatch.setattr(language, "PIECE_CHARS", size)
