@@ -267,6 +267,11 @@ STATEMENTS: dict[str, str] = {
         condition="regexp_matches(full_name, 'building customer#0000000.1', 'i')")),
     "customer_search_segment": statement(FOUND.format(
         condition="regexp_matches(full_name, '(?i)^building ')")),
+    "customer_search_either": statement(FOUND.format(
+        condition="regexp_matches(full_name, 'machinery customer#00000001.$|household.*#0000002', 'i')")),
+    "customer_search_no_gram": statement(FOUND.format(condition="regexp_matches(full_name, '[be]u?.*1.$', 'i')")),
+    "customer_page_first": statement(TABLE.format(order=TABLE_ORDERS["name_asc"]) + " LIMIT 40"),
+    "customer_page_risk": statement(TABLE.format(order=TABLE_ORDERS["risk_desc"]) + " LIMIT 50 OFFSET 100"),
     "customer_by_id": statement(FOUND.format(condition="customer_id = 42")),
     "return_split": statement("""
         SELECT customer_id, total_rentals - late_return_count AS on_time, late_return_count AS late

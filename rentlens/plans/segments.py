@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rentlens.functions import labels
 from rentlens.functions.scalar import fixed_avg, named_rows
+from rentlens.operators.grams import candidates
 from rentlens.plans.profiles import profiles
 
 # The offered orders of the customer table.
@@ -125,14 +126,51 @@ def _matches(name: str, customer_id: str) -> Column:
 def customer_search(
     ws, name: str = "", customer_id: str = "", limit: int | None = None
 ) -> DataFrame:
-    """The matches by name pattern and id, in id order; all unless fewer are asked for."""
-    found = profiles(ws).where(_matches(name, customer_id)).orderBy("customer_id")
+    """The matches by name pattern and id, in id order; all unless fewer are asked for.
+
+    Where the pattern requires a string of three characters or more, only customers
+    from the posting lists of its rarest grams meet the pattern.
+    """
+    rows = profiles(ws)
+    found = candidates(ws.name_grams, ws.name_gram_sizes, name.strip()) if name.strip() else None
+    if found is not None:
+        rows = rows.join(found.withColumnRenamed("id", "customer_id"), "customer_id", "left_semi")
+    found = rows.where(_matches(name, customer_id)).orderBy("customer_id")
     return (
         at_most(found, limit)
         .select("customer_id", "full_name", "city", "country", "rfm_segment", "is_high_risk")
     )
 
 
+def customer_page(ws, page: int, size: int = 50, order: str = "name_asc") -> DataFrame:
+    """Page 0, 1, ... of the customer table in an order, at the cost of the page.
+
+    The table is kept sorted in range partitions, a folder each, with a directory of
+    their sizes (a number for each partition); a page is read from the one or two
+    folders it lies in.
+    """
+    column, ascending = TABLE_ORDERS[order]
+    key = [F.col(column).asc() if ascending else F.col(column).desc(), F.col("customer_id").asc()]
+
+    def build() -> DataFrame:
+        table = customer_table(ws, order)
+        return table.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("place", F.spark_partition_id())
+
+    table = ws.keep(f"sorted_{order}", build, folders="place")
+    sizes = ws.memo.get(("page_sizes", order))
+    if sizes is None:
+        sizes = sorted(tuple(r) for r in table.groupBy("place").agg(F.count(F.lit(1))).collect())
+        ws.memo["page_sizes", order] = sizes
+    first, start, places, skip = page * size, 0, [], 0
+    for place, n in sizes:
+        if start < first + size and first < start + n:
+            skip = skip if places else first - start
+            places.append(place)
+        start += n
+    found = table.where(F.col("place").isin(places) if places else F.lit(False)).drop("place")
+    return found.orderBy(*key).offset(max(skip, 0)).limit(size)
+
+
 def return_split(ws) -> DataFrame:
     """Late rows against the rest; not yet returned counts as on time."""
     return ws.profile_base.select(

@@ -45,6 +45,12 @@ PLANS: dict[str, Plan] = {
     },
     "customer_search": partial(segments.customer_search, name="building customer#0000000.1"),
     "customer_search_segment": partial(segments.customer_search, name="^building "),
+    "customer_search_either": partial(
+        segments.customer_search, name="machinery customer#00000001.$|household.*#0000002"
+    ),
+    "customer_search_no_gram": partial(segments.customer_search, name="[be]u?.*1.$"),
+    "customer_page_first": partial(segments.customer_page, page=0, size=40),
+    "customer_page_risk": partial(segments.customer_page, page=2, size=50, order="risk_desc"),
     "customer_by_id": partial(segments.customer_search, customer_id="42"),
     "return_split": segments.return_split,
     "risk_split": risk.risk_split,

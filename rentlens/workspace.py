@@ -8,6 +8,7 @@ Catalyst plans later joins from true sizes instead of estimates.
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from dataclasses import dataclass
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 
 from rentlens.functions.scalar import whole_days
 from rentlens.operators import fact
+from rentlens.operators.grams import postings
 from rentlens.session import shared_dir, ship_package
 from rentlens.sources import Relations, from_star
+from rentlens.store import Store, code_version
 
 
 CUSTOMER_BUCKETS = 256
@@ -53,9 +56,11 @@ class Extent:
 
 class Workspace:
     def __init__(
-        self, spark: SparkSession, relations: Relations, noise: str = "hash"
+        self, spark: SparkSession, relations: Relations, noise: str = "hash", store: Store | None = None
     ) -> None:
+        """With a store, derived tables are shared with other sessions over the same files."""
         self.spark = spark
+        self.store = store
         #: Noise of the risk score ("hash" or "none"), the same for all that follows from it.
         self.noise = noise
         self.relations = relations
@@ -69,21 +74,35 @@ class Workspace:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self._kept.clear()
+        if self.store:
+            self.store.release()
 
     def query(self, sql: str, params: dict | list | None = None) -> DataFrame:
         """SQL over the ten relations by name, with bound parameters."""
         self.relations.register_views()
         return self.spark.sql(sql, args=params)
 
+    @cached_property
+    def snapshot(self) -> str | None:
+        """What derived tables depend on: the sources' files, the code, and the settings."""
+        files = self.store.snapshot(dict(vars(self.relations))) if self.store else None
+        zone = self.spark.conf.get("spark.sql.session.timeZone")
+        return files and hashlib.sha256(f"{files} {code_version()} {self.noise} {zone}".encode()).hexdigest()
+
     def keep(self, name: str, build, folders: str | None = None) -> DataFrame:
         """The table ``name``, built and written on first use, in a folder for each value of a column if one is named."""
         if name not in self._kept:
-            path = f"{self._folder}/{name}"
-            df = build()
-            # Own folder: what a failed attempt left behind may go.
-            writer = df.write.mode("overwrite")
-            (writer.partitionBy(folders) if folders else writer).parquet(path)
-            self._kept[name] = self.spark.read.schema(df.schema).parquet(path)
+            key = self.snapshot and f"{name}-{self.snapshot}"
+            found = self.store.find(key) if key else None
+            if found is None and key:
+                found = self.store.put(key, build(), folders)
+            elif found is None:
+                path, df = f"{self._folder}/{name}", build()
+                # Own folder: what a failed attempt left behind may go.
+                writer = df.write.mode("overwrite")
+                (writer.partitionBy(folders) if folders else writer).parquet(path)
+                found = self.spark.read.schema(df.schema).parquet(path)
+            self._kept[name] = found
         return self._kept[name]
 
     @cached_property
@@ -110,6 +129,16 @@ class Workspace:
 
         return self.keep("customer_month", lambda: customer_month_measures(self))
 
+    @property
+    def name_grams(self) -> DataFrame:
+        """Posting lists of the grams of customers' names, a folder for each bucket of grams."""
+        return self.keep("name_grams", lambda: postings(self.places, "customer_id", "full_name"), folders="folder")
+
+    @property
+    def name_gram_sizes(self) -> DataFrame:
+        build = lambda: self.name_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).orderBy("gram")
+        return self.keep("name_gram_sizes", build)
+
     @property
     def facts_by_customer(self) -> DataFrame:
         """Rentals with their payments, laid out so that one customer's are read alone.
@@ -179,10 +208,19 @@ def workspace_for(spark: SparkSession, root: str, ttl_seconds: float = 300.0) ->
     """The workspace over the star tables in ``root``, reused for a while.
 
     Derived tables are shared between calls for ``ttl_seconds``; after that a
-    new workspace reads the sources again.
+    new workspace reads the sources again. The folder of the old one goes when another
+    ``ttl_seconds`` have passed, so that results handed out before can still be read.
     """
-    key = (spark.sparkContext.applicationId, root)
+    key, now = (spark.sparkContext.applicationId, root), time.monotonic()
+    for waiting in [w for w in _retired if now - w.created > 2 * ttl_seconds]:
+        _retired.remove(waiting)
+        waiting.close()
     current = _open.get(key)
-    if current is None or time.monotonic() - current.created > ttl_seconds:
+    if current is None or now - current.created > ttl_seconds:
+        if current is not None:
+            _retired.append(current)
         current = _open[key] = Workspace(spark, from_star(spark, root))
     return current
+
+
+_retired: list[Workspace] = []

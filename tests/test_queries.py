@@ -33,5 +33,4 @@ def test_only_models_lack_sql():
     assert missing == {
         "risk_model_metrics", "risk_feature_importance", "confusion_matrix",
         "classification_report", "best_model", "risk_scores", "risk_contributions",
-        "top_drivers", "risk_actions",
     }
