@@ -2,8 +2,9 @@
 
 No customer is ever paired with the catalogue. Each category's films are
 numbered once in the order in which they would be offered; for a customer the
-numbers of the first films not rented yet follow from the numbers of the
-rented ones (see ``ranking.taken_before``), and only those are looked up.
+numbers of the first films not rented yet follow from the bit sets of the rented
+ones (see ``ranking.taken_before``). Customers want few different films, so those
+are looked up once each and joined back.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rentlens.functions import labels
 from rentlens.operators import fact
-from rentlens.operators.ranking import sliced_row_number, taken_before
+from rentlens.operators.ranking import sliced_row_number, spread_join, taken_before
 from rentlens.plans.genres import FILMS_SHOWN, top_next_genre
 from rentlens.plans.profiles import profiles
 
@@ -21,6 +22,8 @@ FILMS_PER_GENRE, FILMS_PER_CUSTOMER = 2, 12
 UNRANKED = 999
 SHORT_PERIOD, PREMIUM_RATE = 4, 2.99
 ID_SLICE = 65_536
+#: Customers who want the same film are dealt to a copy of it for each so many.
+ROWS_PER_KEY = 1 << 20
 
 
 def _number(films: DataFrame, leading: list[Column], name: str) -> DataFrame:
@@ -53,36 +56,40 @@ def category_sizes(ws) -> DataFrame:
 
 
 def _rented(ws) -> DataFrame:
-    """Distinct films per customer; repeats are combined map-side."""
+    """The positions of rented films in both orders, repeats included."""
     rel = ws.relations
+    films = film_positions(ws).select("film_id", "category", "cautious", "standard")
     return (
         rel.rental.select("customer_id", "inventory_id")
         .join(rel.inventory, "inventory_id")
-        .select("customer_id", "film_id").distinct()
+        .join(films, "film_id")
+        .select("customer_id", "category", "cautious", "standard")
     )
 
 
-def _offers(ws, wanted: DataFrame) -> DataFrame:
-    """Look up films by category and position in the order of the risk class."""
+def _by_order(rows: DataFrame, *names: str) -> DataFrame:
+    """Each row for both risk classes, with the position in the order offered to them."""
     orders = F.array(
         F.struct(F.lit(True).alias("is_high_risk"), F.col("cautious").alias("place")),
         F.struct(F.lit(False).alias("is_high_risk"), F.col("standard").alias("place")),
     )
-    films = film_positions(ws).select(
-        "category", "film_id", "title", "rating", "rental_duration", "rental_rate",
-        F.explode(orders).alias("order"),
-    ).select("*", "order.*").drop("order")
-    return wanted.join(films, ["category", "is_high_risk", "place"])
+    return rows.select(*names, F.explode(orders).alias("order")).select(*names, "order.*")
+
+
+def _offers(ws, wanted: DataFrame, name: str) -> DataFrame:
+    """Look up films by category and position in the order of the risk class."""
+    keys = ["category", "is_high_risk", "place"]
+    wanted = ws.keep(name, lambda: wanted)
+    details = ["category", "film_id", "title", "rating", "rental_duration", "rental_rate"]
+    films = _by_order(film_positions(ws), *details).join(wanted.select(*keys).distinct(), keys, "left_semi")
+    return spread_join(wanted, films, keys, "customer_id", ROWS_PER_KEY)
 
 
 def next_genre_films(ws) -> DataFrame:
     """Up to six films not rented yet in each customer's leading next genre."""
     target = top_next_genre(ws).select("customer_id", F.col("next_category").alias("category"))
     taken = taken_before(
-        _rented(ws)
-        .join(film_positions(ws).select("film_id", "category", "standard"), "film_id")
-        .join(target, ["customer_id", "category"]),
-        ["customer_id", "category"], "standard", FILMS_SHOWN,
+        _rented(ws), ["customer_id", "category"], "standard", FILMS_SHOWN,
     )
     nothing = F.array(*[F.lit(0).cast("long")] * FILMS_SHOWN)
     wanted = (
@@ -97,7 +104,7 @@ def next_genre_films(ws) -> DataFrame:
             F.lit(False).alias("is_high_risk"),
         )
     )
-    return _offers(ws, wanted).select(
+    return _offers(ws, wanted, "wanted_next").select(
         "customer_id", "category", "position", "film_id", "title", "rating",
         "rental_duration", "rental_rate",
     )
@@ -106,15 +113,9 @@ def next_genre_films(ws) -> DataFrame:
 def film_recommendations(ws, rank_mode: str = "observed") -> DataFrame:
     """Up to twelve films per customer, two per genre, best genres first."""
     customers = profiles(ws).select("customer_id", "is_high_risk")
-    place = F.when(F.col("is_high_risk"), F.col("cautious")).otherwise(F.col("standard"))
-    seen = (
-        _rented(ws)
-        .join(film_positions(ws).select("film_id", "category", "cautious", "standard"), "film_id")
-        .join(customers, "customer_id")
-        .select("customer_id", "is_high_risk", "category", place.alias("place"))
-    )
     keys = ["customer_id", "category", "is_high_risk"]
-    rented = taken_before(seen, keys, "place", FILMS_PER_GENRE)
+    seen = _by_order(_rented(ws), "customer_id", "category")
+    rented = taken_before(seen, keys, "place", FILMS_PER_GENRE).join(customers, ["customer_id", "is_high_risk"])
 
     own = Window.partitionBy("customer_id")
     if rank_mode == "observed":
@@ -192,7 +193,7 @@ def film_recommendations(ws, rank_mode: str = "observed") -> DataFrame:
             (F.col("k") + 1 + F.col("skipped")).alias("place"),
         )
     )
-    offers = _offers(ws, wanted)
+    offers = _offers(ws, wanted, f"wanted_{rank_mode}")
     note = (
         F.when(
             F.col("is_high_risk") & (F.col("rental_duration") <= SHORT_PERIOD), labels.NOTE_SHORT

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rentlens.functions.scalar import clip, rint_to, whole_days
 from rentlens.operators.quantiles import exact_quantiles
-from rentlens.operators.ranking import sliced_row_number, taken_before
+from rentlens.operators.ranking import sliced_row_number, spread_join, taken_before
 from rentlens.operators.sequences import FIRST, ORDER, category_steps, neighbour_scan, rental_gaps
 
 
@@ -46,16 +46,33 @@ def test_sliced_row_number(spark):
         }
 
 
-def test_taken_before_finds_the_first_free_positions(spark):
+@pytest.mark.parametrize("range_end", [12, 400])
+def test_taken_before_finds_the_first_free_positions(spark, range_end):
+    """Sets within a word and over several, with whole words taken, and with repeats."""
     rng = random.Random(2)
-    seen = {k: sorted(rng.sample(range(1, 12), rng.randrange(1, 11))) for k in range(60)}
-    df = spark.createDataFrame([(k, p) for k, ps in seen.items() for p in ps], "k int, p int")
-    for row in taken_before(df, ["k"], "p", 4).collect():
-        free = [p for p in range(1, 40) if p not in seen[row["k"]]]
+    seen = {k: sorted(rng.sample(range(1, range_end), rng.randrange(1, range_end - 1))) for k in range(60)}
+    seen |= {100: list(range(1, 129)), 101: list(range(1, 131)) + [140], 102: [64], 103: [65], 104: list(range(1, 65)) + [300]}
+    df = spark.createDataFrame([(k, p) for k, ps in seen.items() for p in ps * 2], "k int, p int")
+    rows = taken_before(df, ["k"], "p", 4).collect()
+    assert len(rows) == len(seen)
+    for row in rows:
+        free = [p for p in range(1, 2 * range_end + 400) if p not in seen[row["k"]]]
         assert [j + t for j, t in enumerate(row["taken"], 1)] == free[:4]
         assert row["n_taken"] == len(seen[row["k"]])
 
 
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_spread_join_bounds_the_rows_of_a_key(spark, most):
+    rows = spark.range(300).select("id", F.when(F.col("id") < 250, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+    found = rows.select("k").distinct().select("k", F.concat("k", F.lit("!")).alias("v"))
+    joined = spread_join(rows, found, ["k"], "id", most)
+    assert {(r["id"], r["v"]) for r in joined.collect()} == {(r["id"], r["k"] + "!") for r in rows.collect()} and joined.count() == 300
+    copies = 250 // most + 1
+    dealt = rows.where("k = 'hot'").groupBy(F.pmod(F.xxhash64("id"), F.lit(copies))).count().agg(F.max("count")).first()[0]
+    assert dealt <= max(3 * most, 8)
+    assert spread_join(rows.limit(0), found, ["k"], "id", most).count() == 0
+
+
 @pytest.fixture(scope="module")
 def history(spark):
     """Random rentals with many equal timestamps; a third belong to customer 1."""
