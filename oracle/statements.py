@@ -236,6 +236,7 @@ STATEMENTS: dict[str, str] = {
         FROM fact"""),
     "customer_profiles": statement(PROFILE),
     "customer_profiles_noisy": statement(PROFILE, noise=NOISE_SQL),
+    "customer_profiles_by_parts": statement(PROFILE),
     "customer_profiles_plain": statement(PROFILE, noise="0"),
     "segment_overview": statement(f"""
         SELECT v.position, v.rfm_segment, count(p.customer_id) AS customers,

@@ -11,7 +11,6 @@ from rentlens.functions.scalar import (
 )
 from rentlens.operators import fact
 from rentlens.operators.quantiles import exact_quantiles
-from rentlens.operators.sequences import rental_gaps
 
 PROFILE_COLUMNS = [
     "customer_id", "full_name", "city", "country", "active", "total_rentals", "total_spending",
@@ -87,7 +86,7 @@ def profile_measures(ws) -> DataFrame:
         # Most rows first, then the alphabetically first category.
         F.min(F.struct((-F.col("rentals")).alias("n"), "category")).alias("top"),
     )
-    gaps = rental_gaps(ws.ordered_steps)
+    gaps = ws.customer_gaps
     n = F.col("total_rentals")
     months = F.greatest(
         month_number(F.col("last_rental_date")) - month_number(F.col("first_rental_date")),

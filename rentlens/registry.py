@@ -7,6 +7,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 
+from rentlens import increments
 from rentlens.plans import (
     actions, churn, genres, models, overview, profiles, recommend, regions, risk, segments,
 )
@@ -31,6 +32,7 @@ PLANS: dict[str, Plan] = {
     "customer_profiles": profiles.profiles,
     "customer_profiles_noisy": partial(profiles.profiles, noise="hash"),
     "customer_profiles_plain": partial(profiles.profiles, noise="none"),
+    "customer_profiles_by_parts": increments.profiles_by_parts,
     "segment_overview": segments.segment_overview,
     "tier_breakdown": segments.tier_breakdown,
     "tier_breakdown_filtered": partial(

@@ -169,6 +169,13 @@ class Workspace:
 
         return self.keep("ordered_steps", build)
 
+    @property
+    def customer_gaps(self) -> DataFrame:
+        """Per customer the sum of whole-day gaps between rentals, where it is above 0."""
+        from rentlens.operators.sequences import rental_gaps
+
+        return rental_gaps(self.ordered_steps)
+
     @property
     def weighted_rentals(self) -> DataFrame:
         """Rentals with their payments folded in: the one place where the two meet."""
