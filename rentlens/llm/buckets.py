@@ -22,10 +22,14 @@ def shared(members: DataFrame) -> DataFrame:
     return members.join(many, "bucket", "left_semi").distinct()
 
 
-def star_pairs(members: DataFrame) -> DataFrame:
-    """Every member of a bucket with its smallest one."""
-    least = members.groupBy("bucket").agg(F.min("id").alias("a"))
-    return members.join(least, "bucket").where("id > a").select("a", F.col("id").alias("b")).distinct()
+def star_pairs(members: DataFrame, bound: str | None = None) -> DataFrame:
+    """Every member of a bucket with its smallest one, as far as they can be a link at all."""
+    own = [c for c in members.columns if c != "bucket"] if bound else ["id"]
+    least = members.groupBy("bucket").agg(F.min(F.struct(*own)).alias("least"))
+    least = least.select("bucket", *[F.col("least").getField(c).alias(f"{c}2") for c in own])
+    pairs = members.join(least, "bucket").where("id > id2")
+    pairs = pairs.where(bound) if bound else pairs
+    return pairs.select(F.col("id2").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
@@ -71,10 +75,11 @@ def linked(members: DataFrame, verified: Callable[[DataFrame], DataFrame], folde
     always share one of these buckets. Where given, larger buckets that still span
     components are replaced by them, so that a large bucket of unlike members
     is not compared pair by pair. They may have further columns, by which bound, a
-    condition on them and their twins ending in 2, tells what can be a link at all.
+    condition on them and their twins ending in 2, tells what can be a link at all;
+    without finer, the members themselves have these columns.
     """
     spark = members.sparkSession
-    tried = stored(star_pairs(members), f"{folder}/pairs0")
+    tried = stored(star_pairs(members, None if finer else bound), f"{folder}/pairs0")
     links = stored(verified(tried), f"{folder}/links0")
     labels = stored(components(links, f"{folder}/labels0"), f"{folder}/components0")
     removed(spark, f"{folder}/links0", f"{folder}/labels0")

@@ -9,7 +9,8 @@ strings lie in passages of equal anchor.
 2. Passages of the others are dealt out by anchor. Equal passages of one task,
    then of one part, are merged at once: all but the one of the smallest id go
    whole. So a passage that a third of all documents share is one row a task.
-3. Where different passages have one anchor, they are indexed: a run-compressed
+3. Where different passages have one anchor, those that agree with another one next to
+   it, as passages that share a string do, are indexed: a run-compressed
    Burrows-Wheeler transform with sampled run ends (`run_index`). Matching
    statistics of each passage are streamed through it, and strings of LENGTH
    bytes that a smaller document has are marked. Groups above INDEX_BYTES are dealt
@@ -32,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rentlens.llm.bytewords import mix, powers, prefix_sums, slices, texts
+from rentlens.llm.bytewords import mix, powers, prefix_sums, range_hashes, slices, texts
 from rentlens.llm.run_index import RunIndex
 
 LENGTH, ANCHOR = 50, 16
 WIDTH = LENGTH - ANCHOR + 1
+SIDE = WIDTH // 2
 #: Longer passages (of one repeated pattern) are parted.
 MOST_STRINGS = 64
 TEXT_BYTES = 1 << 19
@@ -286,7 +288,7 @@ def settled(first: dict[tuple[int, bytes], list[tuple[int, int]]], depth: int =
         groups.setdefault(anchor, []).append((text, least, [s for d, s in owners if d == least]))
     block: list[tuple] = []
     size = 0
-    for own in groups.values():
+    for own in groups.values() if depth else plausible(groups):
         n_bytes = sum(len(x[0]) for x in own)
         if len(own) > 1 and n_bytes > INDEX_BYTES and depth < len(SPLITS):
             whole += settled(dealt_again(own, depth), depth + 1)
@@ -299,6 +301,40 @@ def settled(first: dict[tuple[int, bytes], list[tuple[int, int]]], depth: int =
     return whole + indexed(block)
 
 
+def plausible(groups: dict[int, list[tuple]]) -> Iterator[list[tuple]]:
+    """The groups, with those passages only that can share a string with another one.
+
+    A string of LENGTH bytes around an anchor has SIDE bytes before it or SIDE behind it at least,
+    so passages that share one agree in one of these, next to some place of the anchor.
+    """
+    many = [(anchor, x) for anchor, own in groups.items() if len(own) > 1 for x in own]
+    if not many:
+        return
+    anchors = np.array([a for a, _ in many], np.uint64)
+    joint = np.frombuffer(b"".join(x[0] for _, x in many), np.uint8)
+    keys, holders = [], []
+    for first, end, data, at in slices(joint, np.concatenate([[0], np.cumsum([len(x[0]) for _, x in many])]), TEXT_BYTES):
+        sums = prefix_sums(data)
+        grams = mix((sums[ANCHOR:] - sums[:-ANCHOR]) * powers(len(sums), "inverse")[: len(sums) - ANCHOR])
+        holder = np.repeat(np.arange(end - first), np.diff(at))[: len(grams)]
+        own = anchors[first:end]
+        place = np.flatnonzero((grams >> np.uint64(32)) == own[holder])
+        holder = holder[place]
+        for turn, (a, b) in enumerate(((place - SIDE, place), (place + ANCHOR, place + ANCHOR + SIDE))):
+            inside = (a >= at[holder]) & (b <= at[holder + 1])
+            sides = range_hashes(sums, a[inside], b[inside])
+            keys.append(mix(sides + own[holder[inside]] * np.uint64(2) + np.uint64(turn)))
+            holders.append(holder[inside] + first)
+    shared, _ = shared_by_documents(joined(keys, np.uint64), joined(holders, np.int64))
+    possible = np.zeros(len(many), bool)
+    possible[joined(holders, np.int64)[shared]] = True
+    kept: dict[int, list[tuple]] = {}
+    for (anchor, x), good in zip(many, possible.tolist(), strict=True):
+        if good:
+            kept.setdefault(anchor, []).append(x)
+    yield from kept.values()
+
+
 def dealt_again(own: list[tuple], depth: int) -> dict[tuple[int, bytes], list[tuple[int, int]]]:
     """The strings of a group's passages by the smallest of their SPLITS[depth]-byte grams in a new order; strings in a row with one stay together."""
     gram = SPLITS[depth]

@@ -49,8 +49,9 @@ def test_large_anchor_groups_match_brute_force_in_bounded_indexes(monkeypatch):
     ends = [bytes(rng.integers(97, 123, 40).astype(np.uint8)) for _ in range(12)]
     texts = [ends[rng.integers(12)][: rng.integers(20, 40)] + b" " * 16 + ends[rng.integers(12)][: rng.integers(20, 40)] for _ in range(400)]
     found, seen, first = set(), {}, defaultdict(list)
+    anchor = int(repeats.mix(np.diff(repeats.prefix_sums(np.full(16, 32, np.uint8))[[0, 16]]))[0] >> np.uint64(32))
     for doc, text in enumerate(texts):
-        first[7, text].append((doc, 0))
+        first[anchor, text].append((doc, 0))
         for k in range(len(text) - 49):
             if seen.setdefault(text[k : k + 50], doc) < doc:
                 found |= {(doc, i) for i in range(k, k + 50)}
@@ -184,6 +185,31 @@ def test_periodic_lines_match_brute_force(spark):
     assert found == removed_by_brute_force(lines) and {1, 2, 4, 5, 6, 8, 9} <= set(found)
 
 
+def test_sketches_never_rule_out_a_link():
+    """Lines of similarity 0.8 and more, in characters that repeat; and unlike lines, which are ruled out."""
+    random = np.random.default_rng(9)
+    lines = []
+    for size in (6, 30, 60, 200, 900):
+        for _ in range(30):
+            line = "".join(chr(97 + int(k)) for k in random.integers(0, 5 if size < 100 else 26, size))
+            at = int(random.integers(0, size))
+            lines += [line, line[:at] + "#" + line[at + 1 :], line[at:] + line[:at], line + line[: size // 8]]
+    data, offsets = fuzzy_lines.texts(pa.array(["\n".join(lines)]))
+    codes, starts, ends, *_ = fuzzy_lines.lines_of(data, offsets)
+    own, n = fuzzy_lines.shingles(fuzzy_lines.code_sums(codes), starts, ends)
+    drawn = np.unpackbits(fuzzy_lines.sketches(own, n).view(np.uint8), axis=1)
+    sets = [fuzzy_lines.shingle_set(x) for x in lines]
+    linked, ruled_out, unlike = 0, 0, 0
+    for a in range(0, len(lines), 4):
+        for b in range(a + 1, min(a + 9, len(lines))):
+            possible = 9 * int((drawn[a] != drawn[b]).sum()) <= int(n[a] + n[b])
+            similarity = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+            assert possible or similarity < fuzzy_lines.SIMILARITY
+            linked, unlike = linked + (similarity >= 0.8), unlike + (similarity < 0.3)
+            ruled_out += not possible and similarity < 0.3
+    assert linked > 50 and ruled_out > 0.7 * unlike
+
+
 def test_lines_of_similarity_share_a_scheme():
     assert fuzzy_lines.SHORT <= fuzzy_lines.SIMILARITY * (fuzzy_lines.LONG + 1)
     lines = ["-" * 40, "-" * 100, "ab" * 300, "".join(map(chr, range(0x4E00, 0x4E00 + 200)))]
