@@ -332,9 +332,37 @@ def test_mixing(docs, nothing):
     assert len(found) == len(edge_rows()) and all(0 < r.prob <= 1 for r in found)
     assert mixing.mixture(nothing).count() == 0 and mixing.sampled(docs).columns == docs.columns
     cells = {("a", "x"): 10.0, ("a", "y"): 30.0, ("b", "x"): 40.0, ("b", "y"): 20.0}
-    raked = mixing.rake(cells, [{"a": 0.5, "b": 0.5}, {"x": 0.3, "y": 0.7}])
-    assert sum(v for k, v in raked.items() if k[0] == "a") == pytest.approx(50)
-    assert sum(v for k, v in raked.items() if k[1] == "x") == pytest.approx(30)
+    raked, error = mixing.rake(cells, [{"a": 0.5, "b": 0.5}, {"x": 0.3, "y": 0.7}], 0.5)
+    assert mixing.margin_of(raked, 0) == pytest.approx({"a": 25, "b": 25}) and mixing.margin_of(raked, 1) == pytest.approx({"x": 15, "y": 35})
+    assert error < 1e-8 and all(0 < raked[k] <= cells[k] for k in cells)
+
+
+def test_whole_cells_and_targets_that_cannot_hold():
+    """A rare value is taken whole, the rest fitted again; what contradicting targets miss is told."""
+    cells = {("a", "x"): 900.0, ("a", "y"): 90.0, ("b", "x"): 9.0, ("b", "y"): 1.0, ("c", "z"): 0.0}
+    raked, error = mixing.rake(cells, [{"a": 0.5, "b": 0.5}, {"x": 0.9, "y": 0.1}], 0.6)
+    assert raked["b", "x"] == 9 and raked["b", "y"] == 1 and error < 1e-8
+    assert sum(raked.values()) == pytest.approx(600) and mixing.margin_of(raked, 1) == pytest.approx({"x": 540, "y": 60})
+    tied = {("a", "x"): 50.0, ("b", "y"): 50.0}
+    _, error = mixing.rake(tied, [{"a": 0.9, "b": 0.1}, {"x": 0.1, "y": 0.9}], 0.5)
+    assert error > 0.3
+    assert mixing.rake({}, [{}, {}]) == ({}, 0.0)
+
+
+def test_given_targets_hold_and_draws_come_near(spark):
+    """Probabilities times tokens give the margins asked for, by the driver's way and by Spark's."""
+    rows = [(k, "w " * (1 + k % 7), "abc"[k % 3], None if k % 5 == 0 else "en") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    targets = spark.createDataFrame([("source", "a", 0.2), ("source", "b", 0.3), ("source", "c", 0.5), ("source", "none", 0.7), ("lang", "en", 0.75), ("lang", None, 0.25)], "dimension string, value string, share double")
+    found = {r.doc_id: r for r in mixing.mixture(docs, targets, 0.4).collect()}
+    total = sum(r.n_tokens for r in found.values())
+    for name, value, want in (("source", "a", 0.2), ("source", "b", 0.3), ("source", "c", 0.5), ("lang", "en", 0.75), ("lang", None, 0.25)):
+        own = [r for r in found.values() if r[name] == value]
+        assert sum(r.prob * r.n_tokens for r in own) == pytest.approx(0.4 * total * want, rel=1e-6)
+        assert sum(r.n_tokens for r in own if r.picked) == pytest.approx(0.4 * total * want, rel=0.12)
+    spread = {r.doc_id: r for r in mixing.mixture(docs, targets, 0.4, gathered=1).collect()}
+    assert all(spread[k].prob == pytest.approx(r.prob, abs=1e-7) for k, r in found.items())
+    assert {r.error for r in spread.values()} == {0.0}
 
 
 def test_tokens_round_trip(docs, nothing):
