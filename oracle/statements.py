@@ -244,6 +244,7 @@ STATEMENTS: dict[str, str] = {
                {r("count(p.customer_id)::DOUBLE / (SELECT count(*) FROM profile) * 100", "pct_customers")}
         FROM {values("rfm_segment", labels.SEGMENT_ORDER)} LEFT JOIN profile p ON p.rfm_segment = v.rfm_segment
         GROUP BY v.position, v.rfm_segment"""),
+    "customer_table_written": statement(TABLE.format(order="profile.customer_id")),
     "tier_breakdown": statement(f"""
         SELECT v.position, v.spending_tier, count(p.customer_id) AS customers
         FROM {values("spending_tier", labels.TIER_ORDER)} LEFT JOIN profile p ON p.spending_tier = v.spending_tier

@@ -12,6 +12,7 @@ import json
 from rentlens.registry import PLANS
 from rentlens.session import build_session
 from rentlens.sources import from_jdbc, from_parquet, from_star, write_result
+from rentlens.store import Store
 from rentlens.workspace import Workspace
 
 SOURCES = {"parquet": from_parquet, "star": from_star, "jdbc": from_jdbc}
@@ -40,13 +41,17 @@ def main() -> None:
     parser.add_argument("--mode", choices=["errorifexists", "overwrite"], default="errorifexists")
     parser.add_argument("--params", type=json.loads, default={}, help='{"query": {"argument": value}}')
     parser.add_argument("--option", action="append", default=[], help="key=value of the JDBC reader")
+    parser.add_argument("--store", help="shared folder where derived tables stay for later jobs over the same files")
     parser.add_argument("--partitions", type=int, default=64, help="key ranges of JDBC reads")
     given = parser.parse_args()
     spark = build_session("rentlens-job")
     more = {}
     if given.source == "jdbc":
         more = {"options": dict(x.split("=", 1) for x in given.option), "partitions": given.partitions}
-    workspace = Workspace(spark, SOURCES[given.source](spark, given.origin, **more))
+    store = Store(spark, given.store) if given.store else None
+    if store:
+        store.sweep()
+    workspace = Workspace(spark, SOURCES[given.source](spark, given.origin, **more), store=store)
     run(workspace, given.target, given.queries, given.mode, given.params)
     workspace.close()
 

@@ -11,9 +11,18 @@ from rentlens import increments
 from rentlens.plans import (
     actions, churn, genres, models, overview, profiles, recommend, regions, risk, segments,
 )
+from rentlens.sources import write_result
 
 Plan = Callable[..., DataFrame]
 
+
+def written(ws, plan: Plan, folder: str, partition_by: list[str] | None = None) -> DataFrame:
+    """What a reader finds after a result has been written."""
+    path = f"{ws._folder}/written/{folder}"
+    write_result(plan(ws), path, partition_by, mode="overwrite")
+    return ws.spark.read.parquet(path)
+
+
 PLANS: dict[str, Plan] = {
     "monthly_trend": overview.monthly_trend,
     "peak_month": overview.peak_month,
@@ -34,6 +43,9 @@ PLANS: dict[str, Plan] = {
     "customer_profiles_plain": partial(profiles.profiles, noise="none"),
     "customer_profiles_by_parts": increments.profiles_by_parts,
     "segment_overview": segments.segment_overview,
+    "customer_table_written": partial(
+        written, plan=segments.customer_table, folder="customers", partition_by=["rfm_segment"]
+    ),
     "tier_breakdown": segments.tier_breakdown,
     "tier_breakdown_filtered": partial(
         segments.tier_breakdown, segments=["Champions", "Loyal"], high_risk=True,
