@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rentlens.operators import fact
 from rentlens.operators.sequences import neighbour_scan, rental_gaps
+from rentlens.plans.profiles import profile_measures, profiles
 from rentlens.session import ship_package
 from rentlens.sources import Relations
 from rentlens.store import Files
@@ -112,6 +113,8 @@ class ProfileState:
 
 
 class _Merged(Workspace):
+    """A workspace whose measures are those of the state."""
+
     def __init__(self, spark: SparkSession, relations: Relations, tables: dict[str, DataFrame], noise: str) -> None:
         super().__init__(spark, relations, noise)
         self.tables = tables
@@ -124,6 +127,10 @@ class _Merged(Workspace):
     def customer_gaps(self) -> DataFrame:
         return self.tables["gaps"]
 
+    @property
+    def profile_base(self) -> DataFrame:
+        return self.keep("profile_base", lambda: profile_measures(self))
+
 
 def parted(relations: Relations, parts: list) -> list[Relations]:
     """Loads of the rentals that meet each condition, with their payments."""
@@ -136,8 +143,6 @@ def parted(relations: Relations, parts: list) -> list[Relations]:
 
 def profiles_by_parts(ws, parts: int = 3) -> DataFrame:
     """The customer profile from loads that arrive one after the other."""
-    from rentlens.plans.profiles import profiles
-
     if "by_parts" not in ws.memo:
         state = ProfileState(ws.spark, f"{ws._folder}/by_parts")
         for load in parted(ws.relations, [F.pmod(F.col("rental_id"), F.lit(parts)) == k for k in range(parts)]):

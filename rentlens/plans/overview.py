@@ -145,7 +145,7 @@ def category_late_rate(ws) -> DataFrame:
 def dayofweek_stats(ws) -> DataFrame:
     when = F.col("rental_date")
     return (
-        ws.weighted_rentals
+        ws.rentals
         .groupBy(
             day_of_week(when).alias("dow_num"),
             F.date_format(when, "EEE").alias("day_label"),

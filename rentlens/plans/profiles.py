@@ -34,7 +34,7 @@ def customer_genre_measures(ws) -> DataFrame:
     n = F.col("n_rows")
     weekend = day_of_week(F.col("rental_date")).isin(0, 6)
     return (
-        ws.weighted_rentals
+        ws.rentals
         .join(fact.copy_terms(rel).drop("film_id"), "inventory_id")
         .groupBy("customer_id", "category")
         .agg(
@@ -61,7 +61,7 @@ def customer_month_measures(ws) -> DataFrame:
     copies = fact.copy_allowance(rel).join(genres, "inventory_id", "left").fillna(0, ["genres"])
     cents, late = F.coalesce("cents", F.lit(0)), fact.late_rows()
     return (
-        ws.weighted_rentals.join(copies, "inventory_id")
+        ws.rentals.join(copies, "inventory_id")
         .groupBy("customer_id", month_key(F.col("rental_date")).alias("month"))
         .agg(
             F.sum("n_rows").alias("rentals"), F.sum("cents").alias("cents"), F.sum(late).alias("late"),

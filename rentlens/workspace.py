@@ -164,7 +164,7 @@ class Workspace:
 
         def build() -> DataFrame:
             ship_package(self.spark)
-            rows = self.weighted_rentals.join(fact.copy_terms(self.relations), "inventory_id")
+            rows = self.rentals.join(fact.copy_terms(self.relations), "inventory_id")
             return neighbour_scan(rows.join(self.places.select("customer_id"), "customer_id", "left_semi"))
 
         return self.keep("ordered_steps", build)
@@ -178,15 +178,25 @@ class Workspace:
 
     @property
     def weighted_rentals(self) -> DataFrame:
-        """Rentals with their payments folded in: the one place where the two meet."""
+        """Rentals with their payments folded in, written: for what reads them more than once."""
         return self.keep("weighted_rentals", lambda: fact.weighted_rentals(self.relations))
 
+    @property
+    def rentals(self) -> DataFrame:
+        """The same as it is there: written, or computed by the one reader that asks."""
+        return self.weighted_rentals if "weighted_rentals" in self._kept else fact.weighted_rentals(self.relations)
+
     @property
     def profile_base(self) -> DataFrame:
         """Per customer: all profile columns that need no global threshold."""
         from rentlens.plans.profiles import profile_measures
 
-        return self.keep("profile_base", lambda: profile_measures(self))
+        def build() -> DataFrame:
+            # Both the measures by category and the ordered scan start from these.
+            self.weighted_rentals  # noqa: B018
+            return profile_measures(self)
+
+        return self.keep("profile_base", build)
 
     @cached_property
     def size(self) -> Size:
