@@ -43,7 +43,7 @@ n AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, range(5) t(
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 m AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n_dup_lines FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
 s AS (
-  SELECT doc_id, text, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  SELECT doc_id, text, words, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
     (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
   FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)),
@@ -52,8 +52,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND n_symbols * 100 <= n_words * 50
     AND (length(text) - length(replace(text, '!', ''))) * 100 <= n_words * 50
     AND word_chars >= 2 * n_words AND word_chars <= 25 * n_words
-    AND n_dup_lines * 100 <= len(string_split(text, chr(10))) * 50 AS kept
-FROM b
+    AND n_dup_lines * 100 <= len(lines) * 50
+    AND (length(text) - length(replace(text, '?', ''))) * 100 <= n_words * 50
+    AND (length(text) - length(translate(text, '0123456789', ''))) * 100 <= length(text) * 40
+    AND (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) * 100 <= length(text) * 70
+    AND (length(text) - length(translate(text, '{{}}', ''))) * 100 <= length(text) * 5
+    AND (length(text) - length(replace(text, chr(65533), ''))) * 100 <= length(text)
+    AND len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09]*[-*•]'))) * 100 <= (len(lines) + 3) * 90
+    AND len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09\x0D]*\z'))) * 100 <= (len(lines) + 3) * 50
+    AND coalesce(list_max(list_transform(words, lambda x: length(x))), 0) <= 500
+    AND len(list_distinct(words)) * 100 >= len(words) * 2 AS kept
+FROM (SELECT *, string_split(text, chr(10)) AS lines FROM b)
 """
 
 REPEATS = """

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rentlens.llm import decontaminate, fuzzy_lines, language, mixing, near_dups, quality, repeats, tokens
 from rentlens.llm.queries import vocabulary
@@ -321,10 +322,37 @@ def test_quality(docs, nothing):
     assert quality.judged(nothing).count() == 0
 
 
-def test_cascade_order_leaves_the_verdict():
-    rules = quality.RULES
-    measured = {r.name: (1.0 + k, 0.1 * k) for k, r in enumerate(rules)}
-    assert [r.name for r in quality.ordered(rules, measured)][-1] == rules[0].name
+JUNK = ["! " * 60, "a b " * 40, "- item\n" * 60, "x" * 600 + " and some more words that make it ten or so", "12345 67890 " * 30, "SHOUT LOUD " * 30, "so it goes...\n" * 1 + "\n".join(f"line {k}..." for k in range(40)), "?" * 40 + " what is it now", "{} " * 50]
+
+
+def test_cascade_order_leaves_the_verdict(spark):
+    texts = [(k, t) for k, t in enumerate(JUNK + [BASE, "plain words about nothing much, " * 3])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one = {r.doc_id: r.kept for r in quality.judged(docs).collect()}
+    frame = docs.withColumn("words", quality.split_words(F.col("text")))
+    for rules in (quality.RULES, quality.RULES[::-1]):
+        found = {r.doc_id: r.name for r in frame.select("doc_id", quality.rejected_by(F.col("text"), F.col("words"), rules).alias("name")).collect()}
+        assert all(found[k] is None for k, kept in one.items() if kept)
+        assert all(found[k] for k in range(len(JUNK)))
+
+
+def test_measured_order_beats_the_reverse(spark):
+    """Cheap rules that reject much go first, by what is left; the order costs less than others, measured and counted."""
+    rules = {n: quality.Rule(n, lambda t, w: F.lit(True)) for n in "abcd"}
+    cost = {"a": 1.0, "b": 0.1, "c": 0.1, "d": 5.0}
+    fails = [{"a", "b"}] * 50 + [{"c"}] * 10 + [{"a"}] * 5 + [{"d"}] * 30 + [set()] * 100
+    best = quality.ordered(list(rules.values()), cost, fails)
+    assert [r.name for r in best] == ["b", "c", "d", "a"]
+    assert quality.expected_cost(best, cost, fails) < quality.expected_cost(best[::-1], cost, fails)
+    docs = spark.createDataFrame([(k, JUNK[k % len(JUNK)] if k % 3 else BASE) for k in range(600)], "doc_id long, text string").repartition(8)
+    sample = quality.sampled(docs, 300)
+    assert sample.select(F.spark_partition_id()).distinct().count() == 8 and 200 < sample.count() < 400
+    cost, fails = quality.measured(sample, quality.RULES)
+    best = quality.ordered(quality.RULES, cost, fails)
+    assert any(fails) and quality.expected_cost(best, cost, fails) < quality.expected_cost(best[::-1], cost, fails)
+    dear = [quality.Rule("dear", lambda t, w: quality.repeated_words(w) >= 0), quality.Rule("cheap", lambda t, w: t != "z")]
+    cost, _ = quality.measured(sample, dear)
+    assert cost["dear"] > cost["cheap"]
 
 
 def test_mixing(docs, nothing):
