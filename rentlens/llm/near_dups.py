@@ -53,7 +53,7 @@ REACHABLE = f"reach is null or reach2 is null or least(reach, reach2) >= {SIMILA
 #: Frequencies are counted for blocks of documents of this size at once, or for one longer text.
 BLOCK_BYTES = 1 << 21
 #: Text of a bucket of blocks, and text whose hashes one group counts.
-BUCKET_BYTES, PART_BYTES = 24 << 20, 8 << 20
+BUCKET_BYTES, PART_BYTES = 12 << 20, 4 << 20
 #: Draws come from tables of quantiles, looked up by bits of a hash.
 QUANTILES = 1 << 15
 #: Texts are worked on together up to this size, so that arrays stay in the cache.
@@ -136,6 +136,7 @@ def frequencies(table: pa.Table) -> pa.Table:
     _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
     found = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)[inverse]
     ends = np.cumsum([len(h) for h in hashes]).tolist()
+    pa.default_memory_pool().release_unused()
     out = [packed(narrow(found[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
     return pa.Table.from_arrays([table.column("source"), table.column("part"), pa.array(out, pa.binary())], ["source", "part", "found"])
 
@@ -224,6 +225,7 @@ def signer(parts: int, n: int):
                 keys += [None if e else k for e, k in zip(empty.tolist(), signed.tolist(), strict=True)]
                 classes += [hashlib.sha256(part[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
                 counted += [packed(narrow(found[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
+        pa.default_memory_pool().release_unused()
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
         columns = zip((sources, rows, docs, classes, keys, counted), kinds, strict=True)
         return pa.Table.from_arrays([pa.array(x, kind) for x, kind in columns], ["source", "row", "doc_id", "class", "keys", "found"])
