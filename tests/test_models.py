@@ -84,3 +84,27 @@ def test_missing_inputs_count_as_zero(ws, spark):
 def test_importances(ws):
     rows = models.feature_importance(ws).collect()
     assert len(rows) == 18 and all(r["importance"] >= 0 for r in rows)
+
+
+def test_only_the_scores_of_the_folds_take_fits_on_folds(spark, monkeypatch):
+    workspace = Workspace(spark, from_star(spark, "/root/testdata/sf0.001"))
+    workspace.memo["model_settings"] = models.Settings(trees=2, rounds=1)
+    fitted = []
+    ensemble, logistic = models._fit_ensemble, models.fit_logistic
+
+    def fit_ensemble(name, rows, settings):
+        fitted.append(name)
+        return ensemble(name, rows, settings)
+
+    def fit_logistic(rows, features, parts, strength):
+        fitted.extend([models.DEFAULT_MODEL] * len(parts))
+        return logistic(rows, features, parts, strength)
+
+    monkeypatch.setattr(models, "_fit_ensemble", fit_ensemble)
+    monkeypatch.setattr(models, "fit_logistic", fit_logistic)
+    for plan in (models.confusion_matrix, models.classification_report, models.feature_importance, models.risk_scores, models.risk_contributions):
+        assert plan(workspace).count()
+    assert sorted(fitted) == sorted(models.CLASSIFIERS)
+    rows = models.model_metrics(workspace).collect()
+    assert sorted(fitted) == sorted(models.CLASSIFIERS * (1 + models.FOLDS))
+    assert all((r["train_size"], r["test_size"]) == (112, 38) and r["cv_auc_mean"] for r in rows)
