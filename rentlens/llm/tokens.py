@@ -44,6 +44,8 @@ MAGIC = b"DACIDS01"
 CACHE_WORDS = 1_200_000
 WORDS_AT_ONCE = 10_000
 PIECE_CHARS = 1 << 20
+#: Rows whose texts a writing task holds as strings at a time.
+ROWS_AT_ONCE = 1000
 SHARDS = "place long, seq long, path string, n_docs long, n_tokens long"
 
 
@@ -105,9 +107,9 @@ class Encoder:
         tail = ""
         if self.added and self.added.search(word):
             return word, tail
-        if self.tails and (found := TAIL.search(word)):
+        if self.tails and not word[-1:].isalnum() and (found := TAIL.search(word)):
             word, tail = word[: found.start()], found[0]
-        if self.folds and LATIN.fullmatch(word):
+        if self.folds and (word.isascii() or LATIN.fullmatch(word)):
             word = word.lower()
         return word, tail
 
@@ -136,13 +138,14 @@ class Encoder:
                 gc.enable()
 
     def encode_words(self, cut: list[list[str]]) -> list[bytes]:
-        found = [list(map(self.known.get, words)) for words in cut]
-        new = {w for words, ids in zip(cut, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-        if new:
+        # Each different word is looked up once in the large table; the small one of this call stays in the processor's cache.
+        known = self.known
+        own = {w: known.get(w) for w in set().union(*cut)}
+        if new := {w for w, ids in own.items() if ids is None}:
             self.learn(new)
             # Only new words are looked up again, also where learning has emptied the table.
-            found = [[self.known[w] if x is None else x for w, x in zip(words, ids, strict=True)] for words, ids in zip(cut, found, strict=True)]
-        return [b"".join(ids) for ids in found]
+            own.update((w, self.known[w]) for w in new)
+        return [b"".join(map(own.__getitem__, words)) for words in cut]
 
     def encode(self, text: str) -> bytes:
         if not self.by_words:
@@ -260,6 +263,7 @@ def shard_writer(folder: str, tokenizer: str, by_words: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pafs.FileSystem.from_uri(folder)
         fs.create_dir(path, recursive=True)
+        pa.default_memory_pool().release_unused()  # of other work of this worker, before the table of words grows
         encoder, place, seq = encoder_of(tokenizer, by_words), TaskContext.get().partitionId(), 0
         end_id = np.array([END_ID], "<u4").tobytes()
         doc_ids, lengths, parts, size = [], [], [], 0
@@ -273,7 +277,7 @@ def shard_writer(folder: str, tokenizer: str, by_words: bool):
             row = [[place], [seq], [f"{folder}/{name}"], [len(doc_ids)], [len(ids)]]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["place", "seq", "path", "n_docs", "n_tokens"])
 
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, len(whole), ROWS_AT_ONCE)):
             encoded_texts = encoder.encode_batch(batch.column("text").fill_null("").to_pylist())
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoded_texts, strict=True):
                 data = ids + end_id

@@ -430,6 +430,21 @@ def test_batches_encode_as_texts_do(monkeypatch):
     assert list(tokens.Encoder(vocabulary()).encode_batch(asked)) == whole.ids(asked)
 
 
+def test_repeats_ask_the_table_of_words_once():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    words = tokens.Encoder(vocabulary())
+    words.known = Counted(words.known)
+    asked = ["a Bc don't x. " * 20, "x. a§b don't " * 20]
+    assert list(words.encode_batch(asked)) == words.ids(asked)
+    assert 0 < Counted.asked <= 10
+
+
 def test_random_words_encode_as_texts_do():
     random = np.random.default_rng(11)
     letters = list("abzABZéÉßñÑÞþµÿΣσςİıŁłǅ日語½Ⅷ²19_'.,;:!?%$&#*|-()<>\u0301\u0345\u00ad §¶") + ["'s", "'LL", " ", "\n", "\t", "\r\n", "<|endoftext|>"]
