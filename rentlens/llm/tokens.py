@@ -25,9 +25,11 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -43,7 +45,7 @@ BLOCK_BITS = 512
 MAGIC = b"DACIDS01"
 CACHE_WORDS = 1_200_000
 WORDS_AT_ONCE = 10_000
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 22
 #: Rows whose texts a writing task holds as strings at a time.
 ROWS_AT_ONCE = 1000
 SHARDS = "place long, seq long, path string, n_docs long, n_tokens long"
@@ -113,16 +115,18 @@ class Encoder:
             word = word.lower()
         return word, tail
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes words not known, WORDS_AT_ONCE together."""
+    def learn(self, words: list[str]) -> list[bytes]:
+        """ids of different words not known, which are encoded WORDS_AT_ONCE together."""
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known = {"": b""}
-        known, parted = self.known, {w: self.parts(w) for w in words}
-        new = [x for x in {x for pair in parted.values() for x in pair} if x not in known]
+        known, parted = self.known, list(map(self.parts, words))
+        new = [x for x in dict.fromkeys(chain.from_iterable(parted)) if x not in known]
         for first in range(0, len(new), WORDS_AT_ONCE):
             part = new[first : first + WORDS_AT_ONCE]
             known.update(zip(part, self.word_ids(part), strict=True))
-        known.update((w, known[word] + known[tail]) for w, (word, tail) in parted.items())
+        out = [known[word] + known[tail] if tail else known[word] for word, tail in parted]
+        known.update(zip(words, out, strict=True))
+        return out
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """ids of texts that are not long in sum; their new words are encoded together."""
@@ -132,20 +136,29 @@ class Encoder:
         paused = gc.isenabled()
         gc.disable()
         try:
-            return self.encode_words([text.replace("\n", " ").split(" ") for text in texts])
+            return self.encode_words(texts)
         finally:
             if paused:
                 gc.enable()
 
-    def encode_words(self, cut: list[list[str]]) -> list[bytes]:
-        # Each different word is looked up once in the large table; the small one of this call stays in the processor's cache.
-        known = self.known
-        own = {w: known.get(w) for w in set().union(*cut)}
-        if new := {w for w, ids in own.items() if ids is None}:
-            self.learn(new)
-            # Only new words are looked up again, also where learning has emptied the table.
-            own.update((w, self.known[w]) for w in new)
-        return [b"".join(map(own.__getitem__, words)) for words in cut]
+    def encode_words(self, texts: list[str]) -> list[bytes]:
+        """ids of texts: Arrow cuts them, numbers their different words and strings the ids of words together; each different word is looked up once."""
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = cut.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, words))
+        if None in found:
+            new = [k for k, ids in enumerate(found) if ids is None]
+            # Learning may empty the table, so the new words' ids are kept from it.
+            for k, ids in zip(new, self.learn([words[k] for k in new]), strict=True):
+                found[k] = ids
+        ids = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, ends, data = ids.buffers()
+        if data is None:  # not a single id
+            return [b""] * len(texts)
+        at = np.frombuffer(ends, "<i8")[ids.offset :][cut.offsets.to_numpy()].tolist()
+        view = memoryview(data)
+        return [bytes(view[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, text: str) -> bytes:
         if not self.by_words:

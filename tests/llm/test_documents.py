@@ -484,3 +484,19 @@ def test_texts_of_sliced_columns():
 
     data, offsets = texts(column)
     assert data.tobytes() == "bé".encode() and offsets.tolist() == [0, 0, 0, 3]
+
+
+def test_texts_of_a_batch_share_the_lookup_of_their_words():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    words = tokens.Encoder(vocabulary())
+    words.known = Counted(words.known)
+    asked = ["a Bc don't x.\n" * 50_000, "", "x. don't " * 80_000, " a  Bc" * 120_000]
+    found = list(words.encode_batch(asked))
+    assert 0 < Counted.asked <= 10
+    assert found == tokens.Encoder(vocabulary(), by_words=False).ids(asked)
