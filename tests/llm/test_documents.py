@@ -211,6 +211,57 @@ def test_sketches_never_rule_out_a_link():
     assert linked > 50 and ruled_out > 0.7 * unlike
 
 
+def line_variants(random: np.random.Generator) -> list[str]:
+    """Unlike lines of many lengths, two near copies of each, and many near copies of one."""
+    lines = []
+    for size in (60, 95, 215, 300, 480, 1010, 2200):
+        for k in range(6):
+            line = "".join(map(chr, random.integers(97, 123, size + 4 * k)))
+            lines += [line, line[: size // 2] + "#" + line[size // 2 + 1 :], line + line[3 : size // 12]]
+    line = "".join(map(chr, random.integers(97, 123, 216)))
+    return lines + [line[: 2 * k] + "#" + line[2 * k + 1 :] for k in range(70)]
+
+
+def test_line_members_are_small_and_pairs_lose_no_link():
+    """The rows dealt by bucket take less than three times the text, and links that share a bucket are pairs or left to rounds."""
+    lines = line_variants(np.random.default_rng(3))
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array(["\n".join(lines)])], ["doc_id", "text"])
+    members = pa.Table.from_batches(fuzzy_lines.signer(iter([batch])))
+    assert members.nbytes < 3 * len("\n".join(lines))
+    members = members.sort_by([(x, "ascending") for x in ("bucket", "size", "id")]).combine_chunks()
+    found = pa.Table.from_batches(fuzzy_lines.pairer(iter(members.to_batches(100))))
+    pairs = {(x["id"], x["other"]) for x in found.to_pylist() if x["other"] is not None}
+    parts: dict[int, dict[int, list[int]]] = {}
+    for x in found.to_pylist():
+        if x["other"] is None:
+            parts.setdefault(x["bucket"], {})[x["id"]] = x
+    ids = next(fuzzy_lines.numberer(iter([batch]))).column("id").to_pylist()
+    buckets: dict[int, set[int]] = {}
+    for x in members.select(["bucket", "id"]).to_pylist():
+        buckets.setdefault(x["id"], set()).add(x["bucket"])
+    rounds = set()
+    for rows in parts.values():
+        for a, x in rows.items():
+            for b, y in rows.items():
+                differ = sum(((x[s] ^ y[s]) & (2**64 - 1)).bit_count() for s in fuzzy_lines.SKETCH)
+                if a < b and 9 * differ <= x["size"] + y["size"]:
+                    rounds.add((a, b))
+    sets = [fuzzy_lines.shingle_set(x) for x in lines]
+    links = 0
+    for a in range(len(lines)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and buckets[ids[a]] & buckets[ids[b]]:
+                links += 1
+                assert tuple(sorted((ids[a], ids[b]))) in pairs | rounds
+    assert links > 500 and rounds and len(pairs) < 2 * links
+
+
+def test_lines_of_crowded_buckets_match_brute_force(spark):
+    lines = line_variants(np.random.default_rng(4))
+    found = by_id(fuzzy_lines.line_report(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")))[1].removed_lines
+    assert found == removed_by_brute_force(lines)
+
+
 def test_lines_of_similarity_share_a_scheme():
     assert fuzzy_lines.SHORT <= fuzzy_lines.SIMILARITY * (fuzzy_lines.LONG + 1)
     lines = ["-" * 40, "-" * 100, "ab" * 300, "".join(map(chr, range(0x4E00, 0x4E00 + 200)))]
