@@ -100,9 +100,10 @@ def links_of(prints: DataFrame, folder: str, crowd: int = CROWD) -> DataFrame:
     """Pairs (a, b) of fingerprints that link, enough of them to connect every component."""
     grid = prints.mapInArrow(cells, "cell long, print long")
     shared = grid.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(grid.join(shared, "cell"), f"{folder}/members")
+    # Spark sizes the grid like the fingerprints, of which it has 33 times the rows: it would be broadcast.
+    members = stored(grid.join(shared.hint("merge"), "cell"), f"{folder}/members")
     few = members.where(F.col("n") <= crowd)
-    other = few.select("cell", F.col("print").alias("other"))
+    other = few.select("cell", F.col("print").alias("other")).hint("merge")
     near = F.bit_count(F.col("print").bitwiseXOR(F.col("other"))) <= DISTANCE
     pairs = few.join(other, (few["cell"] == other["cell"]) & (F.col("print") < F.col("other")) & near).select(F.col("print").alias("a"), F.col("other").alias("b"))
     many = members.where(F.col("n") > crowd).select("print").distinct().mapInArrow(flips, "centre long, print long")

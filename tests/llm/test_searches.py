@@ -12,6 +12,7 @@ import xxhash
 from conftest import edge_rows
 
 from rentlens.llm import lexical, segments, whitening
+from rentlens.llm.common import stored
 
 
 def plain_ranking(docs: list[tuple], items: list[tuple], top: int) -> list[tuple]:
@@ -117,6 +118,15 @@ def test_no_link_of_fingerprints_is_lost(spark, crowd, tmp_path):
     assert label == plain_components(prints)
 
 
+def test_cells_are_never_broadcast(spark, tmp_path, monkeypatch):
+    """Spark's estimate of the cells is that of the fingerprints, whatever mapInArrow makes of them."""
+    plans = []
+    monkeypatch.setattr(segments, "stored", lambda frame, path: plans.append(frame._jdf.queryExecution().executedPlan().toString()) or stored(frame, path))
+    pairs = segments.links_of(spark.createDataFrame([(x,) for x in range(40)], "print long"), str(tmp_path / "links"))
+    plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+    assert [p.count("SortMergeJoin") > 0 and "Broadcast" not in p for p in plans] == [True, True]
+
+
 def plain_whitening(rows: list[tuple]) -> dict:
     x = np.array([[math.floor(64 * float(np.float32(c))) + 1_000_000 for c in v] for _, v in rows], np.int64)
     n, total = len(x), x.sum(0)
