@@ -2,9 +2,14 @@
 
 A text's features are its distinct 5-word shingles (words of bytes, A-Z lowered;
 a text of fewer words is one shingle), weighted by count times idf. Document
-frequencies are exact for each 64-bit shingle hash: blocks of documents deal their
-distinct hashes and counts out by hash, and what is summed there goes back to the
-blocks; each idf is ln(1 + documents / frequency). No table grows with the corpus.
+frequencies are exact for each 64-bit shingle hash, over distinct texts, so equal copies
+count once: blocks of documents deal the distinct hashes and counts of their first
+copies out by hash, and what is summed there goes back to the blocks. Each idf is
+ln(1 + texts / frequency), where a shingle in fewer than one of RARE texts counts as
+one in RARE: else what a large group of near copies has in common would weigh
+less than what each of them has alone, the less the larger the group, and copies
+that are linked in a small group would not be in a large one. Only groups of more than
+that share of all distinct texts are weighted down. No table grows with the corpus.
 Blocks are written once, bucketed by their number: counts that come back, and decisions
 on their documents, meet them there, so texts are never shuffled, but for those of pairs.
 
@@ -46,6 +51,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 3, 10
 SAMPLES = ROWS * BANDS
+#: A shingle in one of RARE texts weighs as much as a rarer one.
+RARE = 100
 #: Room for rounding where weights only choose what is compared.
 SLACK = 1e-5
 #: Common weight c of texts of weights a and b gives c / (a + b - c), so SIMILARITY asks for this much of a + b.
@@ -114,17 +121,39 @@ def dealt(column: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return hashes[order], n[order], np.searchsorted(part[order], np.arange(parts + 1)), pieces
 
 
+def digester(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(source, row, doc_id, class) of every document, class the digest of its text."""
+    for batch in batches:
+        for source, docs, column in zip(batch.column("source").to_pylist(), batch.column("docs"), batch.column("texts"), strict=True):
+            data, offsets = texts(column.values)
+            classes = [hashlib.sha256(data[a:b]).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            rows = np.arange(len(classes), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([source] * len(rows), pa.int64()), pa.array(rows), docs.values, pa.array(classes, pa.binary())],
+                ["source", "row", "doc_id", "class"],
+            )
+
+
+def first_copies(block: pa.Table, firsts: pa.Table) -> tuple[pa.Table, pa.Array]:
+    """The rows (row, id) of a block's texts that are the first of their class, in order, and the texts."""
+    firsts = firsts.select(["row", "id"]).sort_by("row").combine_chunks()
+    column = block.column("texts")[0].values if len(block) else pa.array([], pa.string())
+    return firsts, column.take(firsts.column("row").combine_chunks())
+
+
 def hash_dealer(parts: int):
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for source, column in zip(batch.column("source").to_pylist(), batch.column("texts"), strict=True):
-                hashes, n, bounds, _ = dealt(column.values, parts)
-                used = np.flatnonzero(np.diff(bounds))
-                cut = lambda f, x: pa.array([f(x[bounds[k] : bounds[k + 1]]) for k in used], pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int32()), pa.array([source] * len(used), pa.int64()), cut(lambda x: x.tobytes(), hashes), cut(lambda x: packed(narrow(x)), n)],
-                    ["part", "source", "hashes", "counts"],
-                )
+    """(part, source, hashes, counts) of a block's first copies: a row per part."""
+
+    def deal(block: pa.Table, firsts: pa.Table) -> pa.Table:
+        hashes, n, bounds, _ = dealt(first_copies(block, firsts)[1], parts)
+        used = np.flatnonzero(np.diff(bounds))
+        cut = lambda f, x: pa.array([f(x[bounds[k] : bounds[k + 1]]) for k in used], pa.binary())
+        source = block.column("source").to_pylist()[:1] * len(used)
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_arrays(
+            [pa.array(used, pa.int32()), pa.array(source, pa.int64()), cut(lambda x: x.tobytes(), hashes), cut(lambda x: packed(narrow(x)), n)],
+            ["part", "source", "hashes", "counts"],
+        )
 
     return deal
 
@@ -154,7 +183,7 @@ def widened(data: bytes, n: int) -> np.ndarray:
 
 
 def idf(found: np.ndarray, n: int) -> np.ndarray:
-    return np.log1p(n / found).astype(np.float32)
+    return np.log1p(np.minimum(n / found, RARE)).astype(np.float32)
 
 
 def draw_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,31 +233,31 @@ def bands(signature: np.ndarray) -> np.ndarray:
 
 
 def signer(parts: int, n: int):
-    """(source, row, doc_id, class, keys, found) of a block's documents: class digest, bucket keys, and document frequencies of the sorted features."""
+    """(id, source, row, keys, found) of a block's first copies: bucket keys, and frequencies of the sorted features.
+
+    What comes back is (part, found) of the block's hashes, and (row, id) of its first copies, which have no part.
+    """
 
     def sign(block: pa.Table, returned: pa.Table) -> pa.Table:
-        docs, sources, rows, classes, keys, counted = [], [], [], [], [], []
-        for source, own_docs, column in zip(block.column("source").to_pylist(), block.column("docs"), block.column("texts"), strict=True):
-            docs += own_docs.as_py()
-            sources += [source] * len(own_docs)
-            rows += range(len(own_docs))
-            hashes, _, bounds, pieces = dealt(column.values, parts)
-            all_found = np.ones(len(hashes), np.int64)
-            for k, x in zip(returned.column("part").to_pylist(), returned.column("found"), strict=True):
-                all_found[bounds[k] : bounds[k + 1]] = widened(unpacked(x.as_py()), int(bounds[k + 1] - bounds[k]))
-            order = np.argsort(hashes)
-            hashes, all_found = hashes[order], all_found[order]
-            for part, at, own, counts, first in pieces:
-                found = all_found[np.searchsorted(hashes, own)]
-                signed = bands(signatures(own, counts.astype(np.float32) * idf(found, n), first)).view(np.int64)
-                empty = np.diff(first) == 0
-                keys += [None if e else k for e, k in zip(empty.tolist(), signed.tolist(), strict=True)]
-                classes += [hashlib.sha256(part[a:b].tobytes()).digest() for a, b in zip(at[:-1], at[1:], strict=True)]
-                counted += [packed(narrow(found[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
+        dealt_out = returned.filter(pc.is_valid(returned.column("part")))
+        firsts, column = first_copies(block, returned.filter(pc.is_null(returned.column("part"))))
+        hashes, _, bounds, pieces = dealt(column, parts)
+        all_found = np.ones(len(hashes), np.int64)
+        for k, x in zip(dealt_out.column("part").to_pylist(), dealt_out.column("found"), strict=True):
+            all_found[bounds[k] : bounds[k + 1]] = widened(unpacked(x.as_py()), int(bounds[k + 1] - bounds[k]))
+        order = np.argsort(hashes)
+        hashes, all_found = hashes[order], all_found[order]
+        keys, counted = [], []
+        for _, _, own, counts, first in pieces:
+            found = all_found[np.searchsorted(hashes, own)]
+            signed = bands(signatures(own, counts.astype(np.float32) * idf(found, n), first)).view(np.int64)
+            empty = np.diff(first) == 0
+            keys += [None if e else k for e, k in zip(empty.tolist(), signed.tolist(), strict=True)]
+            counted += [packed(narrow(found[a:b])) for a, b in zip(first[:-1], first[1:], strict=True)]
+        source = block.column("source").to_pylist()[:1] * len(firsts)
         pa.default_memory_pool().release_unused()
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
-        columns = zip((sources, rows, docs, classes, keys, counted), kinds, strict=True)
-        return pa.Table.from_arrays([pa.array(x, kind) for x, kind in columns], ["source", "row", "doc_id", "class", "keys", "found"])
+        columns = [firsts.column("id").combine_chunks(), pa.array(source, pa.int64()), firsts.column("row").combine_chunks(), pa.array(keys, pa.list_(pa.int64())), pa.array(counted, pa.binary())]
+        return pa.Table.from_arrays(columns, ["id", "source", "row", "keys", "found"])
 
     return sign
 
@@ -249,12 +278,13 @@ def take_rows(block: pa.Table, wanted: pa.Table) -> pa.Table:
 
 
 def weighted(column: pa.Array, found: pa.Array, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Distinct features, counts and idf of each text."""
+    """Distinct features, weights and document frequencies of each text."""
     data, offsets = texts(column)
     for start, end, part, at in slices(data, offsets, TEXT_BYTES):
         own, counts, bounds = distinct(*features(part, at))
         for a, b, x in zip(bounds[:-1], bounds[1:], found.slice(start, end - start).to_pylist(), strict=True):
-            yield own[a:b], counts[a:b], idf(widened(unpacked(x), int(b - a)), n)
+            frequency = widened(unpacked(x), int(b - a))
+            yield own[a:b], counts[a:b] * idf(frequency, n).astype(np.float64), frequency
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -268,7 +298,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 def verifier(n: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [((own, counts * weight) for own, counts, weight in weighted(batch.column(f"text_{x}"), batch.column(f"found_{x}"), n)) for x in ("a", "b")]
+            sides = [((own, weights) for own, weights, _ in weighted(batch.column(f"text_{x}"), batch.column(f"found_{x}"), n)) for x in ("a", "b")]
             scores = [weighted_jaccard(a, b) for a, b in zip(*sides, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(scores, pa.float64())], ["a", "b", "score"])
 
@@ -287,9 +317,9 @@ def prefixes(n_docs: int):
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buckets, sizes, reach, whole = [], [], [], []
-            for own, counts, weight in weighted(batch.column("text"), batch.column("found"), n_docs):
-                order = np.lexsort((own, -weight))
-                sums = np.concatenate([[0.0], np.cumsum(counts[order] * weight[order].astype(np.float64))])
+            for own, weights, frequency in weighted(batch.column("text"), batch.column("found"), n_docs):
+                order = np.lexsort((own, frequency))
+                sums = np.concatenate([[0.0], np.cumsum(weights[order])])
                 n = min(len(own), int(np.searchsorted(sums[1:], (1 - SIMILARITY + SLACK) * sums[-1], "right")) + 1)
                 buckets.append(own[order[:n]].view(np.int64))
                 sizes.append(n)
@@ -309,8 +339,8 @@ class Blocks:
         self.spark, self.path, self.name = docs.sparkSession, f"{folder}/blocks", f"near_blocks_{uuid.uuid4().hex}"
         row = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"])
         docs = docs.select("doc_id", "text", row.alias("row"))
-        size = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-        self.n, self.parts = size["n"], 1 + size["bytes"] // PART_BYTES
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+        self.parts = 1 + size["bytes"] // PART_BYTES
         schema = f"docs array<long>, texts array<string>, rows array<{docs.schema['row'].dataType.simpleString()}>, nulls array<boolean>"
         frame = docs.mapInArrow(blocker, schema).withColumn("source", F.monotonically_increasing_id())
         writer = frame.write.format("parquet").bucketBy(1 + size["bytes"] // BUCKET_BYTES, "source")
@@ -330,19 +360,19 @@ class Blocks:
 
 def grouped(docs: DataFrame, blocks: Blocks, folder: str) -> DataFrame:
     """(source, row, doc_id, class_id, group_id) of every document: smallest doc_id of its class, and of its component."""
-    n, parts = blocks.n, blocks.parts
-    counted = blocks.frame().select("source", "texts").mapInArrow(hash_dealer(parts), "part int, source long, hashes binary, counts binary")
-    counted = counted.groupBy("part").applyInArrow(frequencies, "source long, part int, found binary")
-    signed = blocks.met(counted, signer(parts, n), "source long, row int, doc_id long, class binary, keys array<long>, found binary", ["docs", "texts"])
-    signed = stored(signed, f"{folder}/signed")
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "row", "keys", "found")).alias("first")
-    classes = signed.groupBy("class").agg(first, F.count("*").alias("n"))
+    digests = blocks.frame().select("source", "docs", "texts").mapInArrow(digester, "source long, row int, doc_id long, class binary")
+    places = stored(digests, f"{folder}/places")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "source", "row")).alias("first")
+    classes = places.groupBy("class").agg(first, F.count("*").alias("n"))
     classes = classes.select("class", "n", "first.*").withColumn("id", F.monotonically_increasing_id())
     classes = stored(classes, f"{folder}/classes")
-    places = stored(signed.select("source", "row", "doc_id", "class"), f"{folder}/places")
-    removed(docs.sparkSession, f"{folder}/signed")
-    members = stored(shared(classes.select("id", F.explode("keys").alias("bucket"))), f"{folder}/members")
-    wanted = classes.join(members.select("id").distinct(), "id").select("source", "row", "id", "found")
+    n, parts, copies = classes.count(), blocks.parts, classes.select("source", "row", "id")
+    counted = blocks.met(copies, hash_dealer(parts), "part int, source long, hashes binary, counts binary", ["texts"])
+    counted = counted.groupBy("part").applyInArrow(frequencies, "source long, part int, found binary")
+    signed = blocks.met(counted.unionByName(copies, allowMissingColumns=True), signer(parts, n), "id long, source long, row int, keys array<long>, found binary", ["texts"])
+    signed = stored(signed, f"{folder}/signed")
+    members = stored(shared(signed.select("id", F.explode("keys").alias("bucket"))), f"{folder}/members")
+    wanted = signed.join(members.select("id").distinct(), "id").select("source", "row", "id", "found")
     firsts = stored(blocks.met(wanted, take_texts, "id long, text string, found binary", ["texts"]), f"{folder}/texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -358,7 +388,7 @@ def grouped(docs: DataFrame, blocks: Blocks, folder: str) -> DataFrame:
     labelled = stored(labelled.withColumn("label", F.coalesce("label", "id")).drop("id"), f"{folder}/labelled")
     groups = labelled.groupBy("label").agg(F.min("class_id").alias("group_id"))
     found = stored(labelled.join(groups, "label").drop("label"), f"{folder}/groups")
-    removed(docs.sparkSession, *(f"{folder}/{x}" for x in ("texts", "members", "classes", "labelled")))
+    removed(docs.sparkSession, *(f"{folder}/{x}" for x in ("texts", "members", "classes", "signed", "labelled")))
     return joined_by(places, found, "class").drop("class")
 
 

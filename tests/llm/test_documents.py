@@ -121,6 +121,22 @@ def test_variants_of_one_text_match_brute_force(spark):
     assert [found[k].group_id for k in range(len(texts))] == group
 
 
+def test_near_copies_of_a_large_group_are_found(spark):
+    """Neither equal nor near copies of a text make what they have in common weigh less than what each has alone."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in rng.integers(0, 1 << 40, 200)]
+    texts = [" ".join(base)] * 60
+    for k in range(8):
+        words = list(base)
+        for at in range(20 + k, 200, 45):
+            words[at] = f"x{rng.integers(0, 1 << 40)}"
+        texts.append(" ".join(words))  # 176 of 216 shingles in common with base
+    texts += [f"a text of its own {k}" for k in range(1200)]
+    found = by_id(near_dups.duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [found[k].group_id for k in range(68)] == [0] * 68
+    assert all(found[k].group_id == k for k in range(68, len(texts)))
+
+
 def test_document_frequencies_are_exact():
     """Two hashes that end in the same 20 bits, in different blocks."""
     a, b = np.uint64(5), np.uint64(5 + (1 << 40))
